@@ -5,6 +5,7 @@ All helpers take and return Columns, so Catalyst keeps them inside the surroundi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -77,8 +78,8 @@ def comparison_form(value: str | Column) -> Column:
 
 
 def scope_text(value: str | Column) -> Column:
-    """Text with blanks and punctuation removed, as used in scope keys."""
-    return F.translate(remove_space(clean_text(value)), V.SCOPE_PUNCTUATION, "")
+    """Text with control characters, blanks and punctuation removed, as used in scope keys."""
+    return F.translate(text(value), CONTROLS + SPACES + V.SCOPE_PUNCTUATION, "")
 
 
 def document_name_form(value: str | Column) -> Column:
@@ -91,10 +92,15 @@ def has(value: str | Column, needle: str | Column) -> Column:
     return (F.length(needle) > 0) & F.contains(col(value), needle)
 
 
+def any_word_pattern(values: Iterable[str]) -> str:
+    """A regular expression that finds any of the words; all characters are literal."""
+    return "|".join(re.sub(r"([^\w\s]|_)", r"\\\1", value) for value in values if value)
+
+
 def has_any(value: str | Column, words: Iterable[str]) -> Column:
-    """True when any of a short, fixed word list occurs in the text."""
-    tests = [F.contains(col(value), F.lit(word)) for word in words if word]
-    return reduce(lambda left, right: left | right, tests) if tests else F.lit(False)
+    """True when any of a short, fixed word list occurs in the text: one scan for the whole list."""
+    pattern = any_word_pattern(words)
+    return F.rlike(col(value), F.lit(pattern)) if pattern else F.lit(False)
 
 
 def has_all(value: str | Column, words: Iterable[str]) -> Column:

@@ -35,24 +35,26 @@ def standard_atoms(atoms: DataFrame) -> DataFrame:
     return atoms.select(*[pick(name) for name in STANDARD_COLUMNS], labels.alias("label_paths"), order.cast("long").alias("row_no"))
 
 
-def scope_key(who: str | Column, what: str | Column, generic: list[str] = V.GENERIC_OBJECTS) -> Column:
-    """Normalised "who|what", empty when the pair is too vague to compare."""
-    who_key, what_key = scope_text(who), scope_text(what)
-    vague = (who_key == "") | (F.length(what_key) < 4) | what_key.isin(generic)
-    return F.when(vague, "").otherwise(F.concat_ws("|", who_key, what_key))
+def with_scope_key(atoms: DataFrame, generic: list[str] = V.GENERIC_OBJECTS) -> DataFrame:
+    """Normalised "who|what"; rows whose pair is too vague to compare are dropped."""
+    keyed = atoms.withColumn("_who", scope_text("who")).withColumn("_what", scope_text("what"))
+    clear = (F.col("_who") != "") & (F.length("_what") >= 4) & ~F.col("_what").isin(generic)
+    return keyed.filter(clear).withColumn("scope_key", F.concat_ws("|", "_who", "_what")).drop("_who", "_what")
 
 
-def polarity(
-    rule_type: str | Column, how: str | Column, content: str | Column,
-    forbid: list[str] = V.FORBID_KEYWORDS, allow: list[str] = V.ALLOW_KEYWORDS,
-) -> Column:
+def with_polarity(
+    atoms: DataFrame, forbid: list[str] = V.FORBID_KEYWORDS, allow: list[str] = V.ALLOW_KEYWORDS,
+) -> DataFrame:
     """Wording decides before the rule type does."""
-    rule_type = F.col(rule_type) if isinstance(rule_type, str) else rule_type
-    signal = F.concat_ws(" ", how, content)
     by_type = F.lit("neutral")
     for name, value in V.RULE_TYPE_POLARITY.items():
-        by_type = F.when(rule_type == name, value).otherwise(by_type)
-    return F.when(has_any(signal, forbid), "forbid").when(has_any(signal, allow), "allow").otherwise(by_type)
+        by_type = F.when(F.col("rule_type") == name, value).otherwise(by_type)
+    signal = F.col("_signal")
+    decided = F.when(has_any(signal, forbid), "forbid").when(has_any(signal, allow), "allow").otherwise(by_type)
+    return (
+        atoms.withColumn("_signal", F.concat_ws(" ", "how", "content_original"))
+        .withColumn("polarity", decided).drop("_signal")
+    )
 
 
 def comparable_atoms(
@@ -60,12 +62,8 @@ def comparable_atoms(
 ) -> DataFrame:
     """Atoms that take part in conflict detection, with scope, polarity and signatures."""
     ready = standard_atoms(atoms).filter(F.col("rule_type").isin(V.ACTIONABLE_RULE_TYPES))
-    return (
-        ready.withColumn("scope_key", scope_key("who", "what"))
-        .filter(F.col("scope_key") != "")
-        .withColumn("polarity", polarity("rule_type", "how", "content_original", forbid, allow))
-        .withColumn("signatures", numeric_signatures(F.concat_ws(" ", "what", "how"), compat=compat))
-    )
+    scoped = with_polarity(with_scope_key(ready), forbid, allow)
+    return scoped.withColumn("signatures", numeric_signatures(F.concat_ws(" ", "what", "how"), compat=compat))
 
 
 def scope_groups(comparable: DataFrame, keys: tuple[str, ...] = ("scope_key",)) -> DataFrame:
