@@ -14,6 +14,7 @@ from rulegrain.functions.text import (
 from rulegrain.operators.containment import MAX_AUTOMATON_TERMS, find_terms, matched_terms_column
 from rulegrain.operators.scale import broadcast_if_small, size_checked
 
+CHUNK_BREAK = chr(1)  # in no term, and not whitespace
 NO_VALUE = ["未指定", "None", "null"]
 RECORD = "struct<name:string,normalized_name:string,aliases:array<string>,matched_aliases:array<string>,source_categories:array<string>,is_normalized:boolean>"
 
@@ -151,10 +152,9 @@ def confident_time(value: Column) -> Column:
 def time_phrase(value: Column) -> Column:
     """Event times reduced to action + object family + suffix."""
     body = time_fragment(value)
-    suffix = F.regexp_extract(body, "(" + "|".join(V.TIME_SUFFIXES) + ")$", 1)
-    # regexp_extract would take the leftmost, hence longest, ending; the list prefers its own order
+    suffix = F.lit("")
     for ending in reversed(V.TIME_SUFFIXES):
-        suffix = F.when(F.endswith(body, F.lit(ending)), ending).otherwise(suffix) if ending else suffix
+        suffix = F.when(F.endswith(body, F.lit(ending)), ending).otherwise(suffix)
     stem = F.substring(body, F.lit(1), F.length(body) - F.length(suffix))
     action = first_that(stem, [(word, word) for word in V.TIME_ACTIONS])
     family = first_that(stem, V.TIME_FAMILIES)
@@ -346,7 +346,7 @@ def time_records(df: DataFrame, row_id: str, body: str | Column, raw: Column, di
     rows = _search_rows(df, row_id, col(body), F.filter(F.transform(raw, collapse_space), confident_time))
     if dictionary is not None:
         dictionary = dictionary.withColumn("term", time_fragment("term")).filter(F.col("term") != "")
-    rows = with_matches(rows, time_fragment(F.array_join("chunks", "\n")), dictionary, "listed", row_id)
+    rows = with_matches(rows, time_fragment(F.array_join("chunks", CHUNK_BREAK)), dictionary, "listed", row_id)
     phrases = lambda values: F.array_distinct(F.filter(F.transform(values, time_phrase), confident_time))
     found = rows.select(row_id, "raw", phrases(F.array_distinct(F.concat(_search_times(F.col("chunks")), "listed"))).alias("strong"))
     weak = F.array_except(phrases(F.col("raw")), F.col("strong"))

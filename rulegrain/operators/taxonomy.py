@@ -289,10 +289,13 @@ def scene_matches(classified: DataFrame, scenes: DataFrame) -> DataFrame:
     hits = F.filter(F.transform("scenes", scored), lambda match: match["score"] >= 8)
     rows = atoms.select("atom_id", "module_code", F.explode(hits).alias("m")).select("atom_id", "m.scene_key", "module_code", "m.score", "m.matched_terms")
     # The same pair again (repeated atom rows) keeps its best score; equal scores merge their terms.
-    merged = rows.groupBy("atom_id", "scene_key", "module_code").agg(
-        F.max("score").alias("score"), F.max(F.struct("score", "matched_terms")).alias("best"),
+    distinct = rows.groupBy("atom_id", "scene_key", "module_code", "score", "matched_terms").count()
+    merged = distinct.groupBy("atom_id", "scene_key", "module_code").agg(
+        F.max("score").alias("score"), F.sort_array(F.collect_list(F.struct("score", "matched_terms"))).alias("all"),
     )
-    return merged.select("atom_id", "scene_key", "module_code", "score", F.col("best.matched_terms").alias("matched_terms"))
+    best = F.filter("all", lambda item: item["score"] == F.col("score"))
+    terms = F.array_distinct(F.flatten(F.transform(best, lambda item: item["matched_terms"])))
+    return merged.select("atom_id", "scene_key", "module_code", "score", terms.alias("matched_terms"))
 
 
 def scene_entity_counts(matches: DataFrame, links: DataFrame, alias: str) -> DataFrame:
