@@ -134,21 +134,22 @@ def heuristic_labels(atoms: DataFrame, modules: DataFrame, weights: dict[str, in
     real = modules.filter(F.col("code") != V.UNCLASSIFIED_CODE).withColumn("core", category_core("category"))
     w = {name: F.lit(value) for name, value in weights.items()}
 
-    def evidence(kind: str, needle: Column, weight: Column, many: bool = False) -> DataFrame:
-        needle = F.explode(needle) if many else needle
-        return real.select(F.lit(kind).alias("kind"), needle.alias("needle"), "code", weight.alias("weight"))
+    def item(kind: str, needle: Column, weight: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), needle.alias("needle"), weight.alias("weight"))
 
-    term_rows = real.select("code", F.explode("terms").alias("needle")).select(
-        F.lit("text").alias("kind"), "needle", "code",
-        F.when(F.length("needle") >= 4, w["long_term"]).otherwise(w["short_term"]).alias("weight"),
+    def each(kind: str, needles: str, weight: Column) -> Column:
+        return F.transform(needles, lambda needle: item(kind, needle, weight))
+
+    def term(needle: Column) -> Column:
+        return item("text", needle, F.when(F.length(needle) >= 4, w["long_term"]).otherwise(w["short_term"]))
+
+    single = F.array(
+        item("text", F.col("module"), w["module"]), item("text", F.col("core"), w["category"]),
+        item("scenario", F.col("module"), w["scenario_module"]), item("scenario", F.col("core"), w["scenario_category"]),
+        item("category", F.col("module"), w["legacy_module"]), item("category", F.col("core"), w["legacy_category"]),
     )
-    rows = reduce(DataFrame.unionByName, [
-        evidence("text", F.col("module"), w["module"]), evidence("text", F.col("core"), w["category"]),
-        evidence("text", F.col("projects"), w["project"], many=True), term_rows,
-        evidence("scenario", F.col("module"), w["scenario_module"]), evidence("scenario", F.col("core"), w["scenario_category"]),
-        evidence("scenario", F.col("projects"), w["scenario_project"], many=True),
-        evidence("category", F.col("module"), w["legacy_module"]), evidence("category", F.col("core"), w["legacy_category"]),
-    ]).filter(F.length("needle") > 0)
+    many = [each("text", "projects", w["project"]), each("scenario", "projects", w["scenario_project"]), F.transform("terms", term)]
+    rows = real.select("code", F.explode(F.concat(single, *many)).alias("e")).select("code", "e.*").filter(F.length("needle") > 0)
 
     haystack = F.concat(*HAYSTACK_FIELDS, F.array_join("business_categories", " "), F.array_join("related_scenarios", " "))
     by_text = containment_scores(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulegrain.operators import entities as N, graph as G, taxonomy as X
-from rulegrain.plans.corpus import ORDER_RULES, TAXONOMY_ROWS, ansi, derive
-from rulegrain.session import cut_lineage
+from rulegrain.functions.vocab import UNCLASSIFIED_CODE
+from rulegrain.plans.corpus import ORDER_RULES, TAXONOMY_ROWS, ansi, derive, stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -22,7 +22,8 @@ def _prefix(section: Column) -> Column:
 
 
 def modules_of(spark: SparkSession, sf_dir: str, with_unclassified: bool = True) -> DataFrame:
-    return X.taxonomy_modules(derive(spark, sf_dir, TAXONOMY_ROWS), _prefix, with_unclassified)
+    rows = stored(spark, sf_dir, "modules", lambda: X.taxonomy_modules(derive(spark, sf_dir, TAXONOMY_ROWS), _prefix))
+    return rows if with_unclassified else rows.filter(F.col("code") != UNCLASSIFIED_CODE)
 
 
 def order_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,12 @@ def order_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classified_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.classify(order_rules(spark, sf_dir), modules_of(spark, sf_dir))
+    return stored(spark, sf_dir, "classified", lambda: X.classify(order_rules(spark, sf_dir), modules_of(spark, sf_dir)))
+
+
+def order_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scenes = X.taxonomy_scenes(modules_of(spark, sf_dir))
+    return stored(spark, sf_dir, "matches", lambda: X.scene_matches(classified_orders(spark, sf_dir), scenes))
 
 
 MODULES = f"""
@@ -149,8 +155,7 @@ matches AS (
 
 @query
 def scene_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    modules = modules_of(spark, sf_dir)
-    out = X.scene_matches(classified_orders(spark, sf_dir), X.taxonomy_scenes(modules))
+    out = order_matches(spark, sf_dir)
     return out.select("atom_id", "scene_key", "module_code", "score", F.concat(F.array_join("matched_terms", "|"), F.lit("|")).alias("terms"))
 
 
@@ -173,20 +178,23 @@ def order_links(atoms: DataFrame) -> dict[str, DataFrame]:
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, built once and stored."""
     modules = modules_of(spark, sf_dir)
     scenes = X.taxonomy_scenes(modules)
-    atoms = cut_lineage(classified_orders(spark, sf_dir).withColumn("who_terms", N.actor_terms("who")).withColumn(
-        "who_terms_normalized", N.without_whole("who_terms", "who")))
+    who_terms = N.actor_terms("who")
+    atoms = classified_orders(spark, sf_dir).withColumn("who_terms", who_terms).withColumn(
+        "who_terms_normalized", N.without_whole("who_terms", "who"))
     links = order_links(atoms)
-    matches = X.scene_matches(atoms, scenes)
-    return G.build_nodes(modules, scenes, atoms, links), G.build_edges(modules, scenes, atoms, links, matches)
+    nodes = stored(spark, sf_dir, "nodes", lambda: G.build_nodes(modules, scenes, atoms, links))
+    edges = stored(spark, sf_dir, "edges", lambda: G.build_edges(modules, scenes, atoms, links, order_matches(spark, sf_dir)))
+    return nodes, edges
 
 
 GRAPH = MATCHES + """,
 parts AS (SELECT atom_id, string_split(who, '、')[1] AS a1, string_split(who, '、')[2] AS a2, what, "when" AS w FROM atoms),
 actor_links AS (SELECT atom_id, a1 AS name FROM parts UNION SELECT atom_id, a2 FROM parts),
 object_links AS (SELECT atom_id, what AS name FROM parts),
-time_links AS (SELECT atom_id, w AS name FROM parts WHERE w IN ('当日', '10日内', '开立账户前')),
+time_links AS (SELECT atom_id, w AS name FROM parts WHERE w IN ('当日', '10日内', '开立账户前', '每月末')),
 tagged AS (SELECT atom_id, unnest(coalesce(codes, ['UNCAT-00-00'])) AS code FROM atoms LEFT JOIN labels USING (atom_id)),
 all_modules AS (SELECT section, category, module, code FROM modules UNION ALL SELECT '待分类', '待分类', '待分类', 'UNCAT-00-00'),
 nodes AS (
@@ -203,7 +211,7 @@ scene_links AS (
   UNION ALL SELECT 'SCENE::' || scene_key, 'OBJECT::' || name, 'SCENE_HAS_OBJECT', count(*) FROM matches JOIN object_links USING (atom_id) GROUP BY 1, 2
   UNION ALL SELECT 'SCENE::' || scene_key, 'TIME::' || name, 'SCENE_HAS_TIME', count(*) FROM matches JOIN time_links USING (atom_id) GROUP BY 1, 2),
 edges AS (
-  SELECT DISTINCT 'BOARD::' || section AS source, 'CATEGORY::' || section || '::' || category AS target, 'HAS_CATEGORY' AS type, NULL AS score, NULL AS atom_count FROM all_modules
+  SELECT DISTINCT 'BOARD::' || section AS source, 'CATEGORY::' || section || '::' || category AS target, 'HAS_CATEGORY' AS type, CAST(NULL AS BIGINT) AS score, CAST(NULL AS BIGINT) AS atom_count FROM all_modules
   UNION ALL SELECT 'CATEGORY::' || section || '::' || category, 'MODULE::' || code, 'HAS_MODULE', NULL, NULL FROM all_modules
   UNION ALL SELECT 'MODULE::' || module_code, 'SCENE::' || scene_key, 'HAS_SCENE', NULL, NULL FROM scenes
   UNION ALL SELECT 'ATOM::' || atom_id, 'MODULE::' || code, 'TAGGED_AS', NULL, NULL FROM tagged
@@ -234,10 +242,8 @@ ORACLE["graph_edges"] = GRAPH + "SELECT source, target, type, CAST(score AS INT)
 
 @query
 def scene_entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scenes = X.taxonomy_scenes(modules_of(spark, sf_dir))
-    atoms = classified_orders(spark, sf_dir)
-    links = order_links(atoms)["actor"].select("atom_id", "record.name").distinct()
-    return X.scene_entity_counts(X.scene_matches(atoms, scenes), links, "actor_name")
+    links = order_links(classified_orders(spark, sf_dir))["actor"].select("atom_id", "record.name").distinct()
+    return X.scene_entity_counts(order_matches(spark, sf_dir), links, "actor_name")
 
 
 ORACLE["scene_entity_counts"] = GRAPH + """
