@@ -13,6 +13,7 @@ from rulegrain.functions.text import (
 )
 from rulegrain.operators.containment import MAX_AUTOMATON_TERMS, find_terms, matched_terms_column
 from rulegrain.operators.scale import broadcast_if_small, size_checked
+from rulegrain.session import cut_lineage
 
 CHUNK_BREAK = chr(1)  # in no term, and not whitespace
 NO_VALUE = ["未指定", "None", "null"]
@@ -138,8 +139,8 @@ def time_fragment(value: str | Column) -> Column:
     return remove_space(F.translate(collapse_space(value), "（）", "()"))
 
 
-def confident_time(value: Column) -> Column:
-    body = time_fragment(value)
+def confident_fragment(body: Column) -> Column:
+    """Whether a normalised time fragment is a time."""
     shape = "^(?:" + "|".join(f"(?:{pattern})" for pattern in V.TIME_CONFIDENT_PATTERNS) + ")$"
     refused = (
         (body == "") | body.isin(V.TIME_BLOCKLIST) | starts_with_any(body, V.TIME_REJECT_STARTS)
@@ -149,17 +150,38 @@ def confident_time(value: Column) -> Column:
     return ~refused & body.rlike(shape)
 
 
-def time_phrase(value: Column) -> Column:
-    """Event times reduced to action + object family + suffix."""
-    body = time_fragment(value)
-    suffix = F.lit("")
-    for ending in reversed(V.TIME_SUFFIXES):
-        suffix = F.when(F.endswith(body, F.lit(ending)), ending).otherwise(suffix)
-    stem = F.substring(body, F.lit(1), F.length(body) - F.length(suffix))
-    action = first_that(stem, [(word, word) for word in V.TIME_ACTIONS])
-    family = first_that(stem, V.TIME_FAMILIES)
-    fixed = (suffix == "") | stem.rlike(r"\d") | F.startswith(stem, F.lit("T+")) | F.startswith(stem, F.lit("T-"))
-    return F.when(fixed | ((action == "") & (family == "")), body).otherwise(F.concat(action, family, suffix))
+def confident_times(values: Column) -> Column:
+    """The raw terms whose normalised form is a time."""
+    paired = F.transform(values, lambda value: F.struct(value.alias("value"), time_fragment(value).alias("body")))
+    return F.transform(F.filter(paired, lambda pair: confident_fragment(pair["body"])), lambda pair: pair["value"])
+
+
+def time_phrases(values: Column) -> Column:
+    """Event times reduced to action + object family + suffix, confident and distinct (C11).
+
+    Each step is its own transform, so a step reads the one before instead of repeating it.
+    """
+    bodies = F.transform(values, time_fragment)
+
+    def ending(body: Column) -> Column:
+        suffix = F.lit("")
+        for word in reversed(V.TIME_SUFFIXES):
+            suffix = F.when(F.endswith(body, F.lit(word)), word).otherwise(suffix)
+        return F.struct(body.alias("body"), suffix.alias("suffix"))
+
+    def stem(item: Column) -> Column:
+        length = F.length(item["body"]) - F.length(item["suffix"])
+        return F.struct(item["body"].alias("body"), item["suffix"].alias("suffix"), F.substring(item["body"], F.lit(1), length).alias("stem"))
+
+    def parts(item: Column) -> Column:
+        fixed = (item["suffix"] == "") | item["stem"].rlike(r"\d|^T[+-]")
+        action = first_that(item["stem"], [(word, word) for word in V.TIME_ACTIONS])
+        family = first_that(item["stem"], V.TIME_FAMILIES)
+        return F.struct(item["body"].alias("body"), item["suffix"].alias("suffix"), F.when(fixed, "").otherwise(F.concat(action, family)).alias("core"))
+
+    steps = F.transform(F.transform(F.transform(bodies, ending), stem), parts)
+    phrases = F.transform(steps, lambda item: F.when(item["core"] == "", item["body"]).otherwise(F.concat(item["core"], item["suffix"])))
+    return F.array_distinct(F.filter(phrases, confident_fragment))
 
 
 # ------------------------------------------------------------------ alias index (C4)
@@ -190,7 +212,7 @@ def alias_index(pairs: DataFrame, categories: list[str]) -> AliasIndex:
         .filter((F.col("targets") == 1) & (F.col("key") != "")).select("key", "name")
     )
     aliases = keyed.join(exact, "key").select(F.col("surface").alias("term"), "name").distinct()
-    return AliasIndex(canonical, exact, aliases)
+    return AliasIndex(cut_lineage(canonical), cut_lineage(exact), cut_lineage(aliases))
 
 
 def plain_record(name: Column, categories: list[str], is_normalized: bool) -> Column:
@@ -319,7 +341,7 @@ def object_records(
 
 
 def _search_times(chunks: Column) -> Column:
-    """Time expressions of each chunk in turn; a hit inside an earlier hit is skipped."""
+    """Time expressions of each normalised chunk in turn; a hit inside an earlier hit is skipped."""
 
     def longest_first(found: Column) -> Column:
         keyed = F.transform(found, lambda hit, at: F.struct((-F.length(hit)).alias("n"), at.alias("at"), hit.alias("hit")))
@@ -329,8 +351,7 @@ def _search_times(chunks: Column) -> Column:
         inside = F.exists(seen, lambda known: (known != hit) & F.contains(known, hit))
         return F.when(inside, seen).otherwise(F.concat(seen, F.array(hit)))
 
-    def step(seen: Column, chunk: Column) -> Column:
-        body = time_fragment(chunk)
+    def step(seen: Column, body: Column) -> Column:
         seen = F.concat(seen, F.filter(words(V.TIME_FIXED_TERMS), lambda term: F.contains(body, term)))
         for pattern in V.TIME_SEARCH_PATTERNS:
             found = longest_first(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
@@ -343,13 +364,13 @@ def _search_times(chunks: Column) -> Column:
 
 def time_records(df: DataFrame, row_id: str, body: str | Column, raw: Column, dictionary: DataFrame | None) -> DataFrame:
     """Times: patterns and dictionary hits first, confident raw terms after them, pruned."""
-    rows = _search_rows(df, row_id, col(body), F.filter(F.transform(raw, collapse_space), confident_time))
+    rows = _search_rows(df, row_id, col(body), confident_times(F.transform(raw, collapse_space)))
     if dictionary is not None:
         dictionary = dictionary.withColumn("term", time_fragment("term")).filter(F.col("term") != "")
     rows = with_matches(rows, time_fragment(F.array_join("chunks", CHUNK_BREAK)), dictionary, "listed", row_id)
-    phrases = lambda values: F.array_distinct(F.filter(F.transform(values, time_phrase), confident_time))
-    found = rows.select(row_id, "raw", phrases(F.array_distinct(F.concat(_search_times(F.col("chunks")), "listed"))).alias("strong"))
-    weak = F.array_except(phrases(F.col("raw")), F.col("strong"))
+    rows = rows.withColumn("seen", F.array_distinct(F.concat(_search_times(F.transform("chunks", time_fragment)), "listed")))
+    found = rows.select(row_id, time_phrases(F.col("raw")).alias("weak"), time_phrases(F.col("seen")).alias("strong"))
+    weak = F.array_except("weak", "strong")
     records = F.concat(
         F.transform("strong", lambda name: plain_record(name, [V.TIME_SOURCE_CATEGORY], True)),
         F.transform(weak, lambda name: plain_record(name, [], False)),

@@ -12,6 +12,7 @@ from rulegrain.functions.rules import first_match
 from rulegrain.functions.text import collapse_space, has_any, text, words, words_in
 from rulegrain.operators import conflicts as C, entities as N
 from rulegrain.operators.scale import broadcast_if_small, ordered_distinct, top_rows
+from rulegrain.session import cut_lineage
 
 ATOM_FIELDS = ["atom_id", "rule_type", "source_document", "article_reference", "who", "what", "when", "how", "content_original", "is_ambiguous"]
 
@@ -56,15 +57,17 @@ def with_question_terms(questions: DataFrame, known: Dictionaries) -> DataFrame:
     wanted = asked.select("query_id", "search_text", split_who.alias("spoken")).join(named, "search_text").select(
         "query_id", F.posexplode(F.array_distinct(F.concat("spoken", "listed"))).alias("at", "term")
     )
-    distinct_terms = wanted.select("term").distinct()
-    resolved = N.actor_records(distinct_terms, "term", "term", F.array("term"), known.actor_index).select("term", "order", "record.name")
+    distinct_terms = wanted.select(F.col("term").alias("said")).distinct()
+    resolved = N.actor_records(distinct_terms, "said", "said", F.array("said"), known.actor_index).select(
+        F.col("said").alias("term"), "order", "record.name")
     actors = ordered_distinct(
         wanted.join(resolved, "term").select("query_id", "name", F.struct("at", "order").alias("place")), ["query_id"], "name", "place", 6, "actors"
     )
     out = asked.join(actors, "query_id", "left").join(listed(objects, 8, "objects"), "search_text", "left").join(listed(times, 6, "times"), "search_text", "left")
     for name in ("actors", "objects", "times"):
         out = out.withColumn(name, F.coalesce(name, words([])))
-    return out.withColumn("question_type", question_type(F.col("question"))).withColumn("several_intents", several_intents(F.col("question")))
+    typed = out.withColumn("question_type", question_type(F.col("question")))
+    return cut_lineage(typed.withColumn("several_intents", several_intents(F.col("question"))))  # read by every later step
 
 
 # ------------------------------------------------------------------ retrieval (H4-H6)
@@ -81,7 +84,7 @@ def retrieve(questions: DataFrame, atoms: DataFrame, links: dict[str, DataFrame]
     times costs one lookup. ``links`` maps actor, object, time to (atom_id, name, normalized_name).
     """
     asked = questions.withColumn("wanted", F.md5(F.to_json(F.struct("question_type", "actors", "objects", "times"))))
-    sets = asked.select("wanted", "question_type", "actors", "objects", "times").dropDuplicates(["wanted"])
+    sets = cut_lineage(asked.select("wanted", "question_type", "actors", "objects", "times").dropDuplicates(["wanted"]))
 
     def reached(rows: DataFrame, terms: str, kind: str) -> DataFrame:
         return rows.select("wanted", F.explode(terms).alias("name")).join(_by_name(links[kind]), "name").select("wanted", "atom_id").distinct()
@@ -128,7 +131,7 @@ def retrieve(questions: DataFrame, atoms: DataFrame, links: dict[str, DataFrame]
     c_rows = c_rows.select("wanted", "atom_id", "answer_object").distinct().join(c_allowed, "atom_id", "left_semi").select(
         "wanted", "atom_id", F.lit("").alias("answer_actor"), "answer_object", F.lit(False).alias("actor_match"), F.lit(True).alias("object_match"),
         F.lit(False).alias("time_match"), F.lit(1).alias("match_count"))
-    picked = finish(a_rows, "atom_id").unionByName(finish(b_rows, "answer_actor")).unionByName(finish(c_rows, "answer_object"))
+    picked = cut_lineage(finish(a_rows, "atom_id").unionByName(finish(b_rows, "answer_actor")).unionByName(finish(c_rows, "answer_object")))
     first_time = links["time"].join(broadcast_if_small(picked.select("atom_id").distinct()), "atom_id").groupBy("atom_id").agg(F.min("name").alias("first_time"))
     picked = picked.join(first_time, "atom_id", "left").withColumn("first_time", F.coalesce("first_time", F.lit("")))
     return asked.select("query_id", "wanted").join(picked, "wanted").drop("wanted")
@@ -237,7 +240,7 @@ def answer_questions(
     )
     rows = rows.withColumn("narrowed", narrowed)
     rows = rows.withColumn("rejected", F.when(kind != "C", keep(F.col("narrowed"), lambda atom: F.size(outside_scope(q, atom)) > 0)).otherwise(F.slice("narrowed", 1, 0)))
-    rows = rows.withColumn("atoms", F.col("narrowed"))
+    rows = cut_lineage(rows.withColumn("atoms", F.col("narrowed")))
     rows = rows.join(_conflict_counts(rows), "query_id", "left").fillna(0, ["conflict_count"])
 
     def exists(test) -> Column:
