@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulegrain.functions.text import words_in
-from rulegrain.operators.scale import size_checked
 
 MAX_INLINE_TERMS = 32
 MAX_AUTOMATON_TERMS = 200_000
+MAX_AUTOMATON_CHARACTERS = 16_000_000
 GRAM = 3
 
 
@@ -40,6 +40,14 @@ def matched_terms_column(text: Column, vocabulary: Sequence[str]) -> Column:
     return _matcher(vocabulary)(text)
 
 
+def small_vocabulary(terms: DataFrame) -> list[str] | None:
+    """The distinct terms when there are few enough of them, else None; one bounded job."""
+    rows = terms.select("term").distinct().limit(MAX_AUTOMATON_TERMS + 1).collect()
+    known = [row["term"] for row in rows if row["term"]]
+    within = len(rows) <= MAX_AUTOMATON_TERMS and sum(map(len, known)) <= MAX_AUTOMATON_CHARACTERS
+    return known if within else None
+
+
 def find_terms(
     texts: DataFrame, text: str, terms: DataFrame, term: str, strategy: str = "auto", keep: Sequence[str] | None = None,
 ) -> DataFrame:
@@ -51,10 +59,10 @@ def find_terms(
     """
     keep = [name for name in texts.columns if name != text] if keep is None else list(keep)
     vocabulary = terms.select(F.col(term).alias("term")).filter(F.length("term") > 0).distinct()
-    if strategy == "auto":
-        strategy = "automaton" if size_checked(vocabulary, max_rows=MAX_AUTOMATON_TERMS) else "grams"
-    if strategy == "automaton":
-        known = [row["term"] for row in vocabulary.limit(MAX_AUTOMATON_TERMS).collect()]  # size checked above
+    known = None if strategy == "grams" else small_vocabulary(vocabulary)
+    if strategy == "automaton" and known is None:
+        raise ValueError("the dictionary is too large for the automaton strategy")
+    if known is not None:
         return texts.select(*keep, F.explode(matched_terms_column(F.col(text), known)).alias("term"))
     return _gram_join(texts, text, vocabulary, keep)
 

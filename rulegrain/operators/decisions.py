@@ -89,8 +89,11 @@ def final_facts(reports: DataFrame) -> DataFrame:
         ("missing_item_count", "missing_items"),
     ]:
         out = out.withColumn(fact, size(column))
-    for fact, gap_type in GAP_FACTS.items():
-        out = out.withColumn(fact, scope_count(lambda gap, gap_type=gap_type: gap["gap_type"] == gap_type))
+    def of_type(kind: str):
+        return lambda gap: gap["gap_type"] == kind
+
+    for fact, kind in GAP_FACTS.items():
+        out = out.withColumn(fact, scope_count(of_type(kind)))
     missing_material = F.size(F.filter("missing_items", lambda item: has_any(item, MATERIAL_ITEM_WORDS)))
     return (
         out.withColumn("missing_material_item_count", missing_material)
@@ -122,11 +125,12 @@ def follow_up(rule_actions: Column, directions: Column, next_step: Column) -> Co
 def scene_profile(profiles: list[Mapping[str, Any]], question: Column, scene_names: Column) -> Column:
     """Id of the first profile with a scene hit and a keyword hit."""
     out = F.lit("")
+
+    def overlaps(wanted: str):
+        return lambda name: F.contains(F.lit(wanted), name) | F.contains(name, F.lit(wanted))
+
     for profile in reversed(profiles):
-        near = reduce(lambda a, b: a | b, [
-            F.exists(scene_names, lambda name, wanted=wanted: F.contains(F.lit(wanted), name) | F.contains(name, F.lit(wanted)))
-            for wanted in profile["scene_names"]
-        ])
+        near = reduce(lambda a, b: a | b, [F.exists(scene_names, overlaps(wanted)) for wanted in profile["scene_names"]])
         out = F.when(near & has_any(question, profile["question_keywords"]), profile["profile_id"]).otherwise(out)
     return out
 

@@ -11,8 +11,8 @@ from rulegrain.functions.text import (
     clean_text, collapse_space, col, ends_with_any, first_that, has_any, lookup_key, remove_space, split_label_terms,
     starts_with_any, strip, text, words,
 )
-from rulegrain.operators.containment import MAX_AUTOMATON_TERMS, find_terms, matched_terms_column
-from rulegrain.operators.scale import broadcast_if_small, size_checked
+from rulegrain.operators.containment import find_terms, matched_terms_column, small_vocabulary
+from rulegrain.operators.scale import broadcast_if_small
 from rulegrain.session import cut_lineage
 
 CHUNK_BREAK = chr(1)  # in no term, and not whitespace
@@ -57,8 +57,8 @@ def with_matches(df: DataFrame, body: Column, terms: DataFrame | None, alias: st
     )
     if terms is None:
         return df.withColumn(alias, words([]))
-    if size_checked(terms.select("term"), max_rows=MAX_AUTOMATON_TERMS):
-        known = [row["term"] for row in terms.select("term").distinct().limit(MAX_AUTOMATON_TERMS).collect()]
+    known = small_vocabulary(terms)
+    if known is not None:
         return df.withColumn(alias, longest_first(matched_terms_column(body, known)))
     found = find_terms(df.select(row_id, body.alias("_body")), "_body", terms, "term", strategy="grams")
     gathered = found.groupBy(row_id).agg(longest_first(F.collect_set("term")).alias(alias))

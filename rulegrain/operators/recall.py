@@ -1,4 +1,8 @@
-"""Evidence recall for tables of questions: batch reports and the multi-round loop."""
+"""Evidence recall for tables of questions: batch reports and the multi-round loop.
+
+Joins carry no broadcast hints: the question side is measured by adaptive execution, which
+broadcasts it when it turns out small and keeps the shuffled join when not.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from rulegrain.functions import vocab as V
 from rulegrain.functions.rules import decision, fact_types, first_match, render
 from rulegrain.functions.text import cited_titles, clean_text, has_any, is_true, split_focus_terms, strip, text, truncate, words
 from rulegrain.operators.containment import find_terms
-from rulegrain.operators.scale import broadcast_if_small, ordered_distinct, top_rows
+from rulegrain.operators.scale import ordered_distinct, top_rows
 from rulegrain.session import cut_lineage
 
 SCORE_FIELDS = [("what", 8), ("how", 7), ("where", 6), ("content_original", 5), ("source_document", 3)]
@@ -28,14 +32,14 @@ def recall_hits(queries: DataFrame, atoms: DataFrame, scenes: DataFrame, matches
     wanted = queries.select("query_id", "query").filter(F.col("query") != "")
     names = scenes.select("scene_key", "scene_name", "module_code", F.col("scene_name").alias("_name"))
     seen = find_terms(names, "_name", wanted, "query").withColumnRenamed("term", "query")
-    scene_hits = seen.join(broadcast_if_small(wanted), "query").drop("query")
+    scene_hits = seen.join(wanted, "query").drop("query")
     listed = lambda name: F.concat(F.lit('["'), F.array_join(name, '", "'), F.lit('"]'))
     blob = F.concat_ws(" ", text("content_original"), text("what"), text("how"), text("where"), listed("modules"), listed("categories"))
     rows = atoms.select("atom_id", "row_no", blob.alias("_blob"))
-    by_text = find_terms(rows, "_blob", wanted, "query").join(broadcast_if_small(wanted.withColumnRenamed("query", "term")), "term").select("query_id", "atom_id", "row_no")
-    codes = broadcast_if_small(scene_hits.select("query_id", F.col("module_code").alias("code")).distinct())
+    by_text = find_terms(rows, "_blob", wanted, "query").join(wanted.withColumnRenamed("query", "term"), "term").select("query_id", "atom_id", "row_no")
+    codes = scene_hits.select("query_id", F.col("module_code").alias("code")).distinct()
     by_module = atoms.select("atom_id", "row_no", F.explode("label_codes").alias("code")).join(codes, "code").select("query_id", "atom_id", "row_no")
-    precise = matches.join(broadcast_if_small(scene_hits.select("query_id", "scene_key")), "scene_key").select("query_id", "atom_id").distinct()
+    precise = matches.join(scene_hits.select("query_id", "scene_key"), "scene_key").select("query_id", "atom_id").distinct()
     return {"scenes": scene_hits, "broad": by_text.union(by_module).distinct(), "precise": precise}
 
 
@@ -44,7 +48,7 @@ def recall_report(queries: DataFrame, atoms: DataFrame, modules: DataFrame, scen
     hits = recall_hits(queries, atoms, scenes, matches)
     count = lambda rows, alias: rows.groupBy("query_id").agg(F.count("*").alias(alias))
     first = top_rows(hits["broad"], ["query_id"], [F.col("row_no"), F.col("atom_id")], 10).select("query_id", "atom_id", "rank")
-    info = broadcast_if_small(modules.select("code", "label_path", F.concat_ws(" > ", "section", "category").alias("category_path")).dropDuplicates(["code"]))
+    info = modules.select("code", "label_path", F.concat_ws(" > ", "section", "category").alias("category_path")).dropDuplicates(["code"])
     tagged = first.join(atoms.select("atom_id", F.explode("label_codes").alias("code")), "atom_id").join(info, "code")
 
     def top(rows: DataFrame, name: str, alias: str) -> DataFrame:
@@ -54,7 +58,7 @@ def recall_report(queries: DataFrame, atoms: DataFrame, modules: DataFrame, scen
                                                         lambda item: F.struct(item[name].alias("name"), item["n"].alias("n"))).alias(alias))
 
     named = hits["precise"].join(atoms.select("atom_id", "who", "who_terms"), "atom_id").join(
-        broadcast_if_small(queries.select("query_id", F.col("who_terms").alias("wanted"))), "query_id")
+        queries.select("query_id", F.col("who_terms").alias("wanted")), "query_id")
     body = clean_text("who")
     refined = named.filter(F.exists("wanted", lambda term: F.contains(body, term) | F.array_contains("who_terms", term)))
     words_of = lambda rows: rows.select("query_id", F.explode("who_terms").alias("term"))
@@ -83,7 +87,7 @@ def text_scores(terms: DataFrame, atoms: DataFrame, limit: int) -> DataFrame:
     weight = F.lit(0)
     for name, points in reversed(SCORE_FIELDS):
         weight = F.when(F.contains(name, F.col("term")), points).otherwise(weight)
-    hits = found.select("atom_id", "term", weight.alias("points")).join(broadcast_if_small(asked), "term")
+    hits = found.select("atom_id", "term", weight.alias("points")).join(asked, "term")
     gathered = hits.groupBy("query_id", "atom_id").agg(F.sum("points").alias("score"), F.sort_array(F.collect_list(F.struct("at", "term"))).alias("t"))
     return gathered.select("query_id", "atom_id", "score", F.array_join(F.transform(F.slice("t", 1, limit), lambda item: item["term"]), "/").alias("matched"))
 
@@ -147,21 +151,21 @@ def _scene_reason(lead: str, with_score: bool) -> Column:
 
 def _scene_rows(routed: DataFrame, matches: DataFrame, scenes: DataFrame) -> DataFrame:
     wanted = routed.select("query_id", F.explode("scene_keys").alias("scene_key"))
-    names = broadcast_if_small(scenes.select("scene_key", "scene_name"))
-    return matches.select("atom_id", "scene_key", F.col("score").alias("match_score")).join(broadcast_if_small(wanted), "scene_key").join(names, "scene_key")
+    names = scenes.select("scene_key", "scene_name")
+    return matches.select("atom_id", "scene_key", F.col("score").alias("match_score")).join(wanted, "scene_key").join(names, "scene_key")
 
 
 def initial_candidates(routed: DataFrame, atoms: DataFrame, modules: DataFrame, scenes: DataFrame, matches: DataFrame) -> DataFrame:
     """Candidates by scene (45 + score), module (14), text (10 or more) and actor (18) (I4)."""
     by_scene = _gives(_scene_rows(routed, matches, scenes), F.col("match_score") + 45, _scene_reason("场景精召回", True), 1)
     codes = routed.select("query_id", F.explode("module_codes").alias("code"))
-    labels = broadcast_if_small(modules.select("code", "label_path").dropDuplicates(["code"]))
-    tagged = atoms.select("atom_id", F.explode("label_codes").alias("code")).join(broadcast_if_small(codes), "code").join(labels, "code")
+    labels = modules.select("code", "label_path").dropDuplicates(["code"])
+    tagged = atoms.select("atom_id", F.explode("label_codes").alias("code")).join(codes, "code").join(labels, "code")
     by_module = _gives(tagged, F.lit(14), F.concat(F.lit("业务模块宽召回:"), "label_path"), 2)
     hits = text_scores(_term_rows(focus_terms(routed)), atoms, 5).filter(F.col("score") >= 10)
     by_text = _gives(hits, F.col("score"), F.concat(F.lit("语义命中:"), "matched"), 3)
     actors = routed.select("query_id", F.posexplode("who_terms").alias("at", "term"))
-    found = find_terms(atoms.select("atom_id", clean_text("who").alias("_who")), "_who", actors, "term").join(broadcast_if_small(actors), "term")
+    found = find_terms(atoms.select("atom_id", clean_text("who").alias("_who")), "_who", actors, "term").join(actors, "term")
     named = ordered_distinct(found, ["query_id", "atom_id"], "term", "at", None, "terms")
     by_actor = _gives(named, F.lit(18), F.concat(F.lit("主体细筛:"), F.array_join("terms", "/")), 4)
     return accumulate(reduce(DataFrame.unionByName, [by_scene, by_module, by_text, by_actor]))
@@ -179,7 +183,7 @@ def evidence_rows(current: DataFrame, limit: int | None) -> DataFrame:
 def round_context(current: DataFrame, modules: DataFrame) -> dict[str, DataFrame]:
     """Leading documents and modules of each question."""
     docs = current.groupBy("query_id", "source_document").agg(F.count("*").alias("n"))
-    paths = broadcast_if_small(modules.select("code", "label_path").dropDuplicates(["code"]))
+    paths = modules.select("code", "label_path").dropDuplicates(["code"])
     tagged = current.select("query_id", F.explode("label_codes").alias("code")).join(paths, "code").groupBy("query_id", "label_path").agg(F.count("*").alias("n"))
     return {
         "documents": top_rows(docs, ["query_id"], [F.desc("n"), F.col("source_document")], 8),
@@ -256,7 +260,7 @@ def recall_facts(routed: DataFrame, evidence: DataFrame, profile_facts: DataFram
     """
     blob, rule = _blob(*EVIDENCE_BLOB), F.col("rule_type")
     actors = _blob("who", "what", "how")
-    joined = evidence.join(broadcast_if_small(routed.select("query_id", "who_terms")), "query_id")
+    joined = evidence.join(routed.select("query_id", "who_terms"), "query_id")
     both = lambda types, terms: F.count_if(rule.isin(types)) + F.count_if(has_any(blob, terms))
     counted = joined.groupBy("query_id").agg(
         F.count("*").alias("evidence_count"),
@@ -331,7 +335,7 @@ def atoms_to_analyse(current: DataFrame, limit: int = 6) -> DataFrame:
 def atom_analysis(picked: DataFrame, routed: DataFrame) -> DataFrame:
     """What each picked atom lacks for direct execution."""
     rows = evidence_rows(picked.withColumn("rank", F.col("position")), None).join(
-        broadcast_if_small(routed.select("query_id", "question", "who_terms")), "query_id")
+        routed.select("query_id", "question", "who_terms"), "query_id")
     blob, q = _blob(*EVIDENCE_BLOB), F.col("question")
     asks = lambda terms: has_any(q, terms) & ~has_any(blob, terms)
     process = has_any(q, [*V.PROCESS_TERMS, *V.HOW_QUESTION_TERMS]) & ~has_any(blob, V.PROCESS_TERMS)
@@ -371,7 +375,7 @@ def expand(
     ask = lambda code: active.filter(F.array_contains("wanted", code))
     only = lambda rows, code: rows.join(ask(code).select("query_id"), "query_id", "left_semi")
     label = lambda rows, code: rows.withColumn("direction", F.lit(code))
-    catalog = broadcast_if_small(modules.select("code", "label_path", F.concat_ws("::", "section", "category").alias("category_key")).dropDuplicates(["code"]))
+    catalog = modules.select("code", "label_path", F.concat_ws("::", "section", "category").alias("category_key")).dropDuplicates(["code"])
     tags = atoms.select("atom_id", F.explode("label_codes").alias("code"))
     docs = current.select("query_id", "source_document").distinct()
     codes_now = current.select("query_id", F.explode("label_codes").alias("code")).distinct()
@@ -380,7 +384,7 @@ def expand(
     a_scene = _gives(_scene_rows(ask("A"), matches, scenes), F.col("match_score") + 26, _scene_reason("A-业务向下", False), 1)
     scene_words = scenes.groupBy(F.col("module_code").alias("code")).agg(F.sort_array(F.collect_list(F.struct("scene_key", F.concat(F.array("scene_name"), "scene_terms").alias("terms")))).alias("s"))
     scene_words = scene_words.select("code", F.filter(F.array_distinct(F.flatten(F.transform("s", lambda item: item["terms"]))), lambda term: ~term.isin(V.GENERIC_FOCUS_TERMS)).alias("terms"))
-    pairs = ask("A").select("query_id", F.explode("module_codes").alias("code")).join(broadcast_if_small(scene_words), "code", "left").join(focus, "query_id")
+    pairs = ask("A").select("query_id", F.explode("module_codes").alias("code")).join(scene_words, "code", "left").join(focus, "query_id")
     pairs = pairs.withColumn("pair_id", F.concat_ws(BREAK, "query_id", "code")).withColumn(
         "extra", F.array_distinct(F.concat(F.slice(F.coalesce("terms", words([])), 1, 10), F.slice("focus", 1, 10))))
     pair_terms = pairs.select(F.col("pair_id").alias("query_id"), F.posexplode("extra").alias("at", "term"))
@@ -393,11 +397,11 @@ def expand(
     siblings = asked_b.join(catalog.select(F.col("code").alias("module_code"), "category_key"), "category_key").select("query_id", "question", "module_code")
     own = asked_b.select("query_id", "question", F.col("code").alias("module_code"))
     visits = siblings.unionAll(own).groupBy("query_id", "question", "module_code").agg(F.count("*").alias("visits"))
-    near = visits.join(broadcast_if_small(scenes.select("scene_key", "scene_name", "scene_terms", "module_code")), "module_code").join(focus, "query_id")
+    near = visits.join(scenes.select("scene_key", "scene_name", "scene_terms", "module_code"), "module_code").join(focus, "query_id")
     near = near.join(ask("B").select("query_id", F.explode("scene_keys").alias("scene_key")), ["query_id", "scene_key"], "left_anti")
     points = F.when(F.exists("scene_terms", lambda term: F.contains("question", term)), 12).otherwise(0) + F.when(F.exists("focus", lambda term: F.contains("scene_name", term)), 10).otherwise(0)
     near = near.withColumn("points", F.when(points == 0, 6).otherwise(points)).select("query_id", "scene_key", "scene_name", "points", "visits")
-    b_rows = matches.select("atom_id", "scene_key", F.col("score").alias("match_score")).join(broadcast_if_small(near), "scene_key")
+    b_rows = matches.select("atom_id", "scene_key", F.col("score").alias("match_score")).join(near, "scene_key")
     b_all = _gives(b_rows, (F.col("points") + F.col("match_score") * 0.5) * F.col("visits"), F.concat(F.lit("B-同层横向:"), "scene_name"), 3)
 
     # C: neighbouring articles
@@ -438,15 +442,15 @@ def _bonus_rows(hits: DataFrame, asked: DataFrame, atoms: DataFrame, docs: DataF
     Bonuses alone can reach the minimum, so the atoms of the current documents with a fitting rule
     type join the text hits; no other atom can pass.
     """
-    in_docs = atoms.select("atom_id", "source_document", "rule_type").join(broadcast_if_small(docs), "source_document").join(broadcast_if_small(asked), "query_id")
+    in_docs = atoms.select("atom_id", "source_document", "rule_type").join(docs, "source_document").join(asked, "query_id")
     in_docs = in_docs.filter(F.array_contains(F.element_at(types, F.col("bucket")), F.col("rule_type"))).select("query_id", "bucket", "atom_id")
-    in_codes = atoms.select("atom_id", "rule_type", F.explode("label_codes").alias("code")).join(broadcast_if_small(codes), "code").join(broadcast_if_small(asked), "query_id")
+    in_codes = atoms.select("atom_id", "rule_type", F.explode("label_codes").alias("code")).join(codes, "code").join(asked, "query_id")
     in_codes = in_codes.filter(F.array_contains(F.element_at(types, F.col("bucket")), F.col("rule_type"))).select("query_id", "bucket", "atom_id").distinct()
     base = hits.select("query_id", "bucket", "atom_id", "score", "matched")
     silent = lambda rows: rows.withColumn("score", F.lit(0).cast("long")).withColumn("matched", F.lit(""))
     rows = base.unionByName(silent(in_docs)).unionByName(silent(in_codes)).groupBy("query_id", "bucket", "atom_id").agg(F.max("score").alias("score"), F.max("matched").alias("matched"))
-    same_doc = broadcast_if_small(docs.withColumn("in_doc", F.lit(True)))
-    same_code = atoms.select("atom_id", F.explode("label_codes").alias("code")).join(broadcast_if_small(codes), "code").select("query_id", "atom_id", F.lit(True).alias("in_code")).distinct()
+    same_doc = docs.withColumn("in_doc", F.lit(True))
+    same_code = atoms.select("atom_id", F.explode("label_codes").alias("code")).join(codes, "code").select("query_id", "atom_id", F.lit(True).alias("in_code")).distinct()
     full = rows.join(atoms.select("atom_id", "source_document", "rule_type"), "atom_id").join(same_doc, ["query_id", "source_document"], "left").join(same_code, ["query_id", "atom_id"], "left")
     total = (
         F.col("score") + F.when(F.array_contains(F.element_at(types, F.col("bucket")), F.col("rule_type")), type_points).otherwise(0)
@@ -464,13 +468,13 @@ def adjacent_atoms(leading: DataFrame, atoms: DataFrame, segments: DataFrame) ->
     refs = leading.select("query_id", "atom_id", "source_document", strip("article_reference").alias("article")).filter(F.col("article") != "")
     places = refs.select("source_document", "article").distinct()
     seg = segments.select(F.col("doc").alias("source_document"), "ref", "seg_no").filter(F.col("ref") != "")
-    fits = seg.join(broadcast_if_small(places), "source_document").filter(F.contains("article", F.col("ref")) | F.contains("ref", F.col("article")))
+    fits = seg.join(places, "source_document").filter(F.contains("article", F.col("ref")) | F.contains("ref", F.col("article")))
     at = fits.groupBy("source_document", "article").agg(F.min_by("seg_no", F.struct(-F.length("ref"), F.col("seg_no"))).alias("seg_no"))
     beside = at.select("source_document", "article", F.explode(F.array(F.col("seg_no") - 1, F.col("seg_no") + 1)).alias("seg_no"))
     neighbors = beside.join(seg.withColumnRenamed("ref", "neighbor_ref"), ["source_document", "seg_no"])
     wanted = refs.join(neighbors, ["source_document", "article"]).groupBy("query_id", "source_document", "neighbor_ref").agg(F.count("*").alias("times"))
     pool = atoms.select("atom_id", "source_document", strip("article_reference").alias("_ref"))
-    return pool.join(broadcast_if_small(wanted), "source_document").filter(F.contains("_ref", F.col("neighbor_ref"))).select("query_id", "atom_id", "source_document", "neighbor_ref", "times")
+    return pool.join(wanted, "source_document").filter(F.contains("_ref", F.col("neighbor_ref"))).select("query_id", "atom_id", "source_document", "neighbor_ref", "times")
 
 
 def cited_documents(current: DataFrame, asked: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -489,18 +493,18 @@ def cited_documents(current: DataFrame, asked: DataFrame, atoms: DataFrame) -> D
     library = atoms.select("source_document").distinct()
     lib = library.withColumn("_name", F.col("source_document"))
     term_rows = first.select("query_id", F.posexplode("terms").alias("at", "term"))
-    alike = find_terms(lib, "_name", term_rows, "term").join(broadcast_if_small(term_rows), "term").groupBy("query_id", "source_document").agg(
+    alike = find_terms(lib, "_name", term_rows, "term").join(term_rows, "term").groupBy("query_id", "source_document").agg(
         F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("at", "term"))).alias("t"))
     from rulegrain.operators.taxonomy import overlapping_values
 
     near = overlapping_values(library.select(F.col("source_document").alias("value")), titles.select(F.col("title").alias("needle")).distinct())
-    cited = near.join(broadcast_if_small(titles.select("query_id", F.col("title").alias("needle"))), "needle").select("query_id", F.col("value").alias("source_document"), F.lit(18).alias("cite")).distinct()
+    cited = near.join(titles.select("query_id", F.col("title").alias("needle")), "needle").select("query_id", F.col("value").alias("source_document"), F.lit(18).alias("cite")).distinct()
     scored = alike.join(cited, ["query_id", "source_document"], "full_outer")
     points = F.coalesce("cite", F.lit(0)) + F.coalesce("n", F.lit(0)) * 5
     matched = F.array_join(F.transform(F.slice(F.coalesce("t", F.filter(F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("term"))), lambda _: F.lit(False))), 1, 4), lambda item: item["term"]), "/")
     scored = scored.select("query_id", "source_document", points.alias("points"), matched.alias("matched")).filter(F.col("points") >= 10)
     others = scored.join(docs, ["query_id", "source_document"], "left_anti")
-    return atoms.select("atom_id", "source_document").join(broadcast_if_small(others), "source_document")
+    return atoms.select("atom_id", "source_document").join(others, "source_document")
 
 
 def merge_expansions(candidates: DataFrame, contributions: DataFrame, compat: bool = True) -> DataFrame:
@@ -547,7 +551,7 @@ def recall_loop(
     round is a fixed set of joins over the open questions; its candidates are written out before the
     next round so plans do not grow.
     """
-    names = broadcast_if_small(modules.select("code", "module").dropDuplicates(["code"]))
+    names = modules.select("code", "module").dropDuplicates(["code"])
     named = questions.select("query_id", F.posexplode("module_codes").alias("at", "code")).join(names, "code")
     listed = named.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "module"))), lambda item: item["module"]).alias("module_names"))
     routed = cut_lineage(questions.join(listed, "query_id", "left").withColumn("module_names", F.coalesce("module_names", words([]))))
@@ -563,6 +567,8 @@ def recall_loop(
         "directions", F.array().cast("array<struct<direction:string,reason:string,missing_dimension:string>>"))
     state = cut_lineage(state)
     history = []
+    checked = atom_analysis(atoms_to_analyse(current.limit(0)), routed)
+    focused = focus_terms(routed).limit(0)
     for number in range(1, max_rounds + 1):
         open_ids = state.filter(F.col("stop_reason").isNull()).select("query_id")
         asked = routed.join(open_ids, "query_id", "left_semi")
@@ -574,11 +580,13 @@ def recall_loop(
         wanted = F.array_distinct(F.transform("directions", lambda item: item["direction"]))
         wanted = F.when(F.size("directions") > 0, wanted).otherwise(words(["D", "E"]))
         active = asked.join(going.select("query_id", wanted.alias("wanted")), "query_id")
-        focus = cut_lineage(focus_terms(active, now, analysis))
+        checked = checked.join(asked.select("query_id"), "query_id", "left_anti").unionByName(analysis)
+        focus = cut_lineage(focus_terms(asked, now, analysis))
+        focused = focused.join(asked.select("query_id"), "query_id", "left_anti").unionByName(focus)
         grown = expand(active, now.join(going.select("query_id"), "query_id", "left_semi"), atoms, modules, scenes, matches, segments, focus, gap_profiles(going, analysis))
         candidates = cut_lineage(merge_expansions(candidates, grown, compat))
         limits = state.select("query_id", (F.greatest(F.lit(initial_limit), F.col("initial_count")) + number * 8).alias("_limit"))
-        moving = candidates.join(going.select("query_id"), "query_id", "left_semi").join(broadcast_if_small(limits), "query_id")
+        moving = candidates.join(going.select("query_id"), "query_id", "left_semi").join(limits, "query_id")
         renewed = full(rank_candidates(moving, atoms, F.col("_limit")).drop("_limit"))
         fresh = renewed.select("query_id", "atom_id").join(now.select("query_id", "atom_id"), ["query_id", "atom_id"], "left_anti").groupBy("query_id").agg(F.count("*").alias("new_count"))
         kept = current.join(going.select("query_id"), "query_id", "left_anti")
@@ -601,7 +609,7 @@ def recall_loop(
     exhausted = (F.col("stop_reason") == "no_new_candidates") & (F.col("judge_final_decision") == GO_ON)
     sizes = current.groupBy("query_id").agg(F.count("*").alias("final_count"))
     report = final.withColumn("final_decision", F.when(exhausted, STOP).otherwise(F.col("judge_final_decision"))).join(sizes, "query_id", "left").fillna(0, ["final_count"])
-    return {"report": report, "evidence": current, "candidates": candidates, "rounds": reduce(DataFrame.unionByName, history), "routed": routed, "analysis": analysis}
+    return {"report": report, "evidence": current, "candidates": candidates, "rounds": reduce(DataFrame.unionByName, history), "routed": routed, "analysis": cut_lineage(checked), "focus": cut_lineage(focused)}
 
 
 # ------------------------------------------------------------------ summary
@@ -681,7 +689,9 @@ def evidence_buckets(current: DataFrame, focus: DataFrame) -> DataFrame:
 def summarise(result: dict[str, DataFrame]) -> DataFrame:
     """Summary row per question: buckets, gaps, cards, readiness, next step, risks."""
     report, current = result["report"], result["evidence"]
-    focus = focus_terms(result["routed"])
+    lead = F.concat(split_focus_terms("question"), split_focus_terms("query"), "who_terms", "scene_names", F.coalesce("last", words([])))
+    focus = result["routed"].join(result["focus"].withColumnRenamed("focus", "last"), "query_id", "left").select(
+        "query_id", F.slice(F.array_distinct(F.filter(lead, lambda term: term != "")), 1, 24).alias("focus"))
     checks = result["analysis"].groupBy("query_id").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("position", F.struct("atom_id", "missing_elements", "next_split_focus").alias("a")))), lambda item: item["a"]).alias("checks"))
     ambiguous = current.filter(F.col("rank") <= 24).groupBy("query_id").agg(F.count_if(is_true("is_ambiguous")).alias("ambiguity_count"))
