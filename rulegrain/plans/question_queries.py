@@ -177,7 +177,7 @@ def question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["question_candidates"] = MATCHES + f""", q AS (SELECT query_id, question, {SEGMENT_ACTOR} AS actor, {SEGMENT_OBJECT} AS object
   FROM ({ansi(QUESTIONS)}) JOIN customer ON query_id = CAST(c_custkey AS STRING)
-  WHERE question NOT LIKE '%谁负责%' AND question NOT LIKE '%是指%' AND contains(question, {SEGMENT_ACTOR})),
+  WHERE question NOT LIKE '%谁负责%' AND question NOT LIKE '%是指%' AND contains(question, {SEGMENT_ACTOR}) AND {SEGMENT_ACTOR} <> '开户行'),
 qpool AS (SELECT a.*, string_split(who, '、')[1] AS actor, a.atom_id IN (SELECT atom_id FROM matches) AS sc FROM atoms a
   WHERE rule_type IN ('OBL_MANDATORY', 'OBL_ONGOING', 'PRO_FORBIDDEN', 'PER_AUTH', 'PRC_FLOW')),
 qranked AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY sc DESC, source_document, article_reference, atom_id) AS r FROM qpool)
