@@ -541,6 +541,11 @@ def _per_candidate():
 
 
 # ------------------------------------------------------------------ the loop
+def _last_round(parts: list[DataFrame], report: DataFrame) -> DataFrame:
+    """Rows of the last round each question took part in."""
+    return reduce(DataFrame.unionByName, parts).join(report.select("query_id", F.col("rounds").alias("round")), ["query_id", "round"]).drop("round")
+
+
 def recall_loop(
     questions: DataFrame, atoms: DataFrame, modules: DataFrame, scenes: DataFrame, matches: DataFrame, segments: DataFrame,
     max_rounds: int = 3, initial_limit: int = 40, judged_atoms: int = 18, compat: bool = True,
@@ -567,8 +572,7 @@ def recall_loop(
         "directions", F.array().cast("array<struct<direction:string,reason:string,missing_dimension:string>>"))
     state = cut_lineage(state)
     history = []
-    checked = atom_analysis(atoms_to_analyse(current.limit(0)), routed)
-    focused = focus_terms(routed).limit(0)
+    checked, focused = [], []
     for number in range(1, max_rounds + 1):
         open_ids = state.filter(F.col("stop_reason").isNull()).select("query_id")
         asked = routed.join(open_ids, "query_id", "left_semi")
@@ -580,9 +584,9 @@ def recall_loop(
         wanted = F.array_distinct(F.transform("directions", lambda item: item["direction"]))
         wanted = F.when(F.size("directions") > 0, wanted).otherwise(words(["D", "E"]))
         active = asked.join(going.select("query_id", wanted.alias("wanted")), "query_id")
-        checked = checked.join(asked.select("query_id"), "query_id", "left_anti").unionByName(analysis)
+        checked.append(analysis.withColumn("round", F.lit(number)))
         focus = cut_lineage(focus_terms(asked, now, analysis))
-        focused = focused.join(asked.select("query_id"), "query_id", "left_anti").unionByName(focus)
+        focused.append(focus.withColumn("round", F.lit(number)))
         grown = expand(active, now.join(going.select("query_id"), "query_id", "left_semi"), atoms, modules, scenes, matches, segments, focus, gap_profiles(going, analysis))
         candidates = cut_lineage(merge_expansions(candidates, grown, compat))
         limits = state.select("query_id", (F.greatest(F.lit(initial_limit), F.col("initial_count")) + number * 8).alias("_limit"))
@@ -609,7 +613,7 @@ def recall_loop(
     exhausted = (F.col("stop_reason") == "no_new_candidates") & (F.col("judge_final_decision") == GO_ON)
     sizes = current.groupBy("query_id").agg(F.count("*").alias("final_count"))
     report = final.withColumn("final_decision", F.when(exhausted, STOP).otherwise(F.col("judge_final_decision"))).join(sizes, "query_id", "left").fillna(0, ["final_count"])
-    return {"report": report, "evidence": current, "candidates": candidates, "rounds": reduce(DataFrame.unionByName, history), "routed": routed, "analysis": cut_lineage(checked), "focus": cut_lineage(focused)}
+    return {"report": report, "evidence": current, "candidates": candidates, "rounds": reduce(DataFrame.unionByName, history), "routed": routed, "analysis": _last_round(checked, report), "focus": _last_round(focused, report)}
 
 
 # ------------------------------------------------------------------ summary
