@@ -19,7 +19,7 @@ from rulegrain.llm.common import table, text_of
 PATTERN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _BLOCK = 1_000_000  # characters cut at once
-_REMEMBERED = 400_000  # pieces remembered per task
+_REMEMBERED = 600_000  # pieces remembered by a Python worker
 
 
 def byte_letters() -> list[str]:
@@ -50,6 +50,8 @@ class Vocabulary:
         codes = np.array([ids[left] * self.width + ids[right] for left, right in pairs], dtype=np.int64)
         order = np.argsort(codes, kind="stable")
         self.codes, self.ranks = codes[order], order
+        self.left = np.array([ids[left] for left, _ in pairs], dtype=np.int64)
+        self.right = np.array([ids[right] for _, right in pairs], dtype=np.int64)
         self.merged = np.array([ids[left + right] for left, right in pairs], dtype=np.int64)
         self.special_cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
@@ -65,6 +67,12 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def in_order(at: np.ndarray) -> np.ndarray:
+    """Distinct positions, ascending."""
+    at.sort()
+    return at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+
+
 def merge_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
     """Token ids of each piece. One index holds, for every active pair, all its positions in all pieces.
 
@@ -75,6 +83,7 @@ def merge_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]
     sizes = np.array([len(piece) for piece in pieces], dtype=np.int64)
     token = vocabulary.byte_ids[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
     total = len(token)
+    token = np.append(token, -1)  # stands for the right neighbour of the last position of a piece
     if not total:
         return [[] for _ in pieces]
     ends = np.cumsum(sizes)
@@ -92,21 +101,22 @@ def merge_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]
         at, ranks = at[known], ranks[known]
         order = np.argsort(ranks, kind="stable")
         at, ranks = at[order], ranks[order]
-        cuts = np.flatnonzero(np.diff(ranks)) + 1
-        for part in np.split(at, cuts) if len(at) else []:
-            rank = int(vocabulary.rank(token[part[:1]], token[after[part[:1]]])[0])
+        if not len(at):
+            return
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        starts = [0, *cuts.tolist()]
+        for rank, start, end in zip(ranks[starts].tolist(), starts, [*starts[1:], len(at)], strict=True):
             if rank not in index:
                 index[rank] = []
                 heapq.heappush(active, rank)
-            index[rank].append(part)
+            index[rank].append(at[start:end])
 
     enter(np.flatnonzero(after < total))
     while active:
         rank = heapq.heappop(active)
         lists = index.pop(rank)
-        at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
-        at = at[(token[at] >= 0) & (after[at] < total)]
-        at = at[vocabulary.rank(token[at], token[after[at]]) == rank]
+        at = lists[0] if len(lists) == 1 else in_order(np.concatenate(lists))
+        at = at[(token[at] == vocabulary.left[rank]) & (token[after[at]] == vocabulary.right[rank])]
         if len(at) > 1:
             touching = after[at[:-1]] == at[1:]
             if touching.any():
@@ -123,14 +133,10 @@ def merge_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]
         inside = beyond < total
         before[beyond[inside]] = at[inside]
         lefts = before[at]
-        enter(np.unique(np.concatenate([at[inside], lefts[lefts >= 0]])))
-    alive = token >= 0
-    kept = token[alive].tolist()
-    bounds = np.concatenate(([0], np.cumsum(alive)[ends - 1])).tolist() if (sizes > 0).all() else None
-    if bounds is None:
-        running = np.concatenate(([0], np.cumsum(alive)))
-        edges = np.concatenate(([0], ends))
-        bounds = running[edges].tolist()
+        enter(in_order(np.concatenate([at[inside], lefts[lefts >= 0]])))
+    alive = token[:total] >= 0
+    kept = token[:total][alive].tolist()
+    bounds = np.concatenate(([0], np.cumsum(alive)))[np.concatenate(([0], ends))].tolist()
     return [kept[bounds[k]:bounds[k + 1]] for k in range(len(pieces))]
 
 
@@ -159,35 +165,47 @@ def pieces_of(text: str, vocabulary: Vocabulary) -> Iterator[list[str]]:
 
 
 class Coder:
-    """Remembers pieces already merged in this task; new ones of a whole batch are merged together."""
+    """Remembers pieces already merged by this Python worker; new ones of a group of texts are merged together."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.known: dict[str, list[int]] = {}
+        self.ids: dict[str, tuple[int, ...]] = {}
+        self.spelled: dict[str, str] = {}
+        self.decoded: dict[str, bytes] = {}
 
     def learn(self, pieces: Iterable[str]) -> None:
         special = self.vocabulary.special
-        new = [piece for piece in pieces if piece not in self.known]
+        new = [piece for piece in pieces if piece not in self.ids]
         plain = [piece for piece in new if piece not in special]
-        self.known.update(zip(plain, merge_pieces([piece.encode("utf-8", "surrogatepass") for piece in plain], self.vocabulary), strict=True))
-        self.known.update({piece: [special[piece]] for piece in new if piece in special})
-
-    def encode_all(self, texts: list[str]) -> Iterator[Iterator[list[list[int]]]]:
-        """For each text, its blocks of ids by piece."""
-        cut = [list(pieces_of(text, self.vocabulary)) for text in texts]
-        distinct = set()
-        for text in cut:
-            for block in text:
-                distinct.update(block)
-        if len(self.known) + len(distinct) > _REMEMBERED:
-            self.known = {}
-        self.learn(distinct)
-        for text in cut:
-            yield (list(map(self.known.__getitem__, block)) for block in text)
-
-
-def text_groups(texts: list[str], characters: int = 2 * _BLOCK) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters, so that few pieces are held at once."""
+        found = merge_pieces([piece.encode("utf-8", "surrogatepass") for piece in plain], self.vocabulary)
+        self.ids.update(zip(plain, map(tuple, found), strict=True))
+        self.ids.update({piece: (special[piece],) for piece in new if piece in special})
+        for piece in new:
+            self.spelled[piece] = ",".join(map(str, self.ids[piece]))
+            self.decoded[piece] = b"".join(map(self.vocabulary.bytes_of.__getitem__, self.ids[piece]))
+
+    def cut_all(self, texts: list[str]) -> Iterator[list[str]]:
+        """The pieces of each text, all of them learnt; equal pieces share one string."""
+        same: dict[str, str] = {}
+        cut = []
+        for text in texts:
+            pieces: list[str] = []
+            for block in pieces_of(text, self.vocabulary):
+                pieces.extend(map(same.setdefault, block, block))
+            cut.append(pieces)
+        if len(self.ids) + len(same) > _REMEMBERED:
+            self.ids, self.spelled, self.decoded = {}, {}, {}
+        self.learn(same)
+        yield from cut
+
+
+@lru_cache(maxsize=2)
+def coder_of(path: str) -> Coder:
+    return Coder(load(path))
+
+
+def text_groups(texts: list[str], characters: int = 16 * _BLOCK) -> Iterator[list[str]]:
+    """Runs of texts of about so many characters, so that the pieces held at once are bounded."""
     group, size = [], 0
     for text in texts:
         group.append(text)
@@ -216,9 +234,9 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     found = vocabulary_path(path)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(load(found))
+        coder = coder_of(found)
         for batch in batches:
-            out = [[at for block in text for piece in block for at in piece] for group in text_groups(list(batch["text"])) for text in coder.encode_all(group)]
+            out = [[at for piece in pieces for at in coder.ids[piece]] for group in text_groups(list(batch["text"])) for pieces in coder.cut_all(group)]
             yield pd.DataFrame({"id": batch["id"], "ids": out})
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -245,28 +263,21 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", te
 def round_trips(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every text; ids and texts stay inside the task.
 
-    Ids and bytes are hashed piece by piece, so a very long text is never held as a list of ids.
+    The ids and decoded bytes of a piece are looked up, so a text costs two joins over its pieces.
     """
     found = vocabulary_path(path)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = load(found)
-        coder = Coder(vocabulary)
+        coder = coder_of(found)
+        sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             counts, ids_hashes, text_hashes = [], [], []
             for group in text_groups(list(batch["text"])):
-                for text in coder.encode_all(group):
-                    count, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-                    for block in text:
-                        ids = [at for piece in block for at in piece]
-                        if ids:
-                            ids_hash.update((("," if count else "") + ",".join(map(str, ids))).encode())
-                            count += len(ids)
-                            # a block ends between characters, so its bytes decode alone
-                            text_hash.update(decoded_text(ids, vocabulary).encode())
-                    counts.append(count)
-                    ids_hashes.append(ids_hash.hexdigest())
-                    text_hashes.append(text_hash.hexdigest())
+                for pieces in coder.cut_all(group):
+                    ids = ",".join(map(coder.spelled.__getitem__, pieces))
+                    counts.append(ids.count(",") + bool(ids))
+                    ids_hashes.append(sha(ids.encode()))
+                    text_hashes.append(sha(b"".join(map(coder.decoded.__getitem__, pieces)).decode("utf-8", "replace").encode()))
             yield pd.DataFrame({"id": batch["id"], "n_tokens": counts, "ids_sha256": ids_hashes, "decoded_sha256": text_hashes})
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
