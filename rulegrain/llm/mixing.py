@@ -8,7 +8,6 @@ from rulegrain.llm.common import WORD, stored, table, text_of
 from rulegrain.operators.scale import number_rows
 
 BITS, STEP = 52, 12
-LARGEST = 0.125  # of a source's room: larger documents can only close the last gap
 
 
 def _lots(rows: DataFrame) -> Column:
@@ -48,7 +47,7 @@ def mix_plan(docs: DataFrame, weight_col: str | None = None, id_col: str = "doc_
     copies are certain; the rest is an inclusion probability p, and its key ranks u / (1 - u) over p / (1 - p)
     (u: a fixed random number). Of each source the lowest keys are taken until the sample has its fixed
     size: the words that the whole copies leave of the target, plus one document that fits the gap best.
-    A document larger than an eighth of that room can only be this last one. The cut is found by
+    A document larger than that room can only be this last one. The cut is found by
     two rounds of sums over 4,096 key ranges, then inside one range, so a source of any size is never sorted.
     """
     weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
@@ -67,19 +66,24 @@ def mix_plan(docs: DataFrame, weight_col: str | None = None, id_col: str = "doc_
     open_rows = keyed.filter("key IS NOT NULL AND size > 0").select("source", "size", "key", "id")
     for level in (1, 2):
         shift = BITS - STEP * level
-        inside = by_source(open_rows, budget).filter((F.col("size") <= F.col("room") * LARGEST) & (F.shiftright("key", shift + STEP) == F.col("prefix")))
+        inside = by_source(open_rows, budget).filter((F.col("size") <= F.col("room")) & (F.shiftright("key", shift + STEP) == F.col("prefix")))
         parts = inside.groupBy("source", "before", "room", F.shiftright("key", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         order = Window.partitionBy("source").orderBy("bucket")
         sums = parts.withColumn("running", F.col("before") + F.sum("words").over(order))
-        crossing = sums.filter("running >= room").withColumn("__first", F.row_number().over(order)).filter("__first = 1")
-        crossing = crossing.select(F.col("source").alias("__source"), F.col("bucket").alias("__prefix"), (F.col("running") - F.col("words")).alias("__before"))
+        crosses = F.col("running") >= F.col("room")
+        first = Window.partitionBy("source").orderBy(~crosses, "bucket")
+        whole = F.max("running").over(Window.partitionBy("source"))
+        crossing = sums.withColumn("__whole", whole).withColumn("__first", F.row_number().over(first)).filter("__first = 1")
+        crossing = crossing.select(
+            F.col("source").alias("__source"), F.when(crosses, F.col("bucket")).otherwise(-1).alias("__prefix"),
+            F.when(crosses, F.col("running") - F.col("words")).otherwise(F.col("__whole")).alias("__before"))
         budget = stored(
             budget.join(crossing, F.col("source").eqNullSafe(F.col("__source")), "left")
             # a source whose open documents all fit keeps no range: everything is taken
             .withColumn("prefix", F.coalesce("__prefix", F.lit(-1).cast("long"))).withColumn("before", F.coalesce("__before", "before"))
             .drop("__source", "__prefix", "__before")
         )
-    last = by_source(open_rows, budget).filter((F.col("size") <= F.col("room") * LARGEST) & (F.shiftright("key", BITS - 2 * STEP) == F.col("prefix")))
+    last = by_source(open_rows, budget).filter((F.col("size") <= F.col("room")) & (F.shiftright("key", BITS - 2 * STEP) == F.col("prefix")))
     running = F.sum("size").over(Window.partitionBy("source").orderBy("key", F.col("id").asc_nulls_last()))  # equal rows share one fate
     reached = last.withColumn("running", F.col("before") + running).filter("running <= room")
     cuts = reached.groupBy("source").agg(F.max(F.struct("running", "key", F.col("id").isNull().alias("null_id"), "id")).alias("at"))
@@ -99,7 +103,7 @@ def in_sample() -> Column:
     """Whether a row fits its source's room and its key is not beyond the cut; null ids come last."""
     later = F.coalesce(F.col("id") > F.col("cut_id"), F.col("id").isNull() & F.col("cut_id").isNotNull())
     beyond = (F.col("key") > F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & later)
-    return F.col("key").isNotNull() & ~beyond & (F.col("size") <= F.col("room") * LARGEST)
+    return F.col("key").isNotNull() & ~beyond & (F.col("size") <= F.col("room"))
 
 
 def by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -171,12 +175,12 @@ e AS (
   SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS room,
          CASE WHEN odds IS NOT NULL THEN floor(odds / (1 + odds) * 4503599627370496.0) END AS key FROM q
 ), c AS (
-  SELECT *, sum(CASE WHEN key IS NULL OR size > room * 0.125 THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY key NULLS LAST, doc_id) AS running FROM r
-), b AS (SELECT source, any_value(room) - coalesce(max(running) FILTER (WHERE running <= room AND size <= room * 0.125), 0) AS gap FROM c WHERE key IS NOT NULL GROUP BY source),
+  SELECT *, sum(CASE WHEN key IS NULL OR size > room THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY key NULLS LAST, doc_id) AS running FROM r
+), b AS (SELECT source, any_value(room) - coalesce(max(running) FILTER (WHERE running <= room AND size <= room), 0) AS gap FROM c WHERE key IS NOT NULL GROUP BY source),
 x AS (
   SELECT c.source, arg_min(doc_id, struct_pack(a := abs(size - gap), k := key, d := doc_id)) AS extra
-  FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source WHERE key IS NOT NULL AND (running > room OR size > room * 0.125) AND abs(size - gap) < gap GROUP BY c.source)
+  FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source WHERE key IS NOT NULL AND (running > room OR size > room) AND abs(size - gap) < gap GROUP BY c.source)
 SELECT doc_id, size, source_size, target,
-       ((whole + CASE WHEN key IS NOT NULL AND (running <= room AND size <= room * 0.125 OR doc_id IS NOT DISTINCT FROM extra) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+       ((whole + CASE WHEN key IS NOT NULL AND (running <= room AND size <= room OR doc_id IS NOT DISTINCT FROM extra) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM c LEFT JOIN x ON c.source IS NOT DISTINCT FROM x.source"""
 }
