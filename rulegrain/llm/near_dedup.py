@@ -38,8 +38,9 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     if len(_known) > 500_000:
         _known.clear()
-    for word in set(words) - _known.keys():
-        _known[word] = xxhash.xxh3_64_intdigest(word)
+    for word in words:
+        if word not in _known:
+            _known[word] = xxhash.xxh3_64_intdigest(word)
     hashes = np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
     wide = min(size, len(words))
     total = np.full(len(words) - wide + 1, wide, dtype=np.uint64)
