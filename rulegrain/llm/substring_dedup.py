@@ -63,25 +63,26 @@ def repeated_units(docs: DataFrame, by_sentence: bool = True, id_col: str = "doc
     return again.join(firsts, "digest").filter(~is_first).drop("kept_file", "kept_at")
 
 
-def repeated_stretches(docs: DataFrame, least_words: int = 20, by_sentence: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_stretches(docs: DataFrame, least_words: int = 20, least_unit: int = 6, by_sentence: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs of neighbouring repeated units with ``least_words`` words together: what dedup removes, in original offsets.
 
-    Shorter runs, such as a licence line, stay. ``kept_ids`` lists the documents that keep the run's units.
+    Only units of ``least_unit`` words count towards that, as shorter ones repeat by chance; they may stand
+    between others. Shorter runs, such as a licence line, stay. ``kept_ids`` lists the documents that keep the run's units.
     """
     lost = stored(repeated_units(docs, by_sentence, id_col, text_col))
     runs = lost.withColumn("__run", F.col("unit") - F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("unit")))
     return (
         runs.groupBy(*ROW_KEY, "__run")
         .agg(F.first("id").alias("id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_units"),
-             F.sum("words").alias("n_words"), F.array_sort(F.collect_set("kept_id")).alias("kept_ids"))
-        .filter(F.col("n_words") >= least_words).drop("__run")
+             F.sum("words").alias("n_words"), F.sum(F.when(F.col("words") >= least_unit, F.col("words"))).alias("__long"), F.array_sort(F.collect_set("kept_id")).alias("kept_ids"))
+        .filter(F.col("__long") >= least_words).drop("__run", "__long")
     )
 
 
-def without_repeats(docs: DataFrame, least_words: int = 20, by_sentence: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, least_words: int = 20, least_unit: int = 6, by_sentence: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed stretches cut out of the text; all other columns and rows stay."""
     keyed = with_row_key(docs)
-    cuts = repeated_stretches(keyed, least_words, by_sentence, id_col, text_col)
+    cuts = repeated_stretches(keyed, least_words, least_unit, by_sentence, id_col, text_col)
     cuts = stored(cuts.groupBy(*ROW_KEY).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__cuts")))
 
     @pandas_udf("string")
