@@ -91,7 +91,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: i
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for positive, text in zip(batch["positive"], batch["text"], strict=True):
-                yield pd.DataFrame({"word": sorted(words_of(text)), "positive": bool(positive)})
+                if words := sorted(words_of(text)):
+                    yield pd.DataFrame({"word": words, "positive": bool(positive)})
 
     sizes = sample.agg(F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(~F.col("positive"), 1)).alias("u")).first()
     if not sizes["p"] or not sizes["u"]:
