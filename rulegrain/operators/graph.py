@@ -72,13 +72,14 @@ def atom_nodes(atoms: DataFrame) -> DataFrame:
 
 
 def entity_nodes(kind: str, links: DataFrame) -> DataFrame:
-    """Nodes of one entity kind; the record of the last atom stands for the name."""
+    """Nodes of one entity kind; the record of the last atom, by ``row_no`` where the links have it, stands for the name."""
     node_type, prefix, _, _ = ENTITY_KINDS[kind]
+    order = [name for name in ("row_no", "atom_id") if name in links.columns]
     rows = links.select(
         node_id(prefix, "record.name").alias("id"), F.lit(node_type).alias("type"), "record.name", "record.normalized_name",
-        "record.aliases", "record.matched_aliases", "record.source_categories", "record.is_normalized", "atom_id",
+        "record.aliases", "record.matched_aliases", "record.source_categories", "record.is_normalized", *order,
     )
-    return latest(rows, ["id"], ["atom_id"])
+    return latest(rows, ["id"], order)
 
 
 def build_nodes(modules: DataFrame, scenes: DataFrame, atoms: DataFrame, links: dict[str, DataFrame]) -> DataFrame:

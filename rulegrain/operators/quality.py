@@ -98,9 +98,9 @@ def diverse_sample(rows: DataFrame, group: str, order: list[Column], limit: int)
 
 
 def with_group_size(rows: DataFrame, group: str, alias: str = "group_size") -> DataFrame:
-    """Rows per group on every row: a small aggregate joined back, so a hot group stays spread."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias(alias))
-    return rows.join(sizes, group)
+    """Rows per group on every row: a small aggregate joined back, so a hot group stays spread. Null is a group like others."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias(alias)).withColumnRenamed(group, "_sized")
+    return rows.join(sizes, F.col(group).eqNullSafe(F.col("_sized"))).drop("_sized")
 
 
 def atom_samples(atoms: DataFrame, limit: int) -> DataFrame:

@@ -167,8 +167,8 @@ def order_links(atoms: DataFrame) -> dict[str, DataFrame]:
     """Raw-term records per atom: the part of entity resolution that needs no dictionary."""
 
     def linked(terms: Column) -> DataFrame:
-        rows = atoms.select("atom_id", F.explode(terms).alias("name"))
-        return rows.select("atom_id", N.plain_record(F.col("name"), [], False).alias("record"))
+        rows = atoms.select("atom_id", "row_no", F.explode(terms).alias("name"))
+        return rows.select("atom_id", "row_no", N.plain_record(F.col("name"), [], False).alias("record"))
 
     return {
         "actor": linked(N.without_whole(N.actor_terms("who"), "who")),

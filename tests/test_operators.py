@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from rulegrain.operators import conflicts as C, entities as N, instruments as I, quality as Q, segment as S, taxonomy as X
+from rulegrain.operators import conflicts as C, entities as N, graph as G, instruments as I, quality as Q, segment as S, taxonomy as X
 
 ATOM = "atom_id string, row_no int, source_document string, article_reference string, rule_type string, who string, what string, how string, content_original string"
 
@@ -99,3 +99,17 @@ def test_new_atoms_are_classified_once(spark, tmp_path):
         spark.createDataFrame([(name, 1, "个人账户开立") for name in ids], schema).coalesce(1).write.mode("append").parquet(source)
         classify_new_atoms(read_stream(spark, source, schema), modules, out, state).awaitTermination()
     assert sorted(row["atom_id"] for row in spark.read.parquet(out).select("atom_id").collect()) == ["A1", "A2", "A3"]
+
+
+def test_group_sizes_keep_null_groups(spark):
+    rows = spark.createDataFrame([("A1", "x"), ("A2", None), ("A3", None), ("A4", "x"), ("A5", "")], "atom_id string, rule_type string")
+    sized = {row["atom_id"]: row["group_size"] for row in Q.with_group_size(rows, "rule_type").collect()}
+    assert sized == {"A1": 2, "A2": 2, "A3": 2, "A4": 2, "A5": 1}
+
+
+def test_last_row_names_an_entity(spark):
+    atoms = spark.createDataFrame([("O9", 1), ("O10", 2)], "atom_id string, row_no int")
+    links = atoms.select("*", N.plain_record(F.lit("银行"), [], False).alias("record")).withColumn(
+        "record", F.col("record").withField("normalized_name", F.col("atom_id")))
+    assert [row["normalized_name"] for row in G.entity_nodes("actor", links).collect()] == ["O10"]
+    assert [row["normalized_name"] for row in G.entity_nodes("actor", links.drop("row_no")).collect()] == ["O9"]
