@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,12 +15,21 @@ from pyspark.sql.functions import pandas_udf
 from rulegrain.llm.common import fold_of, table, text_of
 
 _WORD = re.compile(r"[^\W\d_]+")
+_BEGINNINGS = (4, 5, 6)  # letters
 
 
 def words_of(text: str | None) -> set[str]:
-    """Distinct lower-case words of a whole text and the beginnings of the longer ones, marked by a star."""
-    words = set(_WORD.findall((text or "").lower()))
-    return words | {word[:4] + "*" for word in words if len(word) > 4} | {word[:5] + "*" for word in words if len(word) > 5}
+    """Distinct lower-case words of a whole text and their beginnings, marked by a star, or by two where words of the text begin so twice or more.
+
+    A coined beginning turns up once in many long texts by chance; its return tells more than its presence.
+    """
+    counts = Counter(_WORD.findall((text or "").lower()))
+    begins: Counter[str] = Counter()
+    for word, times in counts.items():
+        for size in _BEGINNINGS:
+            if len(word) > size:
+                begins[word[:size] + "*"] += times
+    return counts.keys() | begins.keys() | {begin + "*" for begin, times in begins.items() if times > 1}
 
 
 @dataclass
@@ -35,7 +45,7 @@ class PresenceModel:
 
 
 def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 400, batch: int = 16_384, rate: float = 0.05,
-          decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, float]:
+          decay: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
     """Minimise the non-negative PU risk  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  with logistic loss and Adam.
 
     Where the corrected negative part falls below zero, the step climbs it instead, as the estimator asks.
@@ -68,13 +78,14 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 12_000, vocabulary: int = 256,
-        least_odds: float = 0.7, least_texts: int = 4, default_prior: float = 0.1, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> PresenceModel:
+        least_odds: float = 0.7, least_texts: int = 4, least_errors: float = 4.5, default_prior: float = 0.1, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> PresenceModel:
     """Train on at most ``positives`` confirmed toxic and ``unlabelled`` texts outside the held-out fold (lowest id hashes).
 
     Unlabelled texts are drawn from all documents whatever their label, so they follow the mixture that the
     estimator assumes; negative labels serve only for the class prior (``default_prior`` where there are none).
-    Words are chosen by the smoothed log odds (``least_odds`` or more, in at least ``least_texts`` toxic texts) of their document shares in the two samples. Without a
-    positive text the score is the prior for every document. Null ids and null labels are ignored.
+    Words are chosen by the smoothed log odds of their document shares in the two samples: ``least_odds`` or more,
+    ``least_errors`` standard errors above none or more, in at least ``least_texts`` toxic texts. Without a positive text
+    the score is the prior for every document. Null ids and null labels are ignored.
     """
     usable = F.col("id").isNotNull() & (fold_of("id", folds) != held_out)
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter(usable & F.col("toxic").isin(0, 1))
@@ -101,10 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: i
     shares = (
         sample.mapInPandas(seen, "word string, positive boolean").groupBy("word").agg(in_p.alias("p"), in_u.alias("u")).filter(F.col("p") >= least_texts)
         .withColumn("odds", F.log((F.col("p") + 0.5) / (sizes["p"] + 1)) - F.log((F.col("u") + 0.5) / (sizes["u"] + 1)))
-        .filter(F.col("odds") >= least_odds)
-        .withColumn("weight", F.col("odds") * F.sqrt("p"))
+        .withColumn("errors", F.col("odds") / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("u") + 0.5)))
+        .filter((F.col("odds") >= least_odds) & (F.col("errors") >= least_errors))
     )
-    vocabulary_words = [row["word"] for row in shares.orderBy(F.desc("weight"), "word").limit(vocabulary).collect()]
+    vocabulary_words = [row["word"] for row in shares.orderBy(F.desc("errors"), "word").limit(vocabulary).collect()]
     place = {word: at for at, word in enumerate(vocabulary_words)}
 
     @pandas_udf("array<int>")
