@@ -58,18 +58,32 @@ class Centroids:
                 a, b = who[start:start + 200_000], which[start:start + 200_000]
                 far[a, b] = ((rows[a] - self.points[b]) ** 2).sum(axis=1)
 
-    def lists(self, rows: np.ndarray, ratio: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs within ``ratio`` of each row's nearest list; with ``most``, its nearest so many."""
+    def lists(self, rows: np.ndarray, ratio: float, most: int | None = None, holds: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list) pairs within ``ratio`` of each row's nearest list, and whether it is the nearest; with ``most``, its nearest so many.
+
+        With ``holds`` (ids that each list is home of), the ratio counts from the list at which a row's nearest lists
+        are home of ``least`` ids together, so a row beside a small list reads on; all lists if they never are.
+        """
         found = []
         for start in range(0, len(rows), 512):
-            far = self.search(rows[start:start + 512], ratio)
-            keep = far <= (far.min(axis=1) * ratio**2)[:, None]
+            some = rows[start:start + 512]
+            far = self.search(some, ratio)
+            home = far.argmin(axis=1)
+            base = far.min(axis=1)
+            if holds is not None:
+                short = np.flatnonzero(holds[home] < least)
+                for at in short:
+                    far[at] = ((some[at] - self.points) ** 2).sum(axis=1)
+                    order = np.argsort(far[at], kind="stable")
+                    reached = np.flatnonzero(np.cumsum(holds[order]) >= least)
+                    base[at] = far[at, order[reached[0]]] if len(reached) else np.inf
+            keep = far <= (base * ratio**2)[:, None]
             if most is not None and far.shape[1] > most:
                 keep &= far <= np.partition(far, most - 1, axis=1)[:, most - 1:most]
-            who, which = np.nonzero(keep)
-            found.append(np.column_stack([who + start, which]))
-        both = np.concatenate(found) if found else np.empty((0, 2), dtype=int)
-        return both[:, 0], both[:, 1]
+            who, which = np.nonzero(keep & np.isfinite(far))
+            found.append(np.column_stack([who + start, which, which == home[who]]))
+        all_of = np.concatenate(found) if found else np.empty((0, 3), dtype=int)
+        return all_of[:, 0], all_of[:, 1], all_of[:, 2].astype(bool)
 
 
 def balanced_centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -117,7 +131,12 @@ def fit(vectors: DataFrame, rows: int, sample: int = 20_000, most_lists: int = 2
     to_lists = np.sqrt(np.maximum(((queries[:, None] - model.points) ** 2).sum(axis=2), 0))
     scores = plain[asked] @ plain.T
     best = np.argsort(-scores, axis=1)[:, : top + 1]
-    ratios = to_lists[np.arange(len(asked))[:, None], homes[best]] / np.maximum(to_lists.min(axis=1), 1e-12)[:, None]
+    order = np.argsort(to_lists, axis=1)
+    held = np.cumsum(np.bincount(homes, minlength=count)[order] * (rows / len(plain)), axis=1) >= top + 1
+    enough = np.where(held.any(axis=1), held.argmax(axis=1), count - 1)
+    base = to_lists.min(axis=1)  # that of a query on its own centroid says nothing
+    base = np.where(base > 1e-6 * longest, base, to_lists[np.arange(len(asked)), order[np.arange(len(asked)), enough]])
+    ratios = to_lists[np.arange(len(asked))[:, None], homes[best]] / np.maximum(base, 1e-12)[:, None]
     model.query_ratio = float(max(1.05, np.quantile(ratios, reach)))
     return model
 
@@ -137,7 +156,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
     Equal vectors are one entry with its ``top + 1`` smallest ids (more can never be among the nearest), so a
     vector that a third of the rows share is searched once. Entries go to the lists within 1.1 of their
     nearest (8 at most); lists are cut into blocks by id hash, so none outgrows a task. Queries read the lists
-    within the fitted ratio; every block gives its best, which meet in one ranking. Centroids are at most
+    within the fitted ratio, counted from the list at which ``top + 1`` ids are reached, so each gets ``top`` rows or
+    all there are; every block gives its best, which meet in one ranking. Centroids are at most
     2,048 points and travel with the tasks. A row is never its own neighbour; null ids, null, zero and
     non-finite vectors and those of an odd length take no part; an empty table gives no rows.
     """
@@ -155,19 +175,23 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                who, which = model.lists(model.lifted(np.stack(list(batch["embedding"])).astype(float), False), model.store_ratio, 8)
-                out = batch.iloc[who].assign(list=which.astype(np.int32), team=(which // GROUP).astype(np.int32))
-                yield out[["team", "list", "ids", "embedding"]]
+                who, which, home = model.lists(model.lifted(np.stack(list(batch["embedding"])).astype(float), False), model.store_ratio, 8)
+                out = batch.iloc[who].assign(list=which.astype(np.int32), team=(which // GROUP).astype(np.int32), home=home)
+                yield out[["team", "list", "home", "ids", "embedding"]]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                who, which = model.lists(model.lifted(np.stack(list(batch["embedding"])).astype(float), True), model.query_ratio)
+                who, which, _ = model.lists(model.lifted(np.stack(list(batch["embedding"])).astype(float), True), model.query_ratio, holds=holds, least=top + 1)
                 marks = pd.DataFrame({"who": who, "team": (which // GROUP).astype(np.int32), "lists": 1 << (which % GROUP)})
                 marks = marks.groupby(["who", "team"], as_index=False)["lists"].sum()
                 yield batch.iloc[marks["who"]].assign(team=marks["team"].to_numpy(), lists=marks["lists"].to_numpy().astype(np.int32))[["team", "lists", "vec_id", "embedding"]]
 
-    posted = stored(entries.mapInPandas(post, "team int, list int, ids array<bigint>, embedding array<double>"))
+    posted = stored(entries.mapInPandas(post, "team int, list int, home boolean, ids array<bigint>, embedding array<double>"))
+    homes = posted.filter("home").select(F.explode("ids").alias("id"), "list").groupBy("id").agg(F.min("list").alias("list"))  # an id counts once
+    holds = np.zeros(len(model.points), dtype=int)
+    for row in homes.groupBy("list").count().collect():
+        holds[row["list"]] = row["count"]
     probes = stored(asked.mapInPandas(probe, "team int, lists int, vec_id long, embedding array<double>"))
 
     def blocks(df: DataFrame, key: str, fields: list[str], size: int, alias: str) -> DataFrame:
@@ -185,17 +209,25 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
                 q, v = np.stack(list(left["embedding"])), np.stack(list(right["embedding"]))
                 bit = 1 << (right["list"].to_numpy() % GROUP)
                 scores = np.where((left["lists"].to_numpy()[:, None] & bit) > 0, q @ v.T, -np.inf)
-                # an entry can be in several lists of the block, so more than the top are looked at
+                # an entry can be in several lists of the block, so more than the top are looked at, and all that tie with the last
                 width = min(scores.shape[1], 8 * (top + 2))
-                best = np.argpartition(-scores, width - 1, axis=1)[:, :width]
+                edges = -np.partition(-scores, width - 1, axis=1)[:, width - 1]
                 out = []
                 for at, name in enumerate(left["vec_id"]):
+                    slack = 1e-9 * (1 + np.abs(scores[at][np.isfinite(scores[at])]).max(initial=0))
                     seen: dict[int, float] = {}
-                    for place in best[at][np.argsort(-scores[at, best[at]], kind="stable")]:
-                        if not np.isfinite(scores[at, place]) or len(seen) > 2 * top:
+                    for edge in (edges[at] - slack, -np.inf):  # one id with many vectors can fill the first look
+                        best = np.flatnonzero((scores[at] >= edge) & np.isfinite(scores[at]))
+                        last = -np.inf
+                        for place in best[np.argsort(-scores[at, best], kind="stable")]:
+                            if scores[at, place] < last:
+                                break
+                            exact = float(np.sum(q[at] * v[place]))
+                            seen.update((int(x), exact) for x in right["ids"][place] if x != name and x not in seen)
+                            if len(seen) >= top and last == -np.inf:
+                                last = scores[at, place] - slack
+                        if len(seen) >= top:
                             break
-                        exact = float(np.sum(q[at] * v[place]))
-                        seen.update((int(x), exact) for x in right["ids"][place] if x != name and x not in seen)
                     out += [(name, x, s) for x, s in sorted(seen.items(), key=lambda item: (-item[1], item[0]))[:top]]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 

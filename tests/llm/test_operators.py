@@ -180,6 +180,30 @@ def test_neighbours_on_small_and_odd_vectors(spark):
     assert neighbours.nearest(table.filter("false")).isEmpty()
 
 
+def test_every_query_gets_all_its_neighbours(spark):
+    random = np.random.default_rng(6)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    groups = unit(np.repeat(random.normal(size=(40, 32)), 50, axis=0) + 0.05 * random.normal(size=(2000, 32)))
+    isolated, trios = unit(random.normal(size=(60, 32))), unit(np.repeat(random.normal(size=(20, 32)), 3, axis=0) + 0.01 * random.normal(size=(60, 32)))
+    axes = np.array([[float(j == n % 2 + 2 * (n // 2 % 2)) for j in range(4)] + [float(n), 1.0] for n in range(500)])
+    tables = {"mixed": np.concatenate([groups, isolated, trios]), "tiny": isolated[:30], "pair": isolated[:2], "ties": axes * [1, 1, 1, 1, 0.0, 0.0], "near ties": unit(axes)}
+    for label, vectors in tables.items():
+        rows = [(n, [float(x) for x in v]) for n, v in enumerate(vectors)]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for row in neighbours.nearest(table, table).orderBy("query_id", "rank").collect():
+            got[row["query_id"]].append(row["vec_id"])
+        wanted = min(20, len(rows) - 1)
+        assert all(len(set(got[n])) == len(got[n]) == wanted and n not in got[n] for n, _ in rows), label
+        if label == "ties":
+            exact = vectors @ vectors.T
+            for n in range(len(rows)):
+                assert got[n] == sorted((m for m in range(len(rows)) if m != n), key=lambda m: (-round(exact[n, m], 12), m))[:wanted], label
+
+
 def test_shards_are_even_and_gapless(spark, docs, empty):
     table = spark.createDataFrame([(n, "hot" if n % 3 == 0 else f"t{n}") for n in range(1000)], "doc_id long, text string")
     for frame in (table, docs):
