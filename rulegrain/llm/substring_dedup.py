@@ -46,39 +46,53 @@ def unit_rows(docs: DataFrame, by_sentence: bool, id_col: str, text_col: str) ->
     return rows.mapInPandas(cut, f"{ROW_KEY[0]} long, {ROW_KEY[1]} long, id {kind}, unit int, start int, stop int, words int, digest binary")
 
 
-def repeated_units(docs: DataFrame, by_sentence: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every unit that is not the first of its digest, with its offsets and the place that is kept.
+def _lost_units(docs: DataFrame, by_sentence: bool, id_col: str, text_col: str) -> DataFrame:
+    """The units of :func:`repeated_units` with the row and unit number that are kept.
 
     Units rank by id (null last), then row, then offset. Digests are counted with a partial sum in the map
     tasks; only units whose digest occurs again, told by a fixed-size bitmap, are shuffled a second time.
     Null and empty texts have no units; repeated rows repeat each other; an empty table gives no rows.
     """
     found = unit_rows(docs, by_sentence, id_col, text_col)
-    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", *ROW_KEY, "start")
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", *ROW_KEY, "start", "unit")
     groups = stored(found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).filter("copies > 1"))
-    firsts = groups.select("digest", F.col("first.id").alias("kept_id"), F.col("first.start").alias("kept_start"),
+    firsts = groups.select("digest", F.col("first.id").alias("kept_id"), F.col("first.start").alias("kept_start"), F.col("first.unit").alias("kept_unit"),
                            F.col(f"first.{ROW_KEY[0]}").alias("kept_file"), F.col(f"first.{ROW_KEY[1]}").alias("kept_at"))
     again = mark_members(found, membership_bitmap(firsts, ["digest"]), ["digest"], "__again").filter("__again").drop("__again")
     is_first = (F.col(ROW_KEY[0]) == F.col("kept_file")) & (F.col(ROW_KEY[1]) == F.col("kept_at")) & (F.col("start") == F.col("kept_start"))
-    return again.join(firsts, "digest").filter(~is_first).drop("kept_file", "kept_at")
+    return again.join(firsts, "digest").filter(~is_first)
 
 
-def repeated_stretches(docs: DataFrame, least_words: int = 20, least_unit: int = 6, by_sentence: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Runs of neighbouring repeated units with ``least_words`` words together: what dedup removes, in original offsets.
+def repeated_units(docs: DataFrame, by_sentence: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every unit that is not the first of its digest, with its offsets and the place that is kept."""
+    return _lost_units(docs, by_sentence, id_col, text_col).drop("kept_file", "kept_at", "kept_unit")
+
 
-    Only units of ``least_unit`` words count towards that, as shorter ones repeat by chance; they may stand
-    between others. Shorter runs, such as a licence line, stay. ``kept_ids`` lists the documents that keep the run's units.
+def repeated_runs(docs: DataFrame, least_words: int = 20, least_unit: int = 6, by_sentence: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All repeated units, neighbouring ones as one run in original offsets, and whether dedup cuts the run.
+
+    A run of ``least_words`` words is cut if that many of its words, or half of them, are no chance repeats: units of
+    ``least_unit`` words, and shorter ones that with others of the run stand in the same order in one kept row.
+    ``kept_ids`` lists the documents that keep the run's units.
     """
-    lost = stored(repeated_units(docs, by_sentence, id_col, text_col))
+    lost = stored(_lost_units(docs, by_sentence, id_col, text_col))
     runs = lost.withColumn("__run", F.col("unit") - F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("unit")))
+    kept_together = F.count("*").over(Window.partitionBy(*ROW_KEY, "__run", "kept_file", "kept_at", F.col("kept_unit") - F.col("unit")))
+    sure = (F.col("words") >= least_unit) | (F.col("__together") > 1)
     return (
-        runs.groupBy(*ROW_KEY, "__run")
+        runs.withColumn("__together", kept_together).groupBy(*ROW_KEY, "__run")
         .agg(F.first("id").alias("id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_units"),
-             F.sum("words").alias("n_words"), F.sum(F.when(F.col("words") >= least_unit, F.col("words"))).alias("__long"), F.array_sort(F.collect_set("kept_id")).alias("kept_ids"))
-        .filter(F.col("__long") >= least_words).drop("__run", "__long")
+             F.sum("words").alias("n_words"), F.sum(F.when(sure, F.col("words")).otherwise(0)).alias("__sure"), F.array_sort(F.collect_set("kept_id")).alias("kept_ids"))
+        .withColumn("cut", (F.col("n_words") >= least_words) & ((F.col("__sure") >= least_words) | (2 * F.col("__sure") >= F.col("n_words"))))
+        .drop("__run", "__sure")
     )
 
 
+def repeated_stretches(docs: DataFrame, least_words: int = 20, least_unit: int = 6, by_sentence: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The runs that dedup removes; others, such as a licence line, stay in the text."""
+    return repeated_runs(docs, least_words, least_unit, by_sentence, id_col, text_col).filter("cut").drop("cut")
+
+
 def without_repeats(docs: DataFrame, least_words: int = 20, least_unit: int = 6, by_sentence: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed stretches cut out of the text; all other columns and rows stay."""
     keyed = with_row_key(docs)
@@ -105,8 +119,8 @@ def without_repeats(docs: DataFrame, least_words: int = 20, least_unit: int = 6,
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    found = repeated_stretches(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "start", "stop", "n_units", "n_words", "kept_ids")
+    found = repeated_runs(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "start", "stop", "n_units", "n_words", "kept_ids", "cut")
 
 
 QUERIES = {"op6_substring_dedup": op6_substring_dedup}

@@ -161,6 +161,20 @@ def test_repeats_keep_the_first(docs, empty):
     assert substring_dedup.without_repeats(docs).columns == docs.columns and substring_dedup.repeated_stretches(empty).isEmpty()
 
 
+def test_short_repeated_units(spark):
+    verse = "\n".join(f"Sing {n} of stone" for n in range(12))
+    chance = [f"Only {n}" for n in range(12)]
+    texts = [verse, f"Own opening words\n{verse}\nOwn end", "One licence line here.", "One licence line here.\nother"]
+    texts += [f"{line}\nunlike {n}" for n, line in enumerate(chance)] + ["\n".join(chance)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = {row["id"]: row for row in substring_dedup.repeated_runs(docs).collect()}
+    assert {at: (texts[at][row["start"]:row["stop"]], row["n_units"], row["cut"]) for at, row in runs.items()} == {
+        1: (verse, 12, True), 3: (texts[2], 1, False), 16: (texts[16], 12, False)}
+    assert sum(row["n_units"] for row in runs.values()) == substring_dedup.repeated_units(docs).count()
+    left = {row["doc_id"]: row["text"] for row in substring_dedup.without_repeats(docs).collect()}
+    assert left == {at: text for at, text in enumerate(texts)} | {1: "Own opening words\n\nOwn end"}
+
+
 def test_neighbours_on_small_and_odd_vectors(spark):
     random = np.random.default_rng(3)
     rows = [(n, [float(x) for x in random.normal(size=8).astype(np.float32)], n) for n in range(400)]
