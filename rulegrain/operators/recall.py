@@ -43,13 +43,15 @@ def recall_hits(queries: DataFrame, atoms: DataFrame, scenes: DataFrame, matches
     return {"scenes": scene_hits, "broad": by_text.union(by_module).distinct(), "precise": precise}
 
 
-def recall_report(queries: DataFrame, atoms: DataFrame, modules: DataFrame, scenes: DataFrame, matches: DataFrame) -> DataFrame:
-    """Counts and top lists per query (F2, F3). ``atoms`` carries who_terms; top modules come from the first 10 hits."""
+def recall_report(queries: DataFrame, atoms: DataFrame, modules: DataFrame, scenes: DataFrame, matches: DataFrame, module_hits: int | None = None) -> DataFrame:
+    """Counts and top lists per query (F2, F3). ``atoms`` carries who_terms; top modules come from all hits or the first ``module_hits``."""
     hits = recall_hits(queries, atoms, scenes, matches)
     count = lambda rows, alias: rows.groupBy("query_id").agg(F.count("*").alias(alias))
     first = top_rows(hits["broad"], ["query_id"], [F.col("row_no"), F.col("atom_id")], 10).select("query_id", "atom_id", "rank")
     info = modules.select("code", "label_path", F.concat_ws(" > ", "section", "category").alias("category_path")).dropDuplicates(["code"])
-    tagged = first.join(atoms.select("atom_id", F.explode("label_codes").alias("code")), "atom_id").join(info, "code")
+    order = [F.col("row_no"), F.col("atom_id")]
+    tallied = hits["broad"] if module_hits is None else top_rows(hits["broad"], ["query_id"], order, module_hits)
+    tagged = tallied.select("query_id", "atom_id").join(atoms.select("atom_id", F.explode("label_codes").alias("code")), "atom_id").join(info, "code")
 
     def top(rows: DataFrame, name: str, alias: str) -> DataFrame:
         counted = rows.groupBy("query_id", name).agg(F.count("*").alias("n"))
@@ -121,12 +123,12 @@ def rank_candidates(candidates: DataFrame, atoms: DataFrame, limit: Column | int
     return ranked.filter(F.col("rank") <= limit).drop("_doc_rank")
 
 
-def focus_terms(routed: DataFrame, current: DataFrame | None = None, analysis: DataFrame | None = None, limit: int = 24) -> DataFrame:
-    """(query_id, focus array): question, route, leading atoms and gaps, first occurrence kept."""
+def focus_terms(routed: DataFrame, current: DataFrame | None = None, analysis: DataFrame | None = None, limit: int | None = 24, leaders: int | None = 8) -> DataFrame:
+    """(query_id, focus array): question, route, leading atoms and gaps, first occurrence kept (I1); None lifts a limit."""
     parts = F.concat(split_focus_terms("question"), split_focus_terms("query"), "who_terms", "scene_names", "module_names")
     base = routed.select("query_id", parts.alias("focus"))
     if current is not None:
-        leading = current.filter(F.col("rank") <= 8).groupBy("query_id").agg(
+        leading = (current if leaders is None else current.filter(F.col("rank") <= leaders)).groupBy("query_id").agg(
             F.sort_array(F.collect_list(F.struct("rank", F.concat(split_focus_terms("what"), split_focus_terms("where")).alias("terms")))).alias("l"))
         leading = leading.select("query_id", F.flatten(F.transform("l", lambda item: item["terms"])).alias("leading"))
         base = base.join(leading, "query_id", "left").withColumn("focus", F.concat("focus", F.coalesce("leading", words([])))).drop("leading")
@@ -137,7 +139,7 @@ def focus_terms(routed: DataFrame, current: DataFrame | None = None, analysis: D
         gaps = gaps.select("query_id", F.flatten(F.transform("g", lambda item: item["terms"])).alias("gaps"))
         base = base.join(gaps, "query_id", "left").withColumn("focus", F.concat("focus", F.coalesce("gaps", words([])))).drop("gaps")
     kept = F.filter(F.array_distinct("focus"), lambda term: (term != "") & ~term.isin(V.GENERIC_FOCUS_TERMS))
-    return base.select("query_id", F.slice(kept, 1, limit).alias("focus"))
+    return base.select("query_id", (kept if limit is None else F.slice(kept, 1, limit)).alias("focus"))
 
 
 def _term_rows(rows: DataFrame, column: str = "focus") -> DataFrame:
@@ -155,14 +157,14 @@ def _scene_rows(routed: DataFrame, matches: DataFrame, scenes: DataFrame) -> Dat
     return matches.select("atom_id", "scene_key", F.col("score").alias("match_score")).join(wanted, "scene_key").join(names, "scene_key")
 
 
-def initial_candidates(routed: DataFrame, atoms: DataFrame, modules: DataFrame, scenes: DataFrame, matches: DataFrame) -> DataFrame:
+def initial_candidates(routed: DataFrame, atoms: DataFrame, modules: DataFrame, scenes: DataFrame, matches: DataFrame, focus_limit: int | None = 24) -> DataFrame:
     """Candidates by scene (45 + score), module (14), text (10 or more) and actor (18) (I4)."""
     by_scene = _gives(_scene_rows(routed, matches, scenes), F.col("match_score") + 45, _scene_reason("场景精召回", True), 1)
     codes = routed.select("query_id", F.explode("module_codes").alias("code"))
     labels = modules.select("code", "label_path").dropDuplicates(["code"])
     tagged = atoms.select("atom_id", F.explode("label_codes").alias("code")).join(codes, "code").join(labels, "code")
     by_module = _gives(tagged, F.lit(14), F.concat(F.lit("业务模块宽召回:"), "label_path"), 2)
-    hits = text_scores(_term_rows(focus_terms(routed)), atoms, 5).filter(F.col("score") >= 10)
+    hits = text_scores(_term_rows(focus_terms(routed, limit=focus_limit)), atoms, 5).filter(F.col("score") >= 10)
     by_text = _gives(hits, F.col("score"), F.concat(F.lit("语义命中:"), "matched"), 3)
     actors = routed.select("query_id", F.posexplode("who_terms").alias("at", "term"))
     found = find_terms(atoms.select("atom_id", clean_text("who").alias("_who")), "_who", actors, "term").join(actors, "term")
@@ -172,11 +174,8 @@ def initial_candidates(routed: DataFrame, atoms: DataFrame, modules: DataFrame,
 
 
 def evidence_rows(current: DataFrame, limit: int | None) -> DataFrame:
-    """Current atoms with truncated fields, as the judgement reads them."""
+    """Current atoms with whole fields, as the judgement reads them (I6); only briefs are truncated."""
     rows = current if limit is None else current.filter(F.col("rank") <= limit)
-    sizes = {"who": 80, "where": 90, "what": 120, "how": 160, "content_original": 240}
-    for name, size in sizes.items():
-        rows = rows.withColumn(name, truncate(name, size))
     return rows.withColumn("is_ambiguous", is_true("is_ambiguous")).withColumn("score", F.round("score", 2))
 
 
@@ -548,7 +547,8 @@ def _last_round(parts: list[DataFrame], report: DataFrame) -> DataFrame:
 
 def recall_loop(
     questions: DataFrame, atoms: DataFrame, modules: DataFrame, scenes: DataFrame, matches: DataFrame, segments: DataFrame,
-    max_rounds: int = 3, initial_limit: int = 40, judged_atoms: int = 18, compat: bool = True,
+    max_rounds: int = 3, initial_limit: int = 40, judged_atoms: int | None = 18, compat: bool = True,
+    focus_limit: int | None = 24, focus_atoms: int | None = 8,
 ) -> dict[str, DataFrame]:
     """All questions through at most ``max_rounds`` rounds together.
 
@@ -563,7 +563,7 @@ def recall_loop(
     fields = ["atom_id", "article_reference", "rule_type", "who", "what", "how", "where", "content_original", "is_ambiguous", "review_reason", "label_codes"]
     details = atoms.select(*fields)
     full = lambda ranked: ranked.join(details, "atom_id")
-    candidates = cut_lineage(initial_candidates(routed, atoms, modules, scenes, matches))
+    candidates = cut_lineage(initial_candidates(routed, atoms, modules, scenes, matches, focus_limit))
     current = cut_lineage(full(rank_candidates(candidates, atoms, initial_limit)))
     start = current.groupBy("query_id").agg(F.count("*").alias("initial_count"))
     state = routed.select("query_id").join(start, "query_id", "left").fillna(0).withColumn("stop_reason", F.lit(None).cast("string")).withColumn(
@@ -585,7 +585,7 @@ def recall_loop(
         wanted = F.when(F.size("directions") > 0, wanted).otherwise(words(["D", "E"]))
         active = asked.join(going.select("query_id", wanted.alias("wanted")), "query_id")
         checked.append(analysis.withColumn("round", F.lit(number)))
-        focus = cut_lineage(focus_terms(asked, now, analysis))
+        focus = cut_lineage(focus_terms(asked, now, analysis, focus_limit, focus_atoms))
         focused.append(focus.withColumn("round", F.lit(number)))
         grown = expand(active, now.join(going.select("query_id"), "query_id", "left_semi"), atoms, modules, scenes, matches, segments, focus, gap_profiles(going, analysis))
         candidates = cut_lineage(merge_expansions(candidates, grown, compat))
@@ -673,9 +673,10 @@ def evidence_brief() -> Column:
     return F.when((lead != "") & (body != ""), F.concat_ws("：", lead, body)).otherwise(F.concat(body, lead))
 
 
-def evidence_buckets(current: DataFrame, focus: DataFrame) -> DataFrame:
+def evidence_buckets(current: DataFrame, focus: DataFrame, most_rows: int | None = 24, most_focus: int | None = 12) -> DataFrame:
     """Seven bucket lists from the twelve best evidence rows of each question."""
-    rows = evidence_rows(current, 24).join(focus.select("query_id", F.slice("focus", 1, 12).alias("focus")), "query_id", "left")
+    terms = F.col("focus") if most_focus is None else F.slice("focus", 1, most_focus)
+    rows = evidence_rows(current, most_rows).join(focus.select("query_id", terms.alias("focus")), "query_id", "left")
     wide, narrow = _blob("what", "how", "where", "content_original", "source_document"), _blob("what", "how", "where", "content_original")
     found = F.size(F.filter(F.coalesce("focus", words([])), lambda term: F.contains(wide, term)))
     best = top_rows(rows.withColumn("rescored", F.col("score") + found * 4), ["query_id"], [F.desc("rescored"), F.col("atom_id")], 12, "place")

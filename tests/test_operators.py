@@ -113,3 +113,15 @@ def test_last_row_names_an_entity(spark):
         "record", F.col("record").withField("normalized_name", F.col("atom_id")))
     assert [row["normalized_name"] for row in G.entity_nodes("actor", links).collect()] == ["O10"]
     assert [row["normalized_name"] for row in G.entity_nodes("actor", links.drop("row_no")).collect()] == ["O9"]
+
+
+def test_keywords_past_the_preview_count(spark):
+    from rulegrain.functions import vocab as V
+    from rulegrain.operators import recall as R
+
+    term = V.MATERIAL_TERMS[0]
+    fields = "query_id long, atom_id string, position int, who string, what string, how string, where string, content_original string, source_document string, article_reference string, is_ambiguous string, score double"
+    rows = [(1, "far", 1, "", "", "", "", "x" * 300 + term, "d", "1", "false", 1.0), (1, "none", 2, "", "", "", "", "x" * 300, "d", "1", "false", 1.0)]
+    routed = spark.createDataFrame([(1, term, [])], "query_id long, question string, who_terms array<string>")
+    lacks = {row["atom_id"]: row["missing_elements"] for row in R.atom_analysis(spark.createDataFrame(rows, fields), routed).collect()}
+    assert "材料或签章要求" not in lacks["far"] and "材料或签章要求" in lacks["none"]
