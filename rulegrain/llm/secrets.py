@@ -16,10 +16,11 @@ BASE = [
     ("access", r"()(AKIA[A-Z0-9]{14,}+)", 2, 18),
     ("hex", r"()([0-9a-f]{16,}+)", 2, 16),
 ]
-# The character classes as (name, candidate strings, window, least entropy in bits, characters that must occur).
+# The character classes as (name, candidate strings, window, least entropy in bits, two kinds of characters that must occur).
+KINDS = r"^(?=.*[0-9])(?=.*[A-Za-z])|^(?=.*[a-z])(?=.*[A-Z])"
 CLASSES = [
-    ("entropy_hex", r"(?<![A-Za-z0-9+/_=-])()([0-9A-Fa-f]{20,}+)(?![A-Za-z0-9+/_=-])", 20, 2.9, "[0-9]"),
-    ("entropy_base64", r"(?<![A-Za-z0-9+/_=-])()([A-Za-z0-9+/_=-]{20,}+)(?![A-Za-z0-9+/_=-])", 20, 3.75, "[0-9]"),
+    ("entropy_hex", r"(?<![A-Za-z0-9])()([0-9A-Fa-f]{20,}+)(?![A-Za-z0-9])", 20, 2.9, KINDS),
+    ("entropy_base64", r"(?<![A-Za-z0-9+/_=-])()([A-Za-z0-9+/_=-]{20,}+)(?![A-Za-z0-9+/_=-])", 20, 3.75, KINDS),
 ]
 # Candidates that are no secrets: identifiers in UUID form, numbers, words joined by dashes, documented example keys.
 ALLOWED = [
@@ -92,7 +93,7 @@ def scan(docs: DataFrame, allowed: Sequence[str] = tuple(ALLOWED), id_col: str =
     """id and the array ``spans`` of (start, place, kind, stop) for every row, over the whole text.
 
     Base kinds are matches whose measured group is long enough. A candidate of a character class adds the
-    stretch of its windows with high entropy, unless it matches an allow-list pattern or has no digit; base
+    stretch of its windows with high entropy, unless it matches an allow-list pattern or has one kind of character (digits, lower, upper case); base
     spans stay whatever the list says. Null and empty texts have no spans; rows are kept as they come.
     """
     clean = F.translate(text_of(text_col), OPEN + MIDDLE + CLOSE, "﷓" * 3)

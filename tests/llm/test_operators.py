@@ -151,6 +151,15 @@ def test_secret_spans(spark, docs, empty):
     assert secrets.scan(docs).count() == docs.count() and secrets.scan(empty).isEmpty()
 
 
+def test_secrets_beside_openers_and_without_digits(spark):
+    code, mixed = "9F86D081884C7D659A2FEAA0C55AD015", "qZrLmXvTnYcKdWsJhBgPfQ"
+    texts = [f"{lead}{code} end" for lead in ("KEY=", "X=", "sk_", "/", "-", "")] + [f"key {mixed} end", f"G{code}", f"{code}z"]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {row["id"]: [(s["kind"], texts[row["id"]][s["start"]:s["stop"]]) for s in row["spans"]] for row in rows}
+    assert all(("entropy_hex", code) in found[at] for at in range(6)) and ("entropy_base64", mixed) in found[6]
+    assert not any(kind == "entropy_hex" for at in (7, 8) for kind, _ in found[at])
+
+
 def test_repeats_keep_the_first(docs, empty):
     lost = substring_dedup.repeated_units(docs).collect()
     texts = {row["doc_id"]: row["text"] for row in docs.collect()}
