@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from rulegrain.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, quality, secrets, sharding, substring_dedup, toxicity
+from rulegrain.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, quality, secrets, sharding, simhash, substring_dedup, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (toxicity, exact_dedup, mixing, bpe, secrets, substring_dedup, neighbours, sharding, near_dedup, quality):
+for _module in (toxicity, exact_dedup, mixing, bpe, secrets, substring_dedup, neighbours, sharding, near_dedup, quality, simhash):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
 QUERIES["pipeline"] = corpus_pipeline.run
