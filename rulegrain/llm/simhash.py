@@ -52,8 +52,8 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
             prints = np.array([fingerprint(text, size) for text in batch["text"]], dtype=np.uint64)
             yield pd.DataFrame({"id": batch["id"], "print": prints.view(np.int64)})
 
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(sign, f"id {docs.schema[id_col].dataType.simpleString()}, print long")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("text"))  # as text, ids beside nulls stay exact
+    return rows.mapInPandas(sign, "id string, print long").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 def free_chain(boxes: int, reach: int) -> int:
