@@ -19,7 +19,7 @@ from rulegrain.llm.common import table, text_of
 PATTERN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _BLOCK = 1_000_000  # characters cut at once
-_REMEMBERED = 600_000  # pieces remembered by a Python worker
+_REMEMBERED = 24_000_000  # characters of the pieces that a task remembers; some 100 bytes of memory each piece besides
 
 
 def byte_letters() -> list[str]:
@@ -165,10 +165,11 @@ def pieces_of(text: str, vocabulary: Vocabulary) -> Iterator[list[str]]:
 
 
 class Coder:
-    """Remembers pieces already merged by this Python worker; new ones of a group of texts are merged together."""
+    """Remembers pieces already merged by this task and ends with it; new ones of a group of texts are merged together."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
+        self.held = 0
         self.ids: dict[str, tuple[int, ...]] = {}
         self.spelled: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
@@ -193,18 +194,16 @@ class Coder:
             for block in pieces_of(text, self.vocabulary):
                 pieces.extend(map(same.setdefault, block, block))
             cut.append(pieces)
-        if len(self.ids) + len(same) > _REMEMBERED:
-            self.ids, self.spelled, self.decoded = {}, {}, {}
+        size = sum(len(piece) + 40 for piece in same if piece not in self.ids)
+        if self.held + size > _REMEMBERED:
+            self.ids, self.spelled, self.decoded, self.held = {}, {}, {}, 0
+            size = sum(len(piece) + 40 for piece in same)
+        self.held += size
         self.learn(same)
         yield from cut
 
 
-@lru_cache(maxsize=2)
-def coder_of(path: str) -> Coder:
-    return Coder(load(path))
-
-
-def text_groups(texts: list[str], characters: int = 16 * _BLOCK) -> Iterator[list[str]]:
+def text_groups(texts: list[str], characters: int = 8 * _BLOCK) -> Iterator[list[str]]:
     """Runs of texts of about so many characters, so that the pieces held at once are bounded."""
     group, size = [], 0
     for text in texts:
@@ -234,7 +233,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     found = vocabulary_path(path)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = coder_of(found)
+        coder = Coder(load(found))
         for batch in batches:
             out = [[at for piece in pieces for at in coder.ids[piece]] for group in text_groups(list(batch["text"])) for pieces in coder.cut_all(group)]
             yield pd.DataFrame({"id": batch["id"], "ids": out})
@@ -268,7 +267,7 @@ def round_trips(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
     found = vocabulary_path(path)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = coder_of(found)
+        coder = Coder(load(found))
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             counts, ids_hashes, text_hashes = [], [], []

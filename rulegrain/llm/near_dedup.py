@@ -19,7 +19,6 @@ _FACTORS = _random.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(
 _SHIFTS = _random.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 _MASKS = [int(x) for x in _random.integers(0, 1 << 62, BANDS)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_known: dict[bytes, int] = {}
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -28,20 +27,21 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
+def shingle_set(text: str | None, size: int, known: dict[bytes, int] | None = None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct word shingles; fewer words than ``size`` make one shingle, none make an empty set.
 
-    Words are what ASCII white space parts; A-Z count as a-z.
+    Words are what ASCII white space parts; A-Z count as a-z. ``known`` is a task's own memory of word hashes.
     """
+    known = {} if known is None else known
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    if len(_known) > 500_000:
-        _known.clear()
+    if len(known) > 100_000:
+        known.clear()
     for word in words:
-        if word not in _known:
-            _known[word] = xxhash.xxh3_64_intdigest(word)
-    hashes = np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
+        if word not in known:
+            known[word] = xxhash.xxh3_64_intdigest(word)
+    hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     wide = min(size, len(words))
     total = np.full(len(words) - wide + 1, wide, dtype=np.uint64)
     for at in range(wide):
@@ -72,10 +72,11 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
     rows = with_row_key(docs).select(*ROW_KEY, F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, int] = {}
         for batch in batches:
             counts, prints, bands = [], [], []
             for text in batch["text"]:
-                shingles = shingle_set(text, size)
+                shingles = shingle_set(text, size, known)
                 counts.append(len(shingles))
                 prints.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
                 bands.append(registers(shingles).view(np.int64) if len(shingles) else None)
@@ -136,13 +137,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, int] = {}
         for batch in batches:
             last: tuple[int, np.ndarray] = (-1, np.empty(0, dtype=np.uint64))
             keep = []
             for b, one, two in zip(batch["b"], batch["text_a"], batch["text_b"], strict=True):
                 if b != last[0]:
-                    last = (b, shingle_set(two, size))
-                keep.append(_linked(shingle_set(one, size), last[1], percent))
+                    last = (b, shingle_set(two, size, known))
+                keep.append(_linked(shingle_set(one, size, known), last[1], percent))
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     return rows.mapInPandas(check, "a long, b long")
@@ -174,6 +176,7 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: Dat
     pairs = minors.join(everyone, ["band", "key"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, int] = {}
         for batch in batches:
             for band, few, many in zip(batch["band"], batch["few"], batch["all"], strict=True):
                 left, right = (pd.DataFrame(list(x)) for x in (few, many))
@@ -194,7 +197,7 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: Dat
                         theirs = int(right["class"][place])
                         for name, text in ((mine, left["text"][at]), (theirs, right["text"][place])):
                             if name not in sets:
-                                sets[name] = shingle_set(text, size)
+                                sets[name] = shingle_set(text, size, known)
                         if _linked(sets[mine], sets[theirs], percent):
                             found.append((mine, theirs))
                 yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
