@@ -1,15 +1,14 @@
-"""Final judgement and scene rules over a facts table: decision tables as CASE WHEN."""
+"""Final judgement over a facts table: decision tables as CASE WHEN."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rulegrain.functions.rules import condition, decision, fact_types, literal, render
-from rulegrain.functions.text import has_all, has_any, text, words
+from rulegrain.functions.rules import decision, fact_types, render
+from rulegrain.functions.text import has_any, words
 
 
 def _rule(rule_id, conclusion, status, confidence, summary, follow_up, all_of=(), any_of=()):
@@ -68,15 +67,15 @@ GAP_FACTS = {
 }
 
 
-def final_facts(reports: DataFrame) -> DataFrame:
-    """Facts of each report.
+def final_facts(reports: DataFrame, most: int | None = 12) -> DataFrame:
+    """Facts of each report (J3); a bucket counts at most ``most`` entries, as the reference has it, or all with None.
 
     ``reports`` has query_id, final_decision, stop_reason, can_make_final, ambiguity_count,
     gaps array<struct<gap_type, impact_scope>> and the bucket arrays key_basis, required_materials,
     required_actions, prohibitions, exceptions, time_limits, missing_items.
     """
     scope_count = lambda test: F.size(F.filter("gaps", test))
-    size = lambda name: F.size(F.slice(F.array_distinct(name), 1, 12))
+    size = lambda name: F.size(F.array_distinct(name) if most is None else F.slice(F.array_distinct(name), 1, most))
     scope = lambda gap: gap["impact_scope"]
     out = (
         reports.withColumn("fatal_gap_count", scope_count(lambda gap: scope(gap) == "全局阻断"))
@@ -103,15 +102,25 @@ def final_facts(reports: DataFrame) -> DataFrame:
     )
 
 
-def final_judgement(facts: DataFrame, rules: list[Mapping[str, Any]] = FINAL_RULES, first: list[Mapping[str, Any]] = ()) -> DataFrame:
-    """First matching rule per report as columns; ``first`` are scene rules placed ahead."""
-    ordered = [*first, *rules]
+def final_judgement(facts: DataFrame, rules: list[Mapping[str, Any]] = FINAL_RULES, scene_rules: Mapping[str, list[Mapping[str, Any]]] | None = None) -> DataFrame:
+    """First matching rule per report as columns.
+
+    ``scene_rules`` holds rules of scene profiles by profile id; they go before the others, for reports whose
+    ``scene_profile_id`` is theirs (J14). With that column, ``matched_rules`` names the profile and the rule.
+    """
+    scenes = [{**rule, "all_of": [_is("scene_profile_id", name), *rule.get("all_of", ())], "any_of": list(rule.get("any_of", ()))}
+              for name, listed in (scene_rules or {}).items() for rule in listed]
+    ordered = [*scenes, *rules]
     for_trace = [
         {**rule, "trace": [*map(render, rule["all_of"]), *([" OR ".join(map(render, rule["any_of"]))] if rule["any_of"] else [])]}
         for rule in ordered
     ]
     fields = ["rule_id", "conclusion", "status", "confidence", "summary", "follow_up_actions", "trace"]
-    return facts.withColumn("_d", decision(for_trace, fact_types(facts), fields)).select("*", "_d.*").drop("_d")
+    out = facts.withColumn("_d", decision(for_trace, fact_types(facts), fields)).select("*", "_d.*").drop("_d")
+    if "scene_profile_id" not in facts.columns:
+        return out
+    named = F.filter(F.array(F.coalesce("scene_profile_id", F.lit("")), F.col("rule_id")), lambda name: name != "")
+    return out.withColumn("matched_rules", named)
 
 
 def follow_up(rule_actions: Column, directions: Column, next_step: Column) -> Column:
@@ -119,101 +128,3 @@ def follow_up(rule_actions: Column, directions: Column, next_step: Column) -> Co
     step = F.when(next_step != "", F.array(next_step)).otherwise(words([]))
     merged = F.concat(rule_actions, F.slice(directions, 1, 4), step)
     return F.slice(F.array_distinct(F.filter(merged, lambda item: item != "")), 1, 5)
-
-
-# ------------------------------------------------------------------ scene profiles
-def scene_profile(profiles: list[Mapping[str, Any]], question: Column, scene_names: Column) -> Column:
-    """Id of the first profile with a scene hit and a keyword hit."""
-    out = F.lit("")
-
-    def overlaps(wanted: str):
-        return lambda name: F.contains(F.lit(wanted), name) | F.contains(name, F.lit(wanted))
-
-    for profile in reversed(profiles):
-        near = reduce(lambda a, b: a | b, [F.exists(scene_names, overlaps(wanted)) for wanted in profile["scene_names"]])
-        out = F.when(near & has_any(question, profile["question_keywords"]), profile["profile_id"]).otherwise(out)
-    return out
-
-
-def evidence_blob(evidence: Mapping[str, Column] | None = None) -> Column:
-    pick = lambda name: text(name)
-    return F.concat_ws("\n", *[pick(name) for name in ("who", "what", "how", "where", "content_original", "source_document")])
-
-
-def derived_facts(questions: DataFrame, evidence: DataFrame, profile: Mapping[str, Any]) -> DataFrame:
-    """One boolean column per derived fact (J6): bool_or over the evidence, merged map-side."""
-    asked, seen = {}, {}
-    blob = evidence_blob()
-    for spec in profile["derived_facts"]:
-        name, source, mode = spec["fact_id"], spec["source"], spec["mode"]
-        keywords = spec.get("keywords", ())
-        if source == "who_terms":
-            asked[name] = F.size("who_terms") > 0
-        elif source == "question":
-            asked[name] = has_any("question", keywords) if mode == "keyword_any" else has_all("question", keywords)
-        elif mode == "actor_scope":
-            actors = F.concat_ws("\n", text("who"), text("what"), text("how"))
-            seen[name] = F.exists("who_terms", lambda term: F.contains(actors, term))
-        else:
-            by_word = has_any(blob, keywords)
-            by_rule = F.col("rule_type").isin(list(spec.get("rule_types", ())))
-            seen[name] = {"keyword_any": by_word, "rule_type_any": by_rule, "keyword_or_rule": by_word | by_rule}[mode]
-    out = questions
-    for name, test in asked.items():
-        out = out.withColumn(name, test)
-    if not seen:
-        return out
-    joined = evidence.join(questions.select("query_id", "who_terms"), "query_id")
-    hits = joined.groupBy("query_id").agg(*[F.bool_or(test).alias(name) for name, test in seen.items()])
-    return out.join(hits, "query_id", "left").fillna(False, list(seen))
-
-
-def scene_rule_states(facts: DataFrame, profile: Mapping[str, Any]) -> DataFrame:
-    """State of every scene rule per question, by priority."""
-    kinds = fact_types(facts)
-    rows = []
-    for rule in sorted(profile["rule_specs"], key=lambda rule: (-int(rule.get("priority", 0)), rule["rule_id"])):
-        absent = {"applies_if": True, "requires": True, "exception_if": False, "forbids": False}
-        held = {name: condition(rule[name], kinds) if name in rule else F.lit(default) for name, default in absent.items()}
-        broken = held["applies_if"] & ~held["exception_if"] & (~held["requires"] | held["forbids"])
-        on_fail = rule.get("on_fail", {})
-        trace = [f"{head} {render(rule.get(name))}" for head, name in (
-            ("APPLIES_IF", "applies_if"), ("REQUIRES", "requires"), ("EXCEPTION_IF", "exception_if"), ("FORBIDS", "forbids"))]
-        rows.append(F.struct(
-            F.lit(rule["rule_id"]).alias("rule_id"), F.lit(int(rule.get("priority", 0))).alias("priority"),
-            held["applies_if"].alias("needed"), (held["applies_if"] & ~broken).alias("covered"), broken.alias("failed"),
-            held["requires"].alias("requirement_met"), held["exception_if"].alias("exception_hit"), held["forbids"].alias("forbid_hit"),
-            *[F.lit(on_fail.get(name, "")).alias(name) for name in ("dimension", "reason", "gap_type", "impact_scope", "severity", "handling", "atom_label")],
-            literal(trace).alias("decision_trace"),
-        ))
-    return facts.select("query_id", F.posexplode(F.array(*rows)).alias("position", "s")).select("query_id", "position", "s.*")
-
-
-def scene_rule_counts(states: DataFrame) -> DataFrame:
-    return states.groupBy("query_id").agg(
-        F.count_if("needed").alias("needed_count"), F.count_if(F.col("needed") & F.col("covered")).alias("covered_count"),
-        F.count_if("failed").alias("missing_count"),
-    )
-
-
-def requirement_states(questions: DataFrame, evidence: DataFrame, profile: Mapping[str, Any]) -> DataFrame:
-    """Requirement-style profiles: enough evidence rows per requirement."""
-    blob, hits, rows = evidence_blob(), [], []
-    for at, item in enumerate(profile["requirements"]):
-        if item.get("mode") == "actor_scope":
-            actors = F.concat_ws("\n", text("who"), text("what"), text("how"))
-            test = F.exists("who_terms", lambda term: F.contains(actors, term))
-        else:
-            test = has_any(blob, item.get("evidence_keywords", ())) | F.col("rule_type").isin(list(item.get("evidence_rule_types", ())))
-        hits.append(F.count_if(test).alias(f"_hits{at}"))
-        needed = F.lit(bool(item.get("always_required", False))) | has_any("question", item.get("question_keywords", ()))
-        if item.get("activate_if_who_terms"):
-            needed = needed | (F.size("who_terms") > 0)
-        covered = F.col(f"_hits{at}") >= int(item.get("min_evidence_hits", 1))
-        rows.append(F.struct(
-            F.lit(item["fact_id"]).alias("fact_id"), F.lit(item.get("label", "")).alias("label"), needed.alias("needed"),
-            covered.alias("covered"), F.col(f"_hits{at}").alias("hit_count"),
-        ))
-    counted = evidence.join(questions.select("query_id", "who_terms"), "query_id").groupBy("query_id").agg(*hits)
-    joined = questions.join(counted, "query_id", "left").fillna(0)
-    return joined.select("query_id", F.explode(F.array(*rows)).alias("s")).select("query_id", "s.*")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rulegrain.functions import vocab as V
 from rulegrain.functions.rules import decision, fact_types, first_match, render
 from rulegrain.functions.text import cited_titles, clean_text, has_any, is_true, split_focus_terms, strip, text, truncate, words
+from rulegrain.operators import profiles as P
 from rulegrain.operators.containment import find_terms
 from rulegrain.operators.scale import ordered_distinct, top_rows
 from rulegrain.session import cut_lineage
@@ -244,6 +245,10 @@ GAPS = [
 ]
 
 
+DIMENSIONS = "array<struct<dimension:string,reason:string>>"
+DIRECTIONS = "array<struct<direction:string,reason:string,missing_dimension:string>>"
+
+
 def _blob(*names: str) -> Column:
     return F.concat_ws("\n", *[text(name) for name in names])
 
@@ -254,8 +259,7 @@ EVIDENCE_BLOB = ("who", "what", "how", "where", "content_original", "source_docu
 def recall_facts(routed: DataFrame, evidence: DataFrame, profile_facts: DataFrame | None = None, min_evidence: int = 6, min_basis: int = 3) -> DataFrame:
     """One row of facts per question: one aggregation over its evidence, then derived tests (I8).
 
-    ``profile_facts`` optionally has query_id, scene_profile_id, scene_requirement_missing_count,
-    min_evidence_count, min_direct_basis_count for questions with a scene profile.
+    ``profile_facts`` are those of :func:`rulegrain.operators.profiles.profile_facts` for questions with a scene profile.
     """
     blob, rule = _blob(*EVIDENCE_BLOB), F.col("rule_type")
     actors = _blob("who", "what", "how")
@@ -278,7 +282,8 @@ def recall_facts(routed: DataFrame, evidence: DataFrame, profile_facts: DataFram
     if profile_facts is not None:
         out = out.join(profile_facts, "query_id", "left")
     else:
-        for name, kind in (("scene_profile_id", "string"), ("scene_requirement_missing_count", "long"), ("min_evidence_count", "int"), ("min_direct_basis_count", "int")):
+        for name, kind in (("scene_profile_id", "string"), ("scene_requirement_missing_count", "long"), ("min_evidence_count", "int"), ("min_direct_basis_count", "int"),
+                           ("scene_missing_dimensions", DIMENSIONS), ("scene_directions", DIRECTIONS)):
             out = out.withColumn(name, F.lit(None).cast(kind))
     out = out.fillna({"scene_profile_id": "", "scene_requirement_missing_count": 0, "min_evidence_count": min_evidence, "min_direct_basis_count": min_basis})
     n, q = F.col, F.col("question")
@@ -307,8 +312,11 @@ def recall_facts(routed: DataFrame, evidence: DataFrame, profile_facts: DataFram
     return out
 
 
-def recall_judgement(facts: DataFrame, rules: list[Mapping[str, Any]] = RECALL_RULES) -> DataFrame:
-    """Decision, missing dimensions (8) and directions (6) per question."""
+def recall_judgement(facts: DataFrame, rules: list[Mapping[str, Any]] = RECALL_RULES, most_dimensions: int | None = 8, most_directions: int | None = 6) -> DataFrame:
+    """Decision, missing dimensions (8) and directions (6) per question (I9, I10); None keeps all.
+
+    What a question's scene profile lacks stands in place of the general gaps.
+    """
     traced = [{**rule, "decision_trace": [render(rule["when"])]} for rule in rules]
     fields = ["rule_id", "decision", "can_make_final", "confidence", "summary", "decision_trace"]
     out = facts.withColumn("_d", decision(traced, fact_types(facts), fields)).select("*", "_d.*").drop("_d")
@@ -317,8 +325,11 @@ def recall_judgement(facts: DataFrame, rules: list[Mapping[str, Any]] = RECALL_R
     direction = lambda code, reason, name: F.struct(F.lit(code).alias("direction"), F.lit(reason).alias("reason"), F.lit(name).alias("missing_dimension"))
     directions = F.array_compact(F.array(*[F.when(F.col(gap), direction(code, reason, name)) for gap, name, _, ways in GAPS for code, reason in ways]))
     done = (F.col("decision") == STOP) & F.col("can_make_final")
-    return out.withColumn("missing_dimensions", F.slice(missing, 1, F.when(done, 0).otherwise(8))).withColumn(
-        "directions", F.slice(directions, 1, F.when(done, 0).otherwise(6)))
+    by_scene = F.col("has_scene_profile") & (F.coalesce(F.size("scene_missing_dimensions"), F.lit(0)) > 0)
+    shown = lambda own, general, most: F.slice(
+        F.when(by_scene, F.coalesce(own, F.slice(general, 1, 0))).otherwise(general), 1, F.when(done, 0).otherwise(2**31 - 1 if most is None else most))
+    return out.withColumn("missing_dimensions", shown(F.col("scene_missing_dimensions"), missing, most_dimensions)).withColumn(
+        "directions", shown(F.col("scene_directions"), directions, most_directions))
 
 
 def atoms_to_analyse(current: DataFrame, limit: int = 6) -> DataFrame:
@@ -331,19 +342,26 @@ def atoms_to_analyse(current: DataFrame, limit: int = 6) -> DataFrame:
     return top_rows(scored, ["query_id"], [F.desc("check_score"), F.desc("atom_id")], limit, "position")
 
 
-def atom_analysis(picked: DataFrame, routed: DataFrame) -> DataFrame:
-    """What each picked atom lacks for direct execution."""
+def atom_analysis(picked: DataFrame, routed: DataFrame, scene_gaps: DataFrame | None = None) -> DataFrame:
+    """What each picked atom lacks for direct execution.
+
+    ``scene_gaps`` (query_id, atom_id, scene_labels) says what an atom lacks by the scene profile of its question, in place of the
+    tests on the wording of the question.
+    """
     rows = evidence_rows(picked.withColumn("rank", F.col("position")), None).join(
         routed.select("query_id", "question", "who_terms"), "query_id")
     blob, q = _blob(*EVIDENCE_BLOB), F.col("question")
     asks = lambda terms: has_any(q, terms) & ~has_any(blob, terms)
     process = has_any(q, [*V.PROCESS_TERMS, *V.HOW_QUESTION_TERMS]) & ~has_any(blob, V.PROCESS_TERMS)
-    lacks = F.array_compact(F.array(
+    by_wording = F.array_compact(F.array(
         F.when((F.size("who_terms") > 0) & ~F.exists("who_terms", lambda term: F.contains(blob, term)), "主体范围"),
         F.when(asks(V.MATERIAL_TERMS), "材料或签章要求"), F.when(process, "流程动作"), F.when(asks(V.THRESHOLD_TERMS), "时限或阈值条件"),
-        F.when(asks(V.DEFINITION_TERMS), "定义范围"), F.when(strip("article_reference") == "", "法条依据定位"), F.when(F.col("is_ambiguous"), "歧义条款需复核"),
-    ))
-    out = rows.withColumn("missing_elements", F.slice(lacks, 1, 5))
+        F.when(asks(V.DEFINITION_TERMS), "定义范围")))
+    always = F.array_compact(F.array(F.when(strip("article_reference") == "", "法条依据定位"), F.when(F.col("is_ambiguous"), "歧义条款需复核")))
+    if scene_gaps is not None:
+        rows = rows.join(scene_gaps, ["query_id", "atom_id"], "left")
+        by_wording = F.coalesce("scene_labels", by_wording)
+    out = rows.withColumn("missing_elements", F.slice(F.array_distinct(F.concat(by_wording, always)), 1, 5))
     some = F.size("missing_elements") > 0
     reason = F.concat(F.lit("当前原子仍缺少"), F.array_join(F.slice("missing_elements", 1, 3), "、"), F.lit("，建议继续细化。"))
     return out.select(
@@ -548,10 +566,12 @@ def _last_round(parts: list[DataFrame], report: DataFrame) -> DataFrame:
 def recall_loop(
     questions: DataFrame, atoms: DataFrame, modules: DataFrame, scenes: DataFrame, matches: DataFrame, segments: DataFrame,
     max_rounds: int = 3, initial_limit: int = 40, judged_atoms: int | None = 18, compat: bool = True,
-    focus_limit: int | None = 24, focus_atoms: int | None = 8,
+    focus_limit: int | None = 24, focus_atoms: int | None = 8, profiles: P.Catalog | None = None,
 ) -> dict[str, DataFrame]:
     """All questions through at most ``max_rounds`` rounds together.
 
+    ``profiles`` are scene profiles; where a question has one, its rules decide what is missing and when to stop.
+
     ``questions`` has query_id, question, query, who_terms, scene_keys, scene_names, module_codes. Each
     round is a fixed set of joins over the open questions; its candidates are written out before the
     next round so plans do not grow.
@@ -567,9 +587,8 @@ def recall_loop(
     current = cut_lineage(full(rank_candidates(candidates, atoms, initial_limit)))
     start = current.groupBy("query_id").agg(F.count("*").alias("initial_count"))
     state = routed.select("query_id").join(start, "query_id", "left").fillna(0).withColumn("stop_reason", F.lit(None).cast("string")).withColumn(
-        "decision", F.lit(GO_ON)).withColumn("can_make_final", F.lit(False)).withColumn("rounds", F.lit(0)).withColumn("rule_id", F.lit("")).withColumn(
-        "missing_dimensions", F.array().cast("array<struct<dimension:string,reason:string>>")).withColumn(
-        "directions", F.array().cast("array<struct<direction:string,reason:string,missing_dimension:string>>"))
+        "decision", F.lit(GO_ON)).withColumn("can_make_final", F.lit(False)).withColumn("rounds", F.lit(0)).withColumn("rule_id", F.lit("")).withColumn("scene_profile_id", F.lit("")).withColumn(
+        "missing_dimensions", F.array().cast(DIMENSIONS)).withColumn("directions", F.array().cast(DIRECTIONS))
     state = cut_lineage(state)
     history = []
     checked, focused = [], []
@@ -577,9 +596,11 @@ def recall_loop(
         open_ids = state.filter(F.col("stop_reason").isNull()).select("query_id")
         asked = routed.join(open_ids, "query_id", "left_semi")
         now = current.join(open_ids, "query_id", "left_semi")
-        judged = recall_judgement(recall_facts(asked, evidence_rows(now, judged_atoms)))
-        judged = cut_lineage(judged.select("query_id", "rule_id", "decision", "can_make_final", "confidence", "missing_dimensions", "directions", "evidence_count", "structural_gap_count"))
-        analysis = cut_lineage(atom_analysis(atoms_to_analyse(now), asked))
+        seen = evidence_rows(now, judged_atoms)
+        judged = recall_judgement(recall_facts(asked, seen, None if profiles is None else P.profile_facts(asked, seen, profiles)))
+        judged = cut_lineage(judged.select("query_id", "scene_profile_id", "rule_id", "decision", "can_make_final", "confidence", "missing_dimensions", "directions", "evidence_count", "structural_gap_count"))
+        picked = atoms_to_analyse(now)
+        analysis = cut_lineage(atom_analysis(picked, asked, None if profiles is None else P.atom_gaps(asked, picked, profiles)))
         going = judged.filter(F.col("decision") != STOP)
         wanted = F.array_distinct(F.transform("directions", lambda item: item["direction"]))
         wanted = F.when(F.size("directions") > 0, wanted).otherwise(words(["D", "E"]))
@@ -598,7 +619,7 @@ def recall_loop(
         verdict = judged.join(fresh, "query_id", "left").fillna(0, ["new_count"])
         verdict = cut_lineage(verdict.withColumn("new_stop", F.when(F.col("decision") == STOP, "llm_stop").when(F.col("new_count") == 0, "no_new_candidates")))
         history.append(verdict.select("query_id", F.lit(number).alias("round"), "rule_id", "decision", "evidence_count", "structural_gap_count", "new_count", F.size("directions").alias("direction_count")))
-        fields_now = ["rule_id", "decision", "can_make_final", "missing_dimensions", "directions"]
+        fields_now = ["scene_profile_id", "rule_id", "decision", "can_make_final", "missing_dimensions", "directions"]
         update = verdict.select("query_id", "new_stop", *[F.col(name).alias(f"n_{name}") for name in fields_now])
         joined = state.join(update, "query_id", "left")
         touched = F.col("n_decision").isNotNull()
