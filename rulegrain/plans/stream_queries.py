@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulegrain.plans.corpus import table
+from rulegrain.session import shared_folder
 from rulegrain.streaming import incremental as I
 
 QUERIES: dict = {}
@@ -19,18 +17,8 @@ def query(fn):
     return fn
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint directory, or a local one in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running a stream")
-        return tempfile.mkdtemp(prefix=f"rulegrain-{name}-")
-    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
-
-
 def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    out, state = _folder(spark, name), _folder(spark, f"{name}-state")
+    out, state = shared_folder(spark, name), shared_folder(spark, f"{name}-state")
     if mode == "append":
         stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     else:

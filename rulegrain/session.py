@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,3 +45,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         else:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this operator")
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint directory, or a local one in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this operator")
+        return tempfile.mkdtemp(prefix=f"rulegrain-{name}-")
+    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
