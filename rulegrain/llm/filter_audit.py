@@ -10,6 +10,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType
@@ -25,19 +26,25 @@ CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 BIT = {letter: 1 << at for at, letter in enumerate(LETTERS)}
 
 _SHARD = "shard long, parts array<string>, digests array<binary>, flags array<int>, bounds array<int>, columns binary, counts binary"
+_SEED, _MOST = 42, (1 << 63) - 1  # a term is its word's XXH64 without the sign; negative numbers are left for words that share one
+
+
+class _Places(dict):
+    """Numbers words by first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        return at
 
 
 def local_shards(docs: DataFrame, id_col: str, part_col: str, text_col: str) -> DataFrame:
     """CSR shards of about ``SHARD_BYTES`` of text whose columns count in the shard's own ``words``, by first appearance."""
+
     def build(shard: int, rows: list[tuple]) -> pd.DataFrame:
-        place: dict[bytes, int] = {}
+        place = _Places()
         bounds, columns, counts, digests, flags = [0], [], [], [], []
         for _, _, text, data in rows:
-            words = data.split()
-            for word in words:
-                if word not in place:
-                    place[word] = len(place)
-            found, times = np.unique(np.fromiter(map(place.__getitem__, words), dtype=np.int32, count=len(words)), return_counts=True)
+            found, times = np.unique(np.array(list(map(place.__getitem__, data.split())), dtype=np.int32), return_counts=True)
             columns.append(found)
             counts.append(times.astype(np.int32))
             bounds.append(bounds[-1] + len(found))
@@ -62,63 +69,87 @@ def local_shards(docs: DataFrame, id_col: str, part_col: str, text_col: str) ->
             yield build(shard, rows)
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text_of(part_col).alias("part"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(cut, f"{_SHARD}, ids array<string>, words array<binary>")
+    return rows.mapInPandas(cut, f"{_SHARD}, ids array<string>, words array<binary>")  # ids as text, so ids beside nulls stay exact
+
+
+def term_of(word: str | Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(_MOST))
 
 
-def numbered(df: DataFrame, alias: str) -> DataFrame:
-    """Number the rows 0..n-1 in no particular order: stored parts get an offset each, so no task sees all rows."""
-    placed = stored(df.withColumn("__row", F.monotonically_increasing_id()))
-    part = F.shiftright("__row", 33)
-    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__from"))  # a row per stored part
-    at = (F.col("__from") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))).alias(alias)
-    return placed.withColumn("__part", part).join(F.broadcast(offsets), "__part").select(*df.columns, at)
+def shared_terms(local: DataFrame) -> dict[bytes, int]:
+    """Words whose hash another word of the corpus has too, with the negative terms they get instead (none below some 10**9 words).
+
+    Of each hash only the least and greatest of a second hash travel; the words themselves are read again where these differ.
+    """
+    words = local.select(F.explode("words").alias("word"))
+    spread = words.select(term_of("word").alias("term"), F.hash("word").alias("check")).groupBy("term").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    shared = stored(spread.filter("low <> high").select("term"))
+    if shared.isEmpty():
+        return {}
+    if shared.count() > 100_000:
+        raise ValueError("too many words share a 64-bit hash: the words are made for it")
+    found = words.withColumn("term", term_of("word")).join(F.broadcast(shared), "term").select("word").distinct()  # the bound is checked above
+    return {bytes(row["word"]): -1 - at for at, row in enumerate(found.orderBy("word").collect())}
+
+
+def encoded(words: list[bytes], columns: bytes, counts: bytes, bounds: list[int], shared: dict[bytes, int], most: int = _MOST) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and counts of a shard in CSR order, by the global dictionary."""
+    digest = xxhash.xxh64_intdigest
+    terms = np.fromiter((digest(word, _SEED) & most for word in words), dtype=np.int64, count=len(words))
+    if shared:
+        terms = np.array([shared.get(word, term) for word, term in zip(words, terms.tolist(), strict=True)], dtype=np.int64)
+    if len(np.unique(terms)) < len(terms):  # cannot be once words that share a hash have terms of their own
+        raise ValueError("two words of a shard have one term")
+    found = terms[np.frombuffer(columns, dtype=np.int32)]
+    sizes = np.diff(np.asarray(bounds))
+    order = np.lexsort((found, np.repeat(np.arange(len(sizes)), sizes)))
+    return found[order], np.frombuffer(counts, dtype=np.int32)[order]
 
 
 def term_matrix(docs: DataFrame, id_col: str = "doc_id", part_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The dictionary (``word``, ``term``) of all distinct words, and the CSR shards over it.
 
     A shard row holds, for its documents in order, ``ids``, ``parts`` (null: empty), ``digests`` (blake2b of the text) and ``flags``
-    (bits of filters C and D), the row bounds, and int64 term numbers and int32 counts as bytes, ascending in a row.
-    Words are maximal runs without ASCII white space, case-sensitive; null texts are empty rows. Only a shard's distinct words
-    are shuffled, so a word of every document travels once a shard.
+    (bits of filters C and D), the row bounds, and int64 terms and int32 counts as bytes, ascending in a row. A term is its word's hash,
+    checked over the whole corpus to be that of no other word, so shards need no join with the dictionary.
+    Words are maximal runs without ASCII white space, case-sensitive; null texts are empty rows.
     """
     local = stored(local_shards(docs, id_col, part_col, text_col))
-    words = local.select("shard", F.posexplode("words").alias("at", "word"))
-    dictionary = stored(numbered(words.select("word").distinct(), "term"))
-    terms = words.join(dictionary, "word").select(F.col("shard").alias("of_shard"), "at", "term")
-
-    def translate(shards: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        term_of = np.empty(len(found), dtype=np.int64)
-        term_of[found["at"].to_numpy()] = found["term"].to_numpy()
-        out = []
-        for bounds, columns, counts in zip(shards["bounds"], shards["columns"], shards["counts"], strict=True):
-            terms = term_of[np.frombuffer(columns, dtype=np.int32)]
-            sizes = np.diff(np.asarray(bounds))
-            order = np.lexsort((terms, np.repeat(np.arange(len(sizes)), sizes)))
-            out.append((terms[order].tobytes(), np.frombuffer(counts, dtype=np.int32)[order].tobytes()))
-        return shards.drop(columns=["words"], errors="ignore").assign(columns=[terms for terms, _ in out], counts=[counts for _, counts in out])
+    shared = shared_terms(local)
+    term = term_of("word")
+    for word, other in shared.items():
+        term = F.when(F.col("word") == F.lit(bytearray(word)), other).otherwise(term)
+    dictionary = local.select(F.explode("words").alias("word")).distinct().select(F.col("word").cast("string").alias("word"), term.alias("term"))
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(len(batch)):
+                row = batch.iloc[at:at + 1]
+                terms, counts = encoded(*(row[name].iat[0] for name in ("words", "columns", "counts", "bounds")), shared, _MOST)
+                yield row.drop(columns="words").assign(columns=[terms.tobytes()], counts=[counts.tobytes()])
 
     kept = local.drop("words")
-    shards = kept.groupBy("shard").cogroup(terms.groupBy("of_shard")).applyInPandas(translate, kept.schema)
-    shards = shards.withColumn("ids", F.col("ids").cast(ArrayType(docs.schema[id_col].dataType)))  # as text so far, so ids beside nulls stay exact
-    return dictionary.select(F.col("word").cast("string").alias("word"), "term"), shards
+    shards = local.mapInPandas(encode, kept.schema)
+    return dictionary, shards.withColumn("ids", F.col("ids").cast(ArrayType(docs.schema[id_col].dataType)))
 
 
-def failed(shards: DataFrame) -> DataFrame:
+def failed(docs: DataFrame, id_col: str = "doc_id", part_col: str = "source", text_col: str = "text") -> DataFrame:
     """``id``, ``part``, ``digest``, ``n_words`` (row sum), ``n_distinct`` (nonzero columns) and ``flags`` (bits of A to D) of every document."""
+    local = stored(local_shards(docs, id_col, part_col, text_col))
+    shared = shared_terms(local)
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch.itertuples():
+                _, counts = encoded(shard.words, shard.columns, shard.counts, shard.bounds, shared, _MOST)
                 bounds = np.asarray(shard.bounds)
-                sums = np.concatenate(([0], np.cumsum(np.frombuffer(shard.counts, dtype=np.int32), dtype=np.int64)))[bounds]
-                n_words, n_distinct = np.diff(sums), np.diff(bounds)
+                n_words = np.diff(np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))[bounds])
+                n_distinct = np.diff(bounds)  # no term stands twice in a row
                 flags = np.asarray(shard.flags) + BIT["A"] * (n_words < LEAST_WORDS) + BIT["B"] * (100 * n_distinct < LEAST_DISTINCT * n_words)
                 yield pd.DataFrame({"id": list(shard.ids), "part": list(shard.parts), "digest": list(shard.digests), "n_words": n_words, "n_distinct": n_distinct, "flags": flags})
 
-    rows = shards.withColumn("ids", F.col("ids").cast("array<string>")).mapInPandas(read, "id string, part string, digest binary, n_words long, n_distinct long, flags int")
-    return rows.withColumn("id", F.col("id").cast(shards.schema["ids"].dataType.elementType))
+    rows = local.mapInPandas(read, "id string, part string, digest binary, n_words long, n_distinct long, flags int")
+    return rows.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 def patterns(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -186,8 +217,7 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", part_col:
     Null texts are empty; empty texts fail A alone unless copies. Repeated rows count each; repeated labels count as marked once any
     of them is; an empty table gives no rows; other columns play no part.
     """
-    _, shards = term_matrix(docs, id_col, part_col, text_col)
-    return interactions(patterns(failed(shards), labels, id_col))
+    return interactions(patterns(failed(docs, id_col, part_col, text_col), labels, id_col))
 
 
 def op12_filter_audit(spark, sf_dir: str) -> DataFrame:
