@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 
@@ -44,9 +45,9 @@ def local_shards(docs: DataFrame, id_col: str, part_col: str, text_col: str) ->
         place = _Places()
         bounds, columns, counts, digests, flags = [0], [], [], [], []
         for _, _, text, data in rows:
-            found, times = np.unique(np.array(list(map(place.__getitem__, data.split())), dtype=np.int32), return_counts=True)
-            columns.append(found)
-            counts.append(times.astype(np.int32))
+            found = Counter(data.split())
+            columns.append(np.fromiter(map(place.__getitem__, found), dtype=np.int32, count=len(found)))
+            counts.append(np.fromiter(found.values(), dtype=np.int32, count=len(found)))
             bounds.append(bounds[-1] + len(found))
             digests.append(hashlib.blake2b(data, digest_size=16).digest())
             capitals = len(data) - len(data.translate(None, CAPITALS))
@@ -92,18 +93,15 @@ def shared_terms(local: DataFrame) -> dict[bytes, int]:
     return {bytes(row["word"]): -1 - at for at, row in enumerate(found.orderBy("word").collect())}
 
 
-def encoded(words: list[bytes], columns: bytes, counts: bytes, bounds: list[int], shared: dict[bytes, int], most: int = _MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and counts of a shard in CSR order, by the global dictionary."""
+def encoded(words: list[bytes], columns: bytes, counts: bytes, shared: dict[bytes, int], most: int = _MOST) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and counts of a shard's rows by the global dictionary."""
     digest = xxhash.xxh64_intdigest
     terms = np.fromiter((digest(word, _SEED) & most for word in words), dtype=np.int64, count=len(words))
     if shared:
         terms = np.array([shared.get(word, term) for word, term in zip(words, terms.tolist(), strict=True)], dtype=np.int64)
     if len(np.unique(terms)) < len(terms):  # cannot be once words that share a hash have terms of their own
         raise ValueError("two words of a shard have one term")
-    found = terms[np.frombuffer(columns, dtype=np.int32)]
-    sizes = np.diff(np.asarray(bounds))
-    order = np.lexsort((found, np.repeat(np.arange(len(sizes)), sizes)))
-    return found[order], np.frombuffer(counts, dtype=np.int32)[order]
+    return terms[np.frombuffer(columns, dtype=np.int32)], np.frombuffer(counts, dtype=np.int32)
 
 
 def term_matrix(docs: DataFrame, id_col: str = "doc_id", part_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -125,8 +123,10 @@ def term_matrix(docs: DataFrame, id_col: str = "doc_id", part_col: str = "source
         for batch in batches:
             for at in range(len(batch)):
                 row = batch.iloc[at:at + 1]
-                terms, counts = encoded(*(row[name].iat[0] for name in ("words", "columns", "counts", "bounds")), shared, _MOST)
-                yield row.drop(columns="words").assign(columns=[terms.tobytes()], counts=[counts.tobytes()])
+                terms, counts = encoded(*(row[name].iat[0] for name in ("words", "columns", "counts")), shared, _MOST)
+                sizes = np.diff(np.asarray(row["bounds"].iat[0]))
+                order = np.lexsort((terms, np.repeat(np.arange(len(sizes)), sizes)))
+                yield row.drop(columns="words").assign(columns=[terms[order].tobytes()], counts=[counts[order].tobytes()])
 
     kept = local.drop("words")
     shards = local.mapInPandas(encode, kept.schema)
@@ -141,7 +141,7 @@ def failed(docs: DataFrame, id_col: str = "doc_id", part_col: str = "source", te
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch.itertuples():
-                _, counts = encoded(shard.words, shard.columns, shard.counts, shard.bounds, shared, _MOST)
+                _, counts = encoded(shard.words, shard.columns, shard.counts, shared, _MOST)
                 bounds = np.asarray(shard.bounds)
                 n_words = np.diff(np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))[bounds])
                 n_distinct = np.diff(bounds)  # no term stands twice in a row
