@@ -1,39 +1,59 @@
-"""Incremental jobs: classify new atoms, import each artifact once, keep metrics current."""
+"""Incremental jobs: classify new atoms, import each artifact once, keep metrics current.
+
+Results of a batch stand in folders that name the batch and are overwritten when it is run again, so a restart after a lost executor
+or driver neither doubles nor loses any.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rulegrain.functions.text import strip
 from rulegrain.operators.lineage import content_hash
-from rulegrain.operators.taxonomy import classify, pending_atoms
+from rulegrain.operators.taxonomy import classify
+from rulegrain.session import cut_lineage
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000, fmt: str = "parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
 
 
-def classify_new_atoms(atoms: DataFrame, modules: DataFrame, output: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Classify atoms that have no stored result.
+def _started(stream: DataFrame, write, checkpoint: str, trigger: dict) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
 
-    Each batch owns the folder ``batch_id=N`` and overwrites it when replayed, so a restart after a
-    lost executor or driver neither doubles nor loses results. Earlier batches are read for the anti join.
+# ------------------------------------------------------------------ new atoms
+def classify_new_atoms(atoms: DataFrame, modules: DataFrame, output: str, checkpoint: str, buckets: int = 64, **trigger) -> StreamingQuery:
+    """Classify atoms that have no stored result (S1); of rows with one id in a batch, one counts.
+
+    ``output/ids`` keeps the ids that are done in hash buckets; a batch reads the buckets of its own ids and no results.
+    ``output/results/batch_id=N`` holds what batch N classified.
     """
+    spark = atoms.sparkSession
+    kind = atoms.schema["atom_id"].dataType.simpleString()
+    ledger, schema = f"{output}/ids", f"atom_id {kind}, bucket int, batch_id long"
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("bucket", "batch_id").parquet(ledger)  # so that it can be read from the start
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(output).filter(F.col("batch_id") != number)
-            batch = pending_atoms(batch, done)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        fresh = batch.dropDuplicates(["atom_id"])
-        classify(fresh, modules).write.mode("overwrite").parquet(f"{output}/batch_id={number}")
+        bucket = F.pmod(F.xxhash64("atom_id"), F.lit(buckets)).cast("int")
+        fresh = cut_lineage(batch.filter(strip(F.col("atom_id").cast("string")) != "").dropDuplicates(["atom_id"]).withColumn("bucket", bucket))
+        touched = [row["bucket"] for row in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+        done = spark.read.schema(schema).parquet(ledger).filter(F.col("bucket").isin(touched) & (F.col("batch_id") != number))
+        new = cut_lineage(fresh.join(done.select("atom_id"), "atom_id", "left_anti"))
+        classify(new.drop("bucket"), modules).write.mode("overwrite").parquet(f"{output}/results/batch_id={number}")
+        old_mode = {"partitionOverwriteMode": "dynamic"}
+        new.select("atom_id", "bucket", F.lit(number).cast("long").alias("batch_id")).write.mode("overwrite").options(**old_mode).partitionBy("bucket", "batch_id").parquet(ledger)
+
+    return _started(atoms, write, checkpoint, trigger)
 
-    return atoms.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
+def classified(spark: SparkSession, output: str) -> DataFrame:
+    """All results of :func:`classify_new_atoms`."""
+    return spark.read.parquet(f"{output}/results")
 
+
+# ------------------------------------------------------------------ artifacts
 def import_stream(artifacts: DataFrame, content: str, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
     """Each content once (S2): by hash, with bounded state when the rows carry an event time."""
     hashed = artifacts.withColumn("sha1", content_hash(content))
@@ -42,12 +62,43 @@ def import_stream(artifacts: DataFrame, content: str, event_time: str | None = N
     return hashed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["sha1"])
 
 
-def windowed_counts(events: DataFrame, time: str, kind: str, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Counts per time window and kind; rows later than the watermark are dropped (S3)."""
-    return events.withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), kind).agg(F.count("*").alias("n")).select(
-        F.col("w.start").alias("window_start"), kind, "n")
+# ------------------------------------------------------------------ metrics (S3)
+_PARTS = "window_start timestamp, window_end timestamp, kind string, late boolean, n long, high timestamp, batch_id long"
+
+
+def windowed_counts(events: DataFrame, time: str, kind: str, output: str, checkpoint: str, window: str = "1 hour", delay: str = "10 minutes", **trigger) -> StreamingQuery:
+    """Counts per event-time window and kind that keep current, with late rows counted apart (S3).
+
+    The watermark of a batch is the latest time of the batches before it less ``delay``; a row whose window has ended by then is late: it is
+    counted in :func:`late_counts` and changes no closed window. A batch is read once and leaves one row per window and kind; the only
+    state is one mark per batch. Rows without a time are in no window; a null kind is a kind.
+    """
+    spark = events.sparkSession
+    marks = "high timestamp, batch_id long"
+    spark.createDataFrame([], marks).write.mode("append").partitionBy("batch_id").parquet(f"{output}/marks")
+
+    def write(batch: DataFrame, number: int) -> None:
+        earlier = spark.read.schema(marks).parquet(f"{output}/marks").filter(F.col("batch_id") < number)
+        closed = earlier.agg((F.max("high") - F.expr(f"INTERVAL {delay}")).alias("closed")).first()["closed"]
+        rows = batch.filter(F.col(time).isNotNull()).groupBy(F.window(time, window).alias("w"), F.col(kind).cast("string").alias("kind")).agg(F.count("*").alias("n"), F.max(time).cast("timestamp").alias("high"))
+        end = F.col("w.end").cast("timestamp")
+        late = F.lit(False) if closed is None else end <= F.lit(closed)
+        path = f"{output}/parts/batch_id={number}"
+        rows.select(F.col("w.start").cast("timestamp").alias("window_start"), end.alias("window_end"), "kind", late.alias("late"), "n", "high").write.mode("overwrite").parquet(path)
+        top = spark.read.schema(_PARTS).parquet(path).agg(F.max("high").alias("high"))
+        top.write.mode("overwrite").parquet(f"{output}/marks/batch_id={number}")
+
+    return _started(events, write, checkpoint, trigger)
+
+
+def _parts(spark: SparkSession, output: str, late: bool) -> DataFrame:
+    rows = spark.read.schema(_PARTS).parquet(f"{output}/parts").filter(F.col("late") == late)
+    return rows.groupBy("window_start", "kind").agg(F.sum("n").alias("n"))
+
+
+def current_counts(spark: SparkSession, output: str) -> DataFrame:
+    return _parts(spark, output, False)
 
 
-def batch_windowed_counts(events: DataFrame, time: str, kind: str, window: str = "1 hour") -> DataFrame:
-    """The same counts over a whole table, for back-fills and checks."""
-    return events.groupBy(F.window(time, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), kind, "n")
+def late_counts(spark: SparkSession, output: str) -> DataFrame:
+    return _parts(spark, output, True)

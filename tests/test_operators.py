@@ -89,7 +89,7 @@ def test_sample_size():
 
 
 def test_new_atoms_are_classified_once(spark, tmp_path):
-    from rulegrain.streaming.incremental import classify_new_atoms, read_stream
+    from rulegrain.streaming.incremental import classified, classify_new_atoms, read_stream
 
     modules = X.taxonomy_modules(spark.createDataFrame(
         [(1, "【业务管理类】", "【业务管理类】", "", ""), (2, "一、账户", "账户开立", "个人账户开立", "")], "row_no int, category string, module string, projects string, remark string"))
@@ -98,7 +98,7 @@ def test_new_atoms_are_classified_once(spark, tmp_path):
     for ids in (["A1", "A2"], ["A2", "A3"]):
         spark.createDataFrame([(name, 1, "个人账户开立") for name in ids], schema).coalesce(1).write.mode("append").parquet(source)
         classify_new_atoms(read_stream(spark, source, schema), modules, out, state).awaitTermination()
-    assert sorted(row["atom_id"] for row in spark.read.parquet(out).select("atom_id").collect()) == ["A1", "A2", "A3"]
+    assert sorted(row["atom_id"] for row in classified(spark, out).select("atom_id").collect()) == ["A1", "A2", "A3"]
 
 
 def test_group_sizes_keep_null_groups(spark):
