@@ -145,24 +145,41 @@ def build_catalog(
     return {"rules": catalog.orderBy("sequence"), "alignments": alignments, "atoms": subset}
 
 
-def resolve_documents(names: DataFrame, documents: DataFrame) -> DataFrame:
-    """Library document of each cited name by containment and shared characters, score above 3.
+def resolve_documents(names: DataFrame, documents: DataFrame, least: int = 4) -> DataFrame:
+    """Library document of each cited name: most containment and shared characters, a score of at least ``least``, ties to the lesser name.
 
-    Both are catalogs of titles; the library side is packed and size-checked like every curated list.
+    A score is the number of distinct characters both names have, and the length of a name that stands inside the other. Names that
+    share ``least`` characters share one among all but the ``least - 1`` commonest of either, so only these rarer ones are join keys;
+    a name of fewer distinct characters can only score by standing inside the other, and meets names that hold its rarest one.
     """
     from rulegrain.functions.text import document_name_form
 
-    ready = documents.select(F.col("document"), document_name_form("document").alias("norm"), F.lit("all").alias("lib"))
-    packs = _packed(ready, "lib", ["document", "norm"])
-    met = _meet(names.select("source_document", document_name_form("source_document").alias("target"), F.lit("all").alias("lib")), "lib", "source_document", packs)
-    letters = lambda value: F.array_distinct(F.filter(F.split(value, ""), lambda ch: ch != ""))
-
-    def score(item: Column) -> Column:
-        target, norm = F.col("target"), item["norm"]
-        inside = F.when((target != "") & F.contains(norm, target), F.length(target)).otherwise(0)
-        around = F.when((norm != "") & F.contains(target, norm), F.length(norm)).otherwise(0)
-        return inside + around + F.size(F.array_intersect(letters(target), letters(norm)))
-
-    scored = F.transform("pack", lambda item: F.struct(score(item).alias("score"), item["document"].alias("document")))
-    rows = met.select("source_document", F.explode(F.filter(scored, lambda item: item["score"] > 3)).alias("s"))
-    return top_rows(rows.select("source_document", "s.*"), ["source_document"], [F.desc("score"), F.col("document")], 1).drop("rank")
+    def ready(rows: DataFrame, name: str) -> DataFrame:
+        form = document_name_form(name)
+        letters = F.array_distinct(F.filter(F.split(form, ""), lambda letter: letter != ""))
+        return rows.filter(F.col(name).isNotNull()).select(F.col(name).alias("name"), form.alias("form"), letters.alias("letters")).distinct()
+
+    cited, library = ready(names, "source_document"), ready(documents, "document")
+    counted = cited.unionByName(library).select(F.explode("letters").alias("letter")).groupBy("letter").agg(F.count("*").alias("seen"))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        """Join keys of a name: (letter, use) rows; use 0 joins 0, 1 (the rarest of a short name) joins 2 (any of the other)."""
+        ranked = rows.select("name", F.explode("letters").alias("letter")).join(counted, "letter")
+        ordered = ranked.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("seen", "letter"))), lambda item: item["letter"]).alias("rare"))
+        key = lambda use: lambda letter: F.struct(letter.alias("letter"), F.lit(use).alias("use"))
+        uses = F.concat(
+            F.transform(F.slice("rare", 1, F.greatest(F.size("rare") - (least - 1), F.lit(0))), key(0)),
+            F.when(F.size("rare") < least, F.transform(F.slice("rare", 1, 1), key(1))).otherwise(F.array().cast("array<struct<letter:string,use:int>>")),
+            F.transform("rare", key(2)))
+        return ordered.select("name", F.explode(uses).alias("k")).select("name", "k.*")
+
+    mine, theirs = keyed(cited), keyed(library)
+    met = lambda left, right: mine.filter(F.col("use") == left).select(F.col("name").alias("source_document"), "letter").join(
+        theirs.filter(F.col("use") == right).select(F.col("name").alias("document"), "letter"), "letter")
+    pairs = met(0, 0).unionByName(met(1, 2)).unionByName(met(2, 1)).select("source_document", "document").distinct()
+    side = lambda rows, name, tag: rows.select(F.col("name").alias(name), F.col("form").alias(f"{tag}_form"), F.col("letters").alias(f"{tag}_letters"))
+    rows = pairs.join(side(cited, "source_document", "a"), "source_document").join(side(library, "document", "b"), "document")
+    inside = lambda small, large: F.when((F.col(small) != "") & F.contains(F.col(large), F.col(small)), F.length(small)).otherwise(0)
+    score = inside("a_form", "b_form") + inside("b_form", "a_form") + F.size(F.array_intersect("a_letters", "b_letters"))
+    scored = rows.select("source_document", "document", score.alias("score")).filter(F.col("score") >= least)
+    return top_rows(scored, ["source_document"], [F.desc("score"), F.col("document")], 1).select("source_document", "document", "score")

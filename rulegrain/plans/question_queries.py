@@ -19,23 +19,26 @@ def query(fn):
 
 
 # ------------------------------------------------------------------ alignment (K1-K5)
+LIBRARY = "library"  # lines of every language are compared with the same clauses
+
+
 def line_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    lines = S.document_lines(documents, "doc_id", "text").join(documents.select("doc_id", "lang"), "doc_id")
-    return lines.select(F.concat_ws("-", "doc_id", "line_no").alias("atom_id"), F.col("lang").alias("source_document"), F.col("line").alias("content_original"), "line_no", "doc_id")
+    lines = S.document_lines(documents, "doc_id", "text")
+    return lines.select(F.concat_ws("-", "doc_id", "line_no").alias("atom_id"), F.lit(LIBRARY).alias("source_document"), F.col("line").alias("content_original"), "line_no", "doc_id")
 
 
 def benchmark_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("clause_no"), F.concat(F.lit("S"), F.col("item_id")).alias("segment_id"), F.lit("R").alias("rule_id"),
-        F.lit("en").alias("document_name"), F.col("text").alias("matched_segment_text"))
+        F.lit(LIBRARY).alias("document_name"), F.col("text").alias("matched_segment_text"))
 
 
 NORM = "translate(regexp_replace({}, '\\s+', '', 'g'), 'Oo，,。；;：:“”\"''‘’（）()【】[]—-', '00')"
 OVERLAP = """CASE WHEN {l} = '' OR {r} = '' THEN 0.0 ELSE least(1.0, len(list_filter(string_split({l}, ''), lambda ch: contains({r}, ch))) / length({l}) * 0.8
   + CASE WHEN contains({l}, {r}) OR contains({r}, {l}) THEN 0.2 ELSE 0.0 END) END"""
 ALIGN = f"""WITH lines AS ({ORACLE_LINES}),
-a AS (SELECT doc_id || '-' || line_no AS atom_id, {NORM.format('line')} AS n FROM lines WHERE lang = 'en'),
+a AS (SELECT doc_id || '-' || line_no AS atom_id, {NORM.format('line')} AS n FROM lines),
 c AS (SELECT item_id, {NORM.format('text')} AS cn FROM benchmark)"""
 
 
@@ -62,18 +65,34 @@ flagged AS (SELECT *, bool_or(hit) OVER (PARTITION BY item_id) AS any_hit FROM s
 SELECT 'S' || item_id AS segment_id, count(*) AS atoms, round(max(s), 6) AS best FROM flagged WHERE hit OR (NOT any_hit AND s >= 0.45) GROUP BY item_id"""
 
 
+@query
+def resolved_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host that each page's address names."""
+    pages = table(spark, sf_dir, "pages")
+    hosts = pages.select(F.regexp_extract("url", "//([^/]+)", 1).alias("document")).distinct()
+    return A.resolve_documents(pages.select(F.col("url").alias("source_document")), hosts)
+
+
+_FORM = "translate(regexp_replace(url, '\\s+', '', 'g'), '" + V.DOC_NAME_PUNCTUATION.replace("'", "''") + "', '')"
+ORACLE["resolved_documents"] = f"""WITH c AS (SELECT DISTINCT url, {_FORM} AS a FROM pages), d AS (SELECT DISTINCT regexp_extract(url, '//([^/]+)', 1) AS host FROM pages),
+h AS (SELECT host, {_FORM.replace('url', 'host')} AS b FROM d),
+s AS (SELECT url, host, CASE WHEN contains(b, a) THEN length(a) ELSE 0 END + CASE WHEN contains(a, b) THEN length(b) ELSE 0 END
+  + len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, '')))) AS score FROM c, h)
+SELECT url AS source_document, host AS document, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, host) AS r FROM s WHERE score > 3) WHERE r = 1"""
+
+
 @query
 def matched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_atoms(spark, sf_dir)
     segments = lines.select(F.col("atom_id").alias("segment_id"), F.col("source_document").alias("doc"), F.concat(F.lit("第"), "line_no", F.lit("条")).alias("ref"),
                             F.col("content_original").alias("text"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("seg_ord"))
     hint = F.when(F.col("item_id") < 20, F.concat(F.lit("第"), F.col("item_id").cast("string"), F.lit("条"))).otherwise("")
-    chunks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), F.lit("en").alias("doc"), F.concat(hint, F.col("text")).alias("chunk"))
+    chunks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), F.lit(LIBRARY).alias("doc"), F.concat(hint, F.col("text")).alias("chunk"))
     return A.match_chunks(chunks, segments).select("chunk_id", "segment_id", "match_score")
 
 
 ORACLE["matched_chunks"] = f"""WITH lines AS ({ORACLE_LINES}),
-seg AS (SELECT doc_id || '-' || line_no AS segment_id, '第' || line_no || '条' AS ref, doc_id * 100000 + line_no AS ord, {NORM.format('line')} AS n FROM lines WHERE lang = 'en'),
+seg AS (SELECT doc_id || '-' || line_no AS segment_id, '第' || line_no || '条' AS ref, doc_id * 100000 + line_no AS ord, {NORM.format('line')} AS n FROM lines),
 ch AS (SELECT item_id, CASE WHEN item_id < 20 THEN '第' || item_id || '条' END AS hint, {NORM.format("CASE WHEN item_id < 20 THEN '第' || item_id || '条' ELSE '' END || text")} AS cn FROM benchmark),
 h AS (SELECT ch.*, EXISTS (SELECT 1 FROM seg WHERE starts_with(ref, hint)) AS known FROM ch),
 scored AS (SELECT item_id, segment_id, ord, {OVERLAP.format(l='cn', r='n')} AS s FROM h JOIN seg ON NOT coalesce(known, false) OR hint IS NULL OR starts_with(ref, hint))
