@@ -6,24 +6,28 @@ import hashlib
 import json
 import os
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from rulegrain.llm.bpe import byte_letters
 from rulegrain.llm.common import stored, table, text_of
 
-BLOCK_BYTES = 8_000_000  # text of one block of documents; a longer document is a block of its own
+BLOCK_BYTES = 4_000_000  # text of one block of documents; a longer document is a block of its own
 SEGMENT = 32_768  # pairs of one piece of the hash and of one dense count vector
 FAN_IN = 16  # vectors added by one node of the tree
 _HELD = 4_000_000  # pairs whose counts a task holds before it passes them on
-_WORDS = 300_000  # words whose ids a task remembers
+_WORDS = 24_000_000  # characters of the words whose ids a task remembers, each counted with 100 more
 _SPACES = re.compile(r"\s{50000}")
-_PIECE = re.compile(r"\n[^ \n]*| +[^ \n]*")  # where no token of B can span: before a line end, and before spaces after something else
+# A piece: white space and what follows it. No token of A spans two, nor one of B while no longer piece of B holds the white space.
+_PIECE = regex.compile(r"\p{White_Space}+\P{White_Space}*")
 _PRIME, _FACTOR = 2_147_483_647, 1_103_515_245  # of the rule that deals pairs to segments
 
 
@@ -54,14 +58,16 @@ class Codec:
             piece = self.pieces.id_to_piece(at)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(at) else piece.replace("▁", " ").encode())
         self.space = self.pieces.piece_to_id("▁")
+        longer = {letter for at in range(self.pieces.get_piece_size()) if not self.pieces.is_byte(at) and len(self.pieces.id_to_piece(at)) > 1 for letter in self.pieces.id_to_piece(at)}
+        self.joining = regex.compile("[▁" + "".join(x for x in sorted(longer) if regex.match(r"\p{White_Space}", x)) + "]")
         self.size_b = len(self.bytes_b)
         self.kind = np.dtype(np.uint16 if max(len(self.bytes_a), self.size_b) <= 65_536 else np.uint32)
         self.width_a = np.fromiter(map(len, self.bytes_a), dtype=np.int64)
         self.width_b = np.fromiter(map(len, self.bytes_b), dtype=np.int64)
 
-    def ids_a(self, text: str) -> np.ndarray:
+    def ids_a(self, text: str) -> bytes:
         if self.fast is not None and (len(text) < 50_000 or _SPACES.search(text) is None):
-            return self.fast.encode_to_numpy(text).astype(self.kind)
+            return np.array(self.fast.encode_ordinary(text), dtype=self.kind).tobytes()
         if self._library is None:  # the plain library for runs of white space that the fast one can't take
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -70,13 +76,13 @@ class Codec:
             self._library.encode_special_tokens = True
             self._library.no_truncation()
             self._library.no_padding()
-        return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def words_b(self, words: list[str]) -> Iterator[list[int]]:
-        """Ids of pieces of text that begin with a space or a line end. The model itself puts a space before each text."""
-        asked = [word if word[0] == "\n" else word[1:] for word in words]
+        """Ids of pieces of text that begin with white space. The model itself puts a space before each text."""
+        asked = [word[1:] if word[0] == " " else word for word in words]
         for word, ids in zip(words, self.pieces.encode(asked, num_threads=1), strict=True):
-            yield ids[1:] if word[0] == "\n" else ids or [self.space]
+            yield (ids or [self.space]) if word[0] == " " else ids[1:]
 
 
 @lru_cache(maxsize=2)
@@ -94,39 +100,71 @@ def tokenizer_paths(path_a: str | None, path_b: str | None, pattern: str | None)
 
 
 class Reader:
-    """Encodes texts for one task and remembers the B ids of words for as long as it lives."""
+    """Encodes texts for one task and remembers the ids of words, as bytes, for as long as it lives."""
 
     def __init__(self, codec: Codec) -> None:
         self.codec = codec
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
         self.odd: set[str] = set()
+        self.size = 0
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words together, and cut the ids where the words' bytes end."""
+        codec = self.codec
+        ended = [word for word in words if not word[-1].isspace()]  # after these a new piece of A begins in any case
+        for word in words:
+            if word[-1].isspace():
+                self.known_a[word] = codec.ids_a(word)
+        spelled = [word.encode("utf-8", "surrogatepass") for word in ended]
+        ids = np.frombuffer(codec.ids_a("".join(ended)), dtype=codec.kind)
+        stops = (np.searchsorted(np.cumsum(codec.width_a[ids]), np.cumsum([len(x) for x in spelled])) + 1) * codec.kind.itemsize
+        data, start = ids.tobytes(), 0
+        for word, stop in zip(ended, stops.tolist(), strict=True):
+            self.known_a[word], start = data[start:stop], stop
+        found = list(codec.words_b(words))
+        flat = np.fromiter(chain.from_iterable(found), dtype=codec.kind).tobytes()
+        start = 0
+        for word, ids_b in zip(words, found, strict=True):
+            stop = start + len(ids_b) * codec.kind.itemsize
+            self.known_b[word], start = flat[start:stop], stop
+        if self.spelled(flat, codec.bytes_b) != "".join(words).encode("utf-8", "surrogatepass"):
+            self.odd.update(word for word in words if self.spelled(self.known_b[word], codec.bytes_b) != word.encode("utf-8", "surrogatepass"))
+        self.size += sum(map(len, words)) + 100 * len(words)
+
+    def spelled(self, ids: bytes, of: list[bytes]) -> bytes:
+        return b"".join(map(of.__getitem__, np.frombuffer(ids, dtype=self.codec.kind).tolist()))
 
     def tokens(self, texts: list[str]) -> Iterator[tuple[bytes | None, bytes | None]]:
         """The ids of A and B of each text as bytes, or nulls where there are none or they do not spell space + text."""
         codec = self.codec
-        cut = [_PIECE.findall(" " + text) if text and "▁" not in text else [] for text in texts]
-        if len(self.known) > _WORDS:
-            self.known, self.odd = {}, set()
-        new = list({word for words in cut for word in words if word not in self.known})
-        for word, ids in zip(new, codec.words_b(new), strict=True):
-            self.known[word] = np.array(ids, dtype=codec.kind).tobytes()
-            if b"".join(map(codec.bytes_b.__getitem__, ids)) != word.encode("utf-8", "surrogatepass"):
-                self.odd.add(word)
+        cut = [_PIECE.findall(" " + text) if text and codec.joining.search(text) is None else [] for text in texts]
+        if self.size > _WORDS:
+            self.forget()
+        new = list({word for words in cut for word in words if word not in self.known_b})
+        for start in range(0, len(new), 20_000):
+            self.learn(new[start:start + 20_000])
         for text, words in zip(texts, cut, strict=True):
-            if not words:
+            if not text:
                 yield None, None
-                continue
-            b = b"".join(map(self.known.__getitem__, words))
-            a = codec.ids_a(" " + text)
-            whole = (" " + text).encode("utf-8", "surrogatepass")
-            fine = b"".join(map(codec.bytes_a.__getitem__, a.tolist())) == whole
-            if fine and self.odd and not self.odd.isdisjoint(words):
-                fine = b"".join(map(codec.bytes_b.__getitem__, np.frombuffer(b, dtype=codec.kind).tolist())) == whole
-            yield (a.tobytes(), b) if fine else (None, None)
+            elif words and (not self.odd or self.odd.isdisjoint(words)):
+                yield b"".join(map(self.known_a.__getitem__, words)), b"".join(map(self.known_b.__getitem__, words))
+            else:
+                whole = " " + text
+                a, b = codec.ids_a(whole), np.array(self.codec.pieces.encode(text), dtype=codec.kind).tobytes()
+                same = self.spelled(a, codec.bytes_a) == self.spelled(b, codec.bytes_b) == whole.encode("utf-8", "surrogatepass")
+                yield (a, b) if same else (None, None)
+
+
+def packed(ids: bytes | None) -> bytes | None:
+    return None if ids is None else zlib.compress(ids, 1)
 
 
 def tokens(docs: DataFrame, paths: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``block``, ``id`` (as text), and the ids of A and B as bytes (16 or 32 bits each), null without tokens; a row per document."""
+    """``block``, ``id`` (as text), and the ids of A and B (16 or 32 bits each, deflated), null without tokens; a row per document."""
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(codec_of(paths))
@@ -140,7 +178,7 @@ def tokens(docs: DataFrame, paths: tuple[str, str, str], id_col: str = "doc_id",
                     stop += 1
                 some = batch.iloc[start:stop]
                 found = list(reader.tokens(list(some["text"])))
-                yield pd.DataFrame({"block": block, "id": some["id"], "a": [a for a, _ in found], "b": [b for _, b in found]})
+                yield pd.DataFrame({"block": block, "id": some["id"], "a": [packed(a) for a, _ in found], "b": [packed(b) for _, b in found]})
                 start, size = stop, size + held
                 if size >= BLOCK_BYTES:
                     block, size = block + 1, 0
@@ -153,7 +191,7 @@ class Alignment:
     """Links and groups of several documents laid end to end; both token rows spell the same bytes."""
 
     def __init__(self, codec: Codec, a: Iterable[bytes | None], b: Iterable[bytes | None]) -> None:
-        parts_a, parts_b = [x or b"" for x in a], [x or b"" for x in b]
+        parts_a, parts_b = ([zlib.decompress(x) if x else b"" for x in column] for column in (a, b))
         width = codec.kind.itemsize
         self.bounds_a = np.concatenate(([0], np.cumsum([len(x) // width for x in parts_a], dtype=np.int64)))
         self.bounds_b = np.concatenate(([0], np.cumsum([len(x) // width for x in parts_b], dtype=np.int64)))
