@@ -102,8 +102,10 @@ def _gram_join(texts: DataFrame, text: str, vocabulary: DataFrame, keep: Sequenc
     with many terms.
     """
     reach = vocabulary.agg(F.max(F.length("term"))).first()[0] or 1
-    places = texts.select(
-        F.struct(*keep).alias("_row"), F.explode(_windows(int(reach))(F.col(text))).alias("_g")
+    # a number of its own keeps a row apart from others with the same carried columns
+    numbered = texts.withColumn("_row_no", F.monotonically_increasing_id())
+    places = numbered.select(
+        F.struct("_row_no", *keep).alias("_row"), F.explode(_windows(int(reach))(F.col(text))).alias("_g")
     ).select("_row", "_g.size", "_g.gram", "_g.around")
     seen = places.groupBy("size", "gram").count()
     choices = vocabulary.select(
@@ -115,4 +117,4 @@ def _gram_join(texts: DataFrame, text: str, vocabulary: DataFrame, keep: Sequenc
         .agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram"))
     )
     pairs = places.join(rarest, ["size", "gram"]).filter(F.contains("around", "term"))
-    return pairs.select("_row", "term").distinct().select("_row.*", "term")
+    return pairs.select("_row", "term").distinct().select(*[F.col(f"_row.{name}").alias(name) for name in keep], "term")

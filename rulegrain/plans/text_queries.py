@@ -223,10 +223,10 @@ FROM isl WHERE island > 0 GROUP BY doc_id, island HAVING max(mark) <> ''"""
 # ------------------------------------------------------------------ containment
 def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[\s,.]+")).alias("term"))
-    return words.filter(F.length("term") >= 4).distinct()
+    return words.filter(F.length("term") > 0).distinct()
 
 
-ORACLE_WORDS = "SELECT DISTINCT t AS term FROM (SELECT unnest(regexp_split_to_array(text, '[\\s,.]+')) AS t FROM benchmark) WHERE length(t) >= 4"
+ORACLE_WORDS = "SELECT DISTINCT t AS term FROM (SELECT unnest(regexp_split_to_array(text, '[\\s,.]+')) AS t FROM benchmark) WHERE length(t) > 0"
 
 
 @query

@@ -83,3 +83,35 @@ def test_bundle_items_fail_alone(spark, tmp_path):
     assert {r["status"]: r["count"] for r in again.groupBy("status").count().collect()} == {"skipped": 3, "failed": 2}
     assert A.sync(items.filter("false"), "b3").results.isEmpty()
     assert content_hash(F.lit("x")) is not None
+
+
+def test_repeated_rows_stay_apart_in_both_plans(spark):
+    from rulegrain.operators.containment import find_terms
+
+    texts = spark.createDataFrame([(1, "abcd abc"), (1, "abcd abc"), (None, "abc"), (None, "abc"), (2, None), (3, "")], "doc_id long, text string")
+    terms = spark.createDataFrame([("abc",), ("abc",), ("d",), ("bcd a",), ("",), (None,), ("zz",)], "term string")
+    plans = [sorted(map(str, find_terms(texts, "text", terms, "term", strategy).collect())) for strategy in ("automaton", "grams")]
+    assert plans[0] == plans[1] and len(plans[0]) == 8
+
+
+def test_documents_resolve_as_all_pairs_do(spark):
+    from rulegrain.operators.align import resolve_documents
+
+    names = ["《银行汇票管理办法》", "汇票", "aaa", "aa", "支付结算 办法", "无", "", "银行", None, "办法银行汇票管"]
+    library = ["银行汇票管理办法", "支付结算办法", "aaab", "汇票业务", "票", ""]
+    form = lambda name: "".join(x for x in name or "" if x not in "《》 ")
+    wanted = set()
+    for name in names:
+        if name is None:
+            continue
+        a, best = form(name), []
+        for other in library:
+            b = form(other)
+            score = (len(a) if a and a in b else 0) + (len(b) if b and b in a else 0) + len(set(a) & set(b))
+            if score > 3:
+                best.append((-score, other))
+        if best:
+            wanted.add((name, min(best)[1], -min(best)[0]))
+    frame = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} string")
+    found = resolve_documents(frame(names, "source_document"), frame(library, "document")).collect()
+    assert {tuple(row) for row in found} == wanted
