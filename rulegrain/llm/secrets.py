@@ -59,11 +59,13 @@ def entropy_run(body: Column, window: int, least: float) -> Column:
     that leaves, and corrects the sum of c * log2(c) by those two terms.
     """
     letters = F.split(body, "")
+    # each letter beside the one that leaves the window as it enters; both arrays are made once, outside the fold
+    gone = F.concat(F.array_repeat(F.lit(None).cast("string"), window), letters)
+    moves = F.slice(F.arrays_zip(letters.alias("enters"), gone.alias("leaves")), F.lit(1), F.size(letters))
     weigh = lambda count: F.when(count > 1, count * F.log2(count)).otherwise(F.lit(0.0))
 
-    def move(state: Column, at: Column) -> Column:
-        enters = F.element_at(letters, at)
-        leaves = F.when(at > window, F.element_at(letters, F.greatest(at - window, F.lit(1))))
+    def move(state: Column, step: Column) -> Column:
+        enters, leaves, at = step["enters"], step["leaves"], state["at"] + 1
         same = F.coalesce(enters == leaves, F.lit(False))
         old_in = F.coalesce(F.try_element_at(state["counts"], enters), F.lit(0.0))
         old_out = F.coalesce(F.try_element_at(state["counts"], leaves), F.lit(0.0))
@@ -74,13 +76,13 @@ def entropy_run(body: Column, window: int, least: float) -> Column:
         left = F.map_filter(F.create_map(F.coalesce(leaves, F.lit("")), old_out - 1), lambda _, count: leaves.isNotNull() & ~same & (count > 0))
         full = (at >= window) & (F.lit(math.log2(window)) - total / F.lit(window) >= least)
         return F.struct(
-            F.map_concat(others, entered, left).alias("counts"), total.alias("total"),
+            at.alias("at"), F.map_concat(others, entered, left).alias("counts"), total.alias("total"),
             F.coalesce(state["first"], F.when(full, at - window)).alias("first"), F.when(full, at).otherwise(state["last"]).alias("last"))
 
     start = F.struct(
-        F.create_map().cast("map<string,double>").alias("counts"), F.lit(0.0).alias("total"),
+        F.lit(0).alias("at"), F.create_map().cast("map<string,double>").alias("counts"), F.lit(0.0).alias("total"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    end = F.aggregate(F.sequence(F.lit(1), F.length(body)), start, move)
+    end = F.aggregate(moves, start, move)
     return F.when(end["first"].isNotNull(), F.struct(end["first"].alias("from"), end["last"].alias("to")))
 
 
