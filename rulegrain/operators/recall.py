@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulegrain.functions import vocab as V
 from rulegrain.functions.rules import decision, fact_types, first_match, render
@@ -543,6 +543,25 @@ def merge_expansions(candidates: DataFrame, contributions: DataFrame, compat: bo
         F.array_distinct(F.concat(F.coalesce("reasons", words([])), F.coalesce("new_reasons", words([])))).alias("reasons"))
 
 
+class LoopStore:
+    """The frames of each finished round of a loop in a folder; a round counts once its mark is written."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        spark.createDataFrame([], "round int").write.mode("append").parquet(f"{path}/marks")  # so that it can be read from the start
+
+    def rounds(self) -> int:
+        return self.spark.read.schema("round int").parquet(f"{self.path}/marks").agg(F.max("round")).first()[0] or 0
+
+    def save(self, number: int, frames: Mapping[str, DataFrame]) -> None:
+        for name, frame in frames.items():
+            frame.write.mode("overwrite").parquet(f"{self.path}/round-{number}/{name}")
+        self.spark.createDataFrame([(number,)], "round int").write.mode("append").parquet(f"{self.path}/marks")
+
+    def load(self, number: int, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/round-{number}/{name}")
+
+
 def resume_candidates(fresh: DataFrame, earlier: DataFrame, compat: bool = True) -> DataFrame:
     """Candidates of an earlier report joined to fresh ones (I21); ``earlier``: query_id, atom_id, score, reasons."""
     rows = earlier.select("query_id", "atom_id", F.explode("reasons").alias("reason"), "score")
@@ -566,10 +585,13 @@ def _last_round(parts: list[DataFrame], report: DataFrame) -> DataFrame:
 def recall_loop(
     questions: DataFrame, atoms: DataFrame, modules: DataFrame, scenes: DataFrame, matches: DataFrame, segments: DataFrame,
     max_rounds: int = 3, initial_limit: int = 40, judged_atoms: int | None = 18, compat: bool = True,
-    focus_limit: int | None = 24, focus_atoms: int | None = 8, profiles: P.Catalog | None = None,
+    focus_limit: int | None = 24, focus_atoms: int | None = 8, profiles: P.Catalog | None = None, store: str | None = None,
 ) -> dict[str, DataFrame]:
     """All questions through at most ``max_rounds`` rounds together.
 
+    ``store`` is a shared folder that keeps the state after every round. A call that finds rounds there goes on after the last
+    complete one, so a loop stopped by its limit or by a lost driver is taken up where it was (I21): the folder belongs to one set of questions.
+
     ``profiles`` are scene profiles; where a question has one, its rules decide what is missing and when to stop.
 
     ``questions`` has query_id, question, query, who_terms, scene_keys, scene_names, module_codes. Each
@@ -590,9 +612,17 @@ def recall_loop(
         "decision", F.lit(GO_ON)).withColumn("can_make_final", F.lit(False)).withColumn("rounds", F.lit(0)).withColumn("rule_id", F.lit("")).withColumn("scene_profile_id", F.lit("")).withColumn(
         "missing_dimensions", F.array().cast(DIMENSIONS)).withColumn("directions", F.array().cast(DIRECTIONS))
     state = cut_lineage(state)
-    history = []
-    checked, focused = [], []
-    for number in range(1, max_rounds + 1):
+    history, checked, focused = [], [], []
+    saved = LoopStore(questions.sparkSession, store) if store else None
+    done = saved.rounds() if saved else 0
+    for number in range(1, done + 1):
+        for name, parts in (("history", history), ("checked", checked), ("focused", focused)):
+            parts.append(saved.load(number, name))
+    if done:
+        candidates, current, state = (saved.load(done, name) for name in ("candidates", "current", "state"))
+    for number in range(done + 1, max_rounds + 1):
+        if number > 1 and state.filter(F.col("stop_reason").isNull()).isEmpty():
+            break
         open_ids = state.filter(F.col("stop_reason").isNull()).select("query_id")
         asked = routed.join(open_ids, "query_id", "left_semi")
         now = current.join(open_ids, "query_id", "left_semi")
@@ -628,8 +658,8 @@ def recall_loop(
             *[F.when(touched, F.col(f"n_{name}")).otherwise(F.col(name)).alias(name) for name in fields_now],
             F.when(touched, number).otherwise(F.col("rounds")).alias("rounds")))
         current = following
-        if state.filter(F.col("stop_reason").isNull()).isEmpty():
-            break
+        if saved:
+            saved.save(number, {"candidates": candidates, "current": current, "state": state, "history": history[-1], "checked": checked[-1], "focused": focused[-1]})
     final = state.withColumn("stop_reason", F.coalesce("stop_reason", F.lit("max_rounds"))).withColumnRenamed("decision", "judge_final_decision")
     exhausted = (F.col("stop_reason") == "no_new_candidates") & (F.col("judge_final_decision") == GO_ON)
     sizes = current.groupBy("query_id").agg(F.count("*").alias("final_count"))
