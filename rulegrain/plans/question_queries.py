@@ -191,7 +191,7 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = Q.with_question_terms(derive(spark, sf_dir, QUESTIONS), dictionaries(spark, sf_dir))
     out = Q.retrieve(read, order_rules(spark, sf_dir), _links(spark, sf_dir), order_matches(spark, sf_dir))
-    return out.filter(F.col("actor_match")).select("query_id", "atom_id", "rank", "match_count", "has_scene_match")
+    return out.select("query_id", "atom_id", "rank", "match_count", "has_scene_match", "answer_actor", "answer_object")
 
 
 ORACLE["question_candidates"] = MATCHES + f""", q AS (SELECT query_id, question, {SEGMENT_ACTOR} AS actor, {SEGMENT_OBJECT} AS object
@@ -199,8 +199,18 @@ ORACLE["question_candidates"] = MATCHES + f""", q AS (SELECT query_id, question,
   WHERE question NOT LIKE '%谁负责%' AND question NOT LIKE '%是指%' AND contains(question, {SEGMENT_ACTOR}) AND {SEGMENT_ACTOR} <> '开户行'),
 qpool AS (SELECT a.*, string_split(who, '、')[1] AS actor, a.atom_id IN (SELECT atom_id FROM matches) AS sc FROM atoms a
   WHERE rule_type IN ('OBL_MANDATORY', 'OBL_ONGOING', 'PRO_FORBIDDEN', 'PER_AUTH', 'PRC_FLOW')),
-qranked AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY sc DESC, source_document, article_reference, atom_id) AS r FROM qpool)
-SELECT query_id, atom_id, CAST(r AS INT) AS rank, 2 AS match_count, sc AS has_scene_match FROM q JOIN qranked p ON p.actor = q.actor AND p.what = q.object WHERE r <= 13"""
+qranked AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY sc DESC, source_document, article_reference, atom_id) AS r FROM qpool),
+qbc AS (SELECT query_id, question, {SEGMENT_OBJECT} AS object FROM ({ansi(QUESTIONS)}) JOIN customer ON query_id = CAST(c_custkey AS STRING)),
+qb AS (SELECT * FROM qbc WHERE question LIKE '%谁负责%'), qc AS (SELECT * FROM qbc WHERE question LIKE '%是指%' AND question NOT LIKE '%谁负责%'),
+bpool AS (SELECT a.*, a.atom_id IN (SELECT atom_id FROM matches) AS sc, unnest([CASE string_split(who, '、')[1] WHEN '开户行' THEN '开户银行' ELSE string_split(who, '、')[1] END, string_split(who, '、')[2]]) AS answer_actor
+  FROM atoms a WHERE rule_type IN ({", ".join(f"'{x}'" for x in V.TYPE_B_RULE_TYPES)})),
+branked AS (SELECT *, row_number() OVER (PARTITION BY what ORDER BY sc DESC, source_document, article_reference, answer_actor, atom_id) AS r FROM bpool),
+cranked AS (SELECT a.*, a.atom_id IN (SELECT atom_id FROM matches) AS sc,
+  row_number() OVER (PARTITION BY what ORDER BY a.atom_id IN (SELECT atom_id FROM matches) DESC, source_document, article_reference, what, atom_id) AS r
+  FROM atoms a WHERE rule_type IN ({", ".join(f"'{x}'" for x in V.TYPE_C_RULE_TYPES)}))
+SELECT query_id, atom_id, CAST(r AS INT) AS rank, 2 AS match_count, sc AS has_scene_match, '' AS answer_actor, '' AS answer_object FROM q JOIN qranked p ON p.actor = q.actor AND p.what = q.object WHERE r <= 13
+UNION ALL SELECT query_id, atom_id, CAST(r AS INT), 1, sc, answer_actor, '' FROM qb JOIN branked b ON b.what = qb.object WHERE r <= 13
+UNION ALL SELECT query_id, atom_id, CAST(r AS INT), 1, sc, '', what FROM qc JOIN cranked c ON c.what = qc.object WHERE r <= 13"""
 
 
 @query
