@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rulegrain.llm.common import stored, table
 
-GROUP = 16  # posting lists that one task reads together
+COPIES, STORE_RATIO = 3, 1.1  # lists that a boundary vector goes to: at most so many, within so much of its nearest
+NEAR = 2  # lists of a query that are read first and set the score others must reach
 
 
 @dataclass
@@ -31,6 +32,13 @@ class Centroids:
             return np.column_stack([rows * (self.longest / np.maximum(norms, 1e-300))[:, None], np.zeros(len(rows))])
         return np.column_stack([rows, np.sqrt(np.maximum(self.longest**2 - norms**2, 0))])
 
+    def nearest_lists(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists that stored vectors go to, nearest first, and which of them are within the ratio."""
+        squared = np.maximum((rows**2).sum(axis=1)[:, None] + (self.points**2).sum(axis=1) - 2 * rows @ self.points.T, 0)
+        order = np.argsort(squared, axis=1)[:, :COPIES]
+        far = np.take_along_axis(squared, order, axis=1)
+        return order, far <= far[:, :1] * self.store_ratio**2
+
     def search(self, rows: np.ndarray, ratio: float, beam: int = 8) -> np.ndarray:
         """Squared distances (rows x lists) to the lists that the graph walk meets, infinite elsewhere.
 
@@ -59,7 +67,7 @@ class Centroids:
                 far[a, b] = ((rows[a] - self.points[b]) ** 2).sum(axis=1)
 
     def lists(self, rows: np.ndarray, ratio: float, most: int | None = None, holds: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, list) pairs within ``ratio`` of each row's nearest list, and whether it is the nearest; with ``most``, its nearest so many.
+        """(row, list) pairs within ``ratio`` of each row's nearest list, and the list's place by distance; with ``most``, its nearest so many.
 
         With ``holds`` (ids that each list is home of), the ratio counts from the list at which a row's nearest lists
         are home of ``least`` ids together, so a row beside a small list reads on; all lists if they never are.
@@ -81,9 +89,12 @@ class Centroids:
             if most is not None and far.shape[1] > most:
                 keep &= far <= np.partition(far, most - 1, axis=1)[:, most - 1:most]
             who, which = np.nonzero(keep & np.isfinite(far))
-            found.append(np.column_stack([who + start, which, which == home[who]]))
+            order = np.lexsort((far[who, which], who))
+            who, which = who[order], which[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who)
+            found.append(np.column_stack([who + start, which, place]))
         all_of = np.concatenate(found) if found else np.empty((0, 3), dtype=int)
-        return all_of[:, 0], all_of[:, 1], all_of[:, 2].astype(bool)
+        return all_of[:, 0], all_of[:, 1], all_of[:, 2]
 
 
 def balanced_centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -105,10 +116,11 @@ def balanced_centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: in
     return points
 
 
-def fit(vectors: DataFrame, rows: int, sample: int = 20_000, most_lists: int = 2048, top: int = 20, reach: float = 0.97) -> Centroids | None:
+def fit(vectors: DataFrame, rows: int, sample: int = 20_000, most_lists: int = 2048, top: int = 20, reach: float = 0.94) -> Centroids | None:
     """Centroids from at most ``sample`` vectors (lowest id hashes), about one list per sqrt(rows).
 
-    The query ratio is the one that reaches ``reach`` of the true neighbours of 200 sampled queries in the sample.
+    The query ratio is the smallest that reaches ``reach`` of the true neighbours of 200 sampled queries in the sample, each by the
+    nearest of the lists it is stored in.
     """
     lot = F.xxhash64("vec_id", F.lit("fit"))
     found = vectors.select("embedding", "vec_id").orderBy(lot, "vec_id").limit(sample).select("embedding").toPandas()["embedding"]
@@ -116,7 +128,7 @@ def fit(vectors: DataFrame, rows: int, sample: int = 20_000, most_lists: int = 2
         return None
     plain = np.unique(np.stack(list(found)).astype(np.float64), axis=0)
     longest = float(vectors.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0]) ** 0.5
-    model = Centroids(np.empty((0, 0)), np.empty((0, 0), dtype=int), longest, 1.0, 1.1)
+    model = Centroids(np.empty((0, 0)), np.empty((0, 0), dtype=int), longest, 1.0, STORE_RATIO)
     lifted = model.lifted(plain, False)
     count = int(max(1, min(most_lists, round(rows**0.5), len(plain) // 4 or 1)))
     model.points = balanced_centroids(lifted, count)
@@ -127,7 +139,8 @@ def fit(vectors: DataFrame, rows: int, sample: int = 20_000, most_lists: int = 2
     model.graph = np.column_stack([near, far, ring])
     asked = np.random.default_rng(5).permutation(len(plain))[:200]
     queries = model.lifted(plain[asked], True)
-    homes = ((model.points**2).sum(axis=1) - 2 * lifted @ model.points.T).argmin(axis=1)
+    near_lists, within = model.nearest_lists(lifted)
+    homes = near_lists[:, 0]
     to_lists = np.sqrt(np.maximum(((queries[:, None] - model.points) ** 2).sum(axis=2), 0))
     scores = plain[asked] @ plain.T
     best = np.argsort(-scores, axis=1)[:, : top + 1]
@@ -136,8 +149,10 @@ def fit(vectors: DataFrame, rows: int, sample: int = 20_000, most_lists: int = 2
     enough = np.where(held.any(axis=1), held.argmax(axis=1), count - 1)
     base = to_lists.min(axis=1)  # that of a query on its own centroid says nothing
     base = np.where(base > 1e-6 * longest, base, to_lists[np.arange(len(asked)), order[np.arange(len(asked)), enough]])
-    ratios = to_lists[np.arange(len(asked))[:, None], homes[best]] / np.maximum(base, 1e-12)[:, None]
-    model.query_ratio = float(max(1.05, np.quantile(ratios, reach)))
+    reached = np.where(within[best], to_lists[np.arange(len(asked))[:, None, None], near_lists[best]], np.inf).min(axis=2)
+    ratios = reached[:, 1:] / np.maximum(base, 1e-12)[:, None]  # the first is the query itself
+    ratios = ratios if ratios.size else np.ones((1, 1))
+    model.query_ratio = float(max(1.02, np.quantile(ratios, reach)))
     return model
 
 
@@ -154,12 +169,12 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
     """query_id, rank, vec_id, score: the ``top`` found of largest inner product, ties to the smaller id.
 
     Equal vectors are one entry with its ``top + 1`` smallest ids (more can never be among the nearest), so a
-    vector that a third of the rows share is searched once. Entries go to the lists within 1.1 of their
-    nearest (8 at most); lists are cut into blocks by id hash, so none outgrows a task. Queries read the lists
+    vector that a third of the rows share is searched once. Entries go to at most ``COPIES`` lists within ``STORE_RATIO`` of their
+    nearest; lists are cut into blocks by id hash, so none outgrows a task. Queries read the lists
     within the fitted ratio, counted from the list at which ``top + 1`` ids are reached, so each gets ``top`` rows or
-    all there are; every block gives its best, which meet in one ranking. Centroids are at most
-    2,048 points and travel with the tasks. A row is never its own neighbour; null ids, null, zero and
-    non-finite vectors and those of an odd length take no part; an empty table gives no rows.
+    all there are. The ``NEAR`` nearest are read first; from the others only entries leave a task that reach the score of the
+    ``top``-th found there. Centroids are at most 2,048 points and travel with the tasks. A row is never its own neighbour; null ids,
+    null, zero and non-finite vectors and those of an odd length take no part; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = stored(usable(vectors, id_col, vector_col))
@@ -170,70 +185,81 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
     if model is None:
         return spark.createDataFrame([], schema)
     first = rows.distinct().withColumn("__at", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("__at") <= top + 1)
-    entries = stored(first.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    entries = first.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                who, which, home = model.lists(model.lifted(np.stack(list(batch["embedding"])).astype(float), False), model.store_ratio, 8)
-                out = batch.iloc[who].assign(list=which.astype(np.int32), team=(which // GROUP).astype(np.int32), home=home)
-                yield out[["team", "list", "home", "ids", "embedding"]]
+                who, which, place = model.lists(model.lifted(np.stack(list(batch["embedding"])).astype(float), False), model.store_ratio, COPIES)
+                yield batch.iloc[who].assign(list=which.astype(np.int32), home=place == 0)[["list", "home", "ids", "embedding"]]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                who, which, _ = model.lists(model.lifted(np.stack(list(batch["embedding"])).astype(float), True), model.query_ratio, holds=holds, least=top + 1)
-                marks = pd.DataFrame({"who": who, "team": (which // GROUP).astype(np.int32), "lists": 1 << (which % GROUP)})
-                marks = marks.groupby(["who", "team"], as_index=False)["lists"].sum()
-                yield batch.iloc[marks["who"]].assign(team=marks["team"].to_numpy(), lists=marks["lists"].to_numpy().astype(np.int32))[["team", "lists", "vec_id", "embedding"]]
+                who, which, place = model.lists(model.lifted(np.stack(list(batch["embedding"])).astype(float), True), model.query_ratio, holds=holds, least=top + 1)
+                yield batch.iloc[who].assign(list=which.astype(np.int32), near=place < NEAR)[["list", "near", "vec_id", "embedding"]]
 
-    posted = stored(entries.mapInPandas(post, "team int, list int, home boolean, ids array<bigint>, embedding array<double>"))
+    posted = stored(entries.mapInPandas(post, "list int, home boolean, ids array<bigint>, embedding array<double>"))
     homes = posted.filter("home").select(F.explode("ids").alias("id"), "list").groupBy("id").agg(F.min("list").alias("list"))  # an id counts once
     holds = np.zeros(len(model.points), dtype=int)
     for row in homes.groupBy("list").count().collect():
         holds[row["list"]] = row["count"]
-    probes = stored(asked.mapInPandas(probe, "team int, lists int, vec_id long, embedding array<double>"))
+    probes = stored(asked.mapInPandas(probe, "list int, near boolean, vec_id long, embedding array<double>"))
 
     def blocks(df: DataFrame, key: str, fields: list[str], size: int, alias: str) -> DataFrame:
-        counts = stored(df.groupBy("team").agg(F.ceil(F.count("*") / size).alias("__blocks")))
-        split = df.join(counts, "team").withColumn("__block", F.pmod(F.xxhash64(key), F.col("__blocks")))
-        return stored(split.groupBy("team", "__block").agg(F.collect_list(F.struct(*fields)).alias(alias)).select("team", alias))
+        counts = stored(df.groupBy("list").agg(F.ceil(F.count("*") / size).alias("__blocks")))
+        split = df.join(counts, "list").withColumn("__block", F.pmod(F.xxhash64(key), F.col("__blocks")))
+        return split.groupBy("list", "__block").agg(F.collect_list(F.struct(*fields)).alias(alias)).select("list", alias)
 
-    pairs = blocks(probes, "vec_id", ["vec_id", "lists", "embedding"], 1024, "asked").join(
-        blocks(posted, "ids", ["list", "ids", "embedding"], block, "stored"), "team")
+    packed = stored(blocks(posted, "ids", ["ids", "embedding"], block, "stored"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ours, theirs in zip(batch["asked"], batch["stored"], strict=True):
-                left, right = pd.DataFrame(list(ours)), pd.DataFrame(list(theirs))
-                q, v = np.stack(list(left["embedding"])), np.stack(list(right["embedding"]))
-                bit = 1 << (right["list"].to_numpy() % GROUP)
-                scores = np.where((left["lists"].to_numpy()[:, None] & bit) > 0, q @ v.T, -np.inf)
-                # an entry can be in several lists of the block, so more than the top are looked at, and all that tie with the last
-                width = min(scores.shape[1], 8 * (top + 2))
-                edges = -np.partition(-scores, width - 1, axis=1)[:, width - 1]
-                out = []
-                for at, name in enumerate(left["vec_id"]):
-                    slack = 1e-9 * (1 + np.abs(scores[at][np.isfinite(scores[at])]).max(initial=0))
-                    seen: dict[int, float] = {}
-                    for edge in (edges[at] - slack, -np.inf):  # one id with many vectors can fill the first look
-                        best = np.flatnonzero((scores[at] >= edge) & np.isfinite(scores[at]))
-                        last = -np.inf
-                        for place in best[np.argsort(-scores[at, best], kind="stable")]:
-                            if scores[at, place] < last:
-                                break
-                            exact = float(np.sum(q[at] * v[place]))
-                            seen.update((int(x), exact) for x in right["ids"][place] if x != name and x not in seen)
-                            if len(seen) >= top and last == -np.inf:
-                                last = scores[at, place] - slack
-                        if len(seen) >= top:
-                            break
-                    out += [(name, x, s) for x, s in sorted(seen.items(), key=lambda item: (-item[1], item[0]))[:top]]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInPandas(score, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                names, floors = np.array([x["vec_id"] for x in ours]), np.array([x["floor"] for x in ours])
+                q, v = np.array([x["embedding"] for x in ours]), np.array([x["embedding"] for x in theirs])
+
+                def best_of(scores: np.ndarray, edges: np.ndarray, rows: np.ndarray) -> pd.DataFrame:
+                    """Row, query, id and exact score of the entries that reach the edge of their row, each id once a row."""
+                    who, which = np.nonzero(scores[rows] >= edges[rows][:, None])
+                    who = rows[who]
+                    exact = np.empty(len(who))
+                    for start in range(0, len(who), 100_000):
+                        part = slice(start, start + 100_000)
+                        exact[part] = np.sum(q[who[part]] * v[which[part]], axis=1)
+                    each = sizes[which]
+                    at = np.repeat(starts[which] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                    out = pd.DataFrame({"row": np.repeat(who, each), "vec_id": flat[at], "score": np.repeat(exact, each)})
+                    out["query_id"] = names[out["row"].to_numpy()]
+                    out = out[out["query_id"] != out["vec_id"]].sort_values("score", ascending=False)
+                    return out.drop_duplicates(["row", "vec_id"])
+
+                ids = [np.asarray(x["ids"]) for x in theirs]
+                sizes = np.array([len(x) for x in ids])
+                flat, starts = np.concatenate(ids), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                scores = q @ v.T
+                slack = 1e-9 * (1 + np.abs(scores).max(axis=1))
+                width = min(len(v), top + 1)  # one entry can be the query itself
+                edges = np.maximum(-np.partition(-scores, width - 1, axis=1)[:, width - 1], floors) - slack
+                found = best_of(scores, edges, np.arange(len(q)))
+                # one id with many vectors can fill the first look: then all that reach the floor are looked at
+                some = np.bincount(found["row"].to_numpy(), minlength=len(q))
+                short = np.flatnonzero((some < top) & ((scores >= (floors - slack)[:, None]).sum(axis=1) > (scores >= edges[:, None]).sum(axis=1)))
+                if len(short):
+                    found = pd.concat([found[~found["row"].isin(short)], best_of(scores, floors - slack, short)])
+                found = found.sort_values(["score", "vec_id"], ascending=[False, True]).drop_duplicates(["query_id", "vec_id"])
+                yield found.groupby("query_id", sort=False).head(top)[["query_id", "vec_id", "score"]]
+
+    def searched(some: DataFrame) -> DataFrame:
+        asked_blocks = blocks(some, "vec_id", ["vec_id", "floor", "embedding"], 1024, "asked")
+        found = asked_blocks.join(packed, "list").select("asked", "stored").mapInPandas(score, "query_id long, vec_id long, score double")
+        return stored(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = searched(probes.filter("near").withColumn("floor", F.lit(float("-inf"))))
+    floors = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == top).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    others = probes.filter("NOT near").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = near.unionByName(searched(others)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
