@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -175,34 +176,40 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: Dat
     minors = packed(full.filter("minor"), active.filter("minor"), 64, "few")
     pairs = minors.join(everyone, ["band", "key"])
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Arrow columns are read in place: of a batch of many large blocks only one row's texts become Python objects
         known: dict[bytes, int] = {}
+
+        def opened(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+            plain = [rows.field(name).to_numpy(zero_copy_only=False) for name in ("class", "label", "n", "minor")]
+            return *plain, rows.field("bands").flatten().to_numpy().reshape(-1, BANDS).view(np.uint16), rows.field("text")
+
         for batch in batches:
-            for band, few, many in zip(batch["band"], batch["few"], batch["all"], strict=True):
-                left, right = (pd.DataFrame(list(x)) for x in (few, many))
-                one, two = _matrix(left["bands"]), _matrix(right["bands"])
+            found: list[tuple[int, int]] = []
+            for at_row, band in enumerate(batch.column(0).to_pylist()):
+                class_one, label_one, n_one, _, one, text_one = opened(batch.column(1)[at_row].values)
+                class_two, label_two, n_two, minor_two, two, text_two = opened(batch.column(2)[at_row].values)
                 keys_one, keys_two = one.view(np.int64), two.view(np.int64)
                 sets: dict[int, np.ndarray] = {}
-                found = []
-                for at in range(len(left)):
-                    mine = int(left["class"][at])
-                    other = right["label"].to_numpy() != left["label"][at]
+                for at in range(len(class_one)):
+                    mine = int(class_one[at])
+                    other = label_two != label_one[at]
                     # both minor: the pair is looked at once, from its smaller class
-                    other &= ~right["minor"].to_numpy(dtype=bool) | (right["class"].to_numpy() > mine)
+                    other &= ~minor_two.astype(bool) | (class_two > mine)
                     if band:
                         other &= ~(keys_two[:, :band] == keys_one[at, :band]).any(axis=1)
                     equal = (two == one[at]).sum(axis=1)
-                    other &= estimates(equal, np.full(len(right), float(left["n"][at])), right["n"].to_numpy(float)) >= least
+                    other &= estimates(equal, np.full(len(class_two), float(n_one[at])), n_two.astype(float)) >= least
                     for place in np.flatnonzero(other):
-                        theirs = int(right["class"][place])
-                        for name, text in ((mine, left["text"][at]), (theirs, right["text"][place])):
+                        theirs = int(class_two[place])
+                        for name, texts_of, where in ((mine, text_one, at), (theirs, text_two, int(place))):
                             if name not in sets:
-                                sets[name] = shingle_set(text, size, known)
+                                sets[name] = shingle_set(texts_of[where].as_py(), size, known)
                         if _linked(sets[mine], sets[theirs], percent):
                             found.append((mine, theirs))
-                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return pairs.select("band", "few", "all").mapInPandas(search, "a long, b long")
+    return pairs.select("band", "few", "all").mapInArrow(search, "a long, b long")
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80, least: float = 0.55, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
