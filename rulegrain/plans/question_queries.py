@@ -187,14 +187,21 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "answered", build)
 
 
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        read = Q.with_question_terms(derive(spark, sf_dir, QUESTIONS), dictionaries(spark, sf_dir))
+        return Q.retrieve(read, order_rules(spark, sf_dir), _links(spark, sf_dir), order_matches(spark, sf_dir)).join(read.select("query_id", "question", "search_text"), "query_id")
+
+    return stored(spark, sf_dir, "candidates", build)
+
+
 @query
 def question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = Q.with_question_terms(derive(spark, sf_dir, QUESTIONS), dictionaries(spark, sf_dir))
-    out = Q.retrieve(read, order_rules(spark, sf_dir), _links(spark, sf_dir), order_matches(spark, sf_dir))
+    out = _candidates(spark, sf_dir)
     return out.select("query_id", "atom_id", "rank", "match_count", "has_scene_match", "answer_actor", "answer_object")
 
 
-ORACLE["question_candidates"] = MATCHES + f""", q AS (SELECT query_id, question, {SEGMENT_ACTOR} AS actor, {SEGMENT_OBJECT} AS object
+_CANDIDATES = MATCHES + f""", q AS (SELECT query_id, question, {SEGMENT_ACTOR} AS actor, {SEGMENT_OBJECT} AS object
   FROM ({ansi(QUESTIONS)}) JOIN customer ON query_id = CAST(c_custkey AS STRING)
   WHERE question NOT LIKE '%谁负责%' AND question NOT LIKE '%是指%' AND contains(question, {SEGMENT_ACTOR}) AND {SEGMENT_ACTOR} <> '开户行'),
 qpool AS (SELECT a.*, string_split(who, '、')[1] AS actor, a.atom_id IN (SELECT atom_id FROM matches) AS sc FROM atoms a
@@ -207,10 +214,37 @@ bpool AS (SELECT a.*, a.atom_id IN (SELECT atom_id FROM matches) AS sc, unnest([
 branked AS (SELECT *, row_number() OVER (PARTITION BY what ORDER BY sc DESC, source_document, article_reference, answer_actor, atom_id) AS r FROM bpool),
 cranked AS (SELECT a.*, a.atom_id IN (SELECT atom_id FROM matches) AS sc,
   row_number() OVER (PARTITION BY what ORDER BY a.atom_id IN (SELECT atom_id FROM matches) DESC, source_document, article_reference, what, atom_id) AS r
-  FROM atoms a WHERE rule_type IN ({", ".join(f"'{x}'" for x in V.TYPE_C_RULE_TYPES)}))
-SELECT query_id, atom_id, CAST(r AS INT) AS rank, 2 AS match_count, sc AS has_scene_match, '' AS answer_actor, '' AS answer_object FROM q JOIN qranked p ON p.actor = q.actor AND p.what = q.object WHERE r <= 13
+  FROM atoms a WHERE rule_type IN ({", ".join(f"'{x}'" for x in V.TYPE_C_RULE_TYPES)})),
+picked AS (SELECT query_id, atom_id, CAST(r AS INT) AS rank, 2 AS match_count, sc AS has_scene_match, '' AS answer_actor, '' AS answer_object FROM q JOIN qranked p ON p.actor = q.actor AND p.what = q.object WHERE r <= 13
 UNION ALL SELECT query_id, atom_id, CAST(r AS INT), 1, sc, answer_actor, '' FROM qb JOIN branked b ON b.what = qb.object WHERE r <= 13
-UNION ALL SELECT query_id, atom_id, CAST(r AS INT), 1, sc, '', what FROM qc JOIN cranked c ON c.what = qc.object WHERE r <= 13"""
+UNION ALL SELECT query_id, atom_id, CAST(r AS INT), 1, sc, '', what FROM qc JOIN cranked c ON c.what = qc.object WHERE r <= 13)
+"""
+ORACLE["question_candidates"] = _CANDIDATES + "SELECT query_id, atom_id, rank, match_count, has_scene_match, answer_actor, answer_object FROM picked"
+
+
+@query
+def guarded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each guard says of each candidate of each question."""
+    rows = _candidates(spark, sf_dir).withColumn("a", F.struct(*Q.ATOM_FIELDS))
+    q, atom = F.col("question"), F.col("a")
+    return rows.select(
+        "query_id", "atom_id", "answer_actor", F.array_join(Q.outside_scope(q, atom), "|").alias("outside"), Q.precise_object_ok(F.col("search_text"), atom).alias("precise"),
+        Q.action_ok(q, atom).alias("action"), Q.good_citation(atom).alias("citation"), Q.material_evidence(atom).alias("material"))
+
+
+def _any(column: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{term}')" for term in terms) + ")"
+
+
+def _both(column: str, other: str, terms: list[str], joint: str) -> str:
+    return "(" + f" {joint} ".join(f"(contains({column}, '{term}') AND contains({other}, '{term}'))" if joint == "OR" else f"(NOT contains({column}, '{term}') OR contains({other}, '{term}'))" for term in terms) + ")"
+
+
+ORACLE["guarded_candidates"] = _CANDIDATES + f""", told AS (SELECT p.query_id, p.atom_id, answer_actor, question, rule_type, article_reference,
+  concat_ws(' ', who, what, "when", how, content_original, article_reference) AS said FROM picked p JOIN atoms USING (atom_id) JOIN (SELECT query_id, question FROM ({ansi(QUESTIONS)})) q ON q.query_id = p.query_id)
+SELECT query_id, atom_id, answer_actor, array_to_string(list_filter([{", ".join(f"CASE WHEN {_any('said', mine)} AND NOT {_any('question', theirs)} THEN '{name}' END" for name, mine, theirs in V.CONDITION_SCOPES)}], lambda x: x IS NOT NULL), '|') AS outside,
+  {_both('question', 'said', V.PRECISE_OBJECT_TERMS, 'AND')} AS precise, NOT {_any('question', V.TYPE_B_ACTION_TERMS)} OR {_both('question', 'said', V.TYPE_B_ACTION_TERMS, 'OR')} AS action,
+  contains(article_reference, '条') AND NOT {_any('said', V.WEAK_EVIDENCE_TERMS)} AS citation, rule_type <> 'PER_AUTH' AND {_any('said', V.MATERIAL_ACTION_TERMS)} AND {_any('said', V.MATERIAL_OBJECT_TERMS)} AS material FROM told"""
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text_queries", "graph_queries", "table_queries", "question_queries", "profile_queries", "artifact_queries", "store_queries", "stream_queries"]
+MODULES = ["text_queries", "graph_queries", "table_queries", "question_queries", "profile_queries", "artifact_queries", "record_queries", "store_queries", "stream_queries"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import csv
+import io
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulegrain.functions.text import any_word_pattern, strip
@@ -11,11 +14,37 @@ from rulegrain.operators.taxonomy import scene_name_tokens, to_string_list
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None, **options: str) -> DataFrame:
-    """Parquet, ORC, CSV, JSON or text behind one call; CSV encodings such as gb18030 are an option (A2)."""
+    """Parquet, ORC, CSV, JSON or text behind one call; :func:`read_csv` is for files whose encoding is not known."""
     reader = spark.read.format(fmt).options(**{**({"header": "true"} if fmt == "csv" else {}), **options})
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def read_csv(spark: SparkSession, path: str, columns: Iterable[str], encodings: Iterable[str] = ("utf-8-sig", "gb18030"), pattern: str = "*.csv") -> DataFrame:
+    """CSV files with a header row, each in the first of the encodings that reads it without fault (A2); all columns are text.
+
+    UTF-8 goes first: text of another encoding is hardly ever valid in it, while gb18030 reads much UTF-8 as other characters.
+    A file is decoded in one piece; a column that a file lacks is empty, one that is not named is left out. Only a file that
+    none of the encodings fits raises an error.
+    """
+    names, known = list(columns), list(encodings)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for place, content in zip(batch["path"], batch["content"], strict=True):
+                for at, encoding in enumerate(known):
+                    try:
+                        body = bytes(content).decode(encoding)
+                        break
+                    except UnicodeDecodeError:
+                        if at + 1 == len(known):
+                            raise ValueError(f"{place} is in none of {known}") from None
+                rows = csv.DictReader(io.StringIO(body, newline=""))
+                yield pd.DataFrame([[row.get(name) or "" for name in names] for row in rows], columns=names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInPandas(parse, ", ".join(f"`{name}` string" for name in names))
+
+
 def read_atoms(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Atom table with null text read as empty (A1)."""
     return read_table(spark, path, fmt, **options).na.fill("")

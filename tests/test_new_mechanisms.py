@@ -115,3 +115,12 @@ def test_documents_resolve_as_all_pairs_do(spark):
     frame = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} string")
     found = resolve_documents(frame(names, "source_document"), frame(library, "document")).collect()
     assert {tuple(row) for row in found} == wanted
+
+
+def test_csv_files_of_several_encodings(spark, tmp_path):
+    from rulegrain.sources.readers import read_csv
+
+    (tmp_path / "a.csv").write_bytes("规则,主体\r\n不得转让,\"甲,乙\r\n丙\"\r\n".encode("gb18030"))
+    (tmp_path / "b.csv").write_bytes("﻿主体,规则,余\n丁,可以,x\n".encode())
+    (tmp_path / "c.csv").write_bytes(b"")
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path), ["规则", "主体"]).collect())) == [("不得转让", "甲,乙\r\n丙"), ("可以", "丁")]

@@ -32,27 +32,23 @@ def shown(result):
             "evidence": pick("evidence", "query_id", "atom_id", "rank", F.round("score", 6).alias("score"))}
 
 
-def test_a_stopped_loop_resumes(graph, tmp_path):
+def test_profiles_steer_the_loop_and_a_stopped_one_resumes(spark, graph, tmp_path):
+    def profile(name, scene, keyword, wanted):
+        return {"profile_id": name, "scene_names": [scene], "question_keywords": [keyword], "min_evidence_count": 1, "min_direct_basis_count": 1,
+                "derived_facts": [{"fact_id": "found", "source": "evidence", "mode": "keyword_any", "keywords": [wanted]}],
+                "rule_specs": [{"rule_id": "r", "requires": {"fact": "found"}, "on_fail": {"dimension": wanted, "reason": "缺", "atom_label": wanted, "recall_directions": [("D", "补")]}}]}
+
+    known = P.catalog(spark, [profile("draft", "银行汇票", "提示付款", "解讫通知"), profile("acceptance", "商业汇票", "承兑", "从未出现")])
     store = str(tmp_path / "loop")
-    first = R.recall_loop(*graph, max_rounds=1, initial_limit=2, store=store)
-    assert first["rounds"].count() == 2
-    whole = shown(R.recall_loop(*graph, max_rounds=2, initial_limit=2))
-    assert shown(R.recall_loop(*graph, max_rounds=2, initial_limit=2, store=store)) == whole
-
-
-def test_profiles_fire_the_first_rules(spark, graph):
-    def profile(requires):
-        return P.catalog(spark, [{
-            "profile_id": "draft", "scene_names": ["银行汇票"], "question_keywords": ["提示付款"], "min_evidence_count": 1, "min_direct_basis_count": 1,
-            "derived_facts": [{"fact_id": "notice", "source": "evidence", "mode": "keyword_any", "keywords": ["解讫通知"]}],
-            "rule_specs": [{"rule_id": "r", "requires": requires, "on_fail": {"dimension": "解讫", "reason": "缺", "atom_label": "解讫通知", "recall_directions": [("D", "补")]}}]}])
-
-    met = R.recall_loop(*graph, max_rounds=1, profiles=profile({"fact": "notice"}))
-    rules = {row["query_id"]: row["rule_id"] for row in met["report"].collect()}
-    assert rules["q1"] in ("scene_profile_ready", "scene_profile_ready_with_conflict") and not rules["q2"].startswith("scene")
-    unmet = R.recall_loop(*graph, max_rounds=1, profiles=profile({"fact": "notice", "falsy": True}))
-    row = unmet["report"].filter("query_id = 'q1'").first()
-    assert (row["rule_id"], row["scene_profile_id"]) == ("scene_profile_missing_requirement", "draft")
-    assert [(d["dimension"], d["reason"]) for d in row["missing_dimensions"]] == [("解讫", "缺")] and [d["direction"] for d in row["directions"]] == ["D"]
-    labels = {r["atom_id"]: r["missing_elements"] for r in met["analysis"].filter("query_id = 'q1'").collect()}
+    first = R.recall_loop(*graph, max_rounds=1, initial_limit=2, profiles=known, store=store)
+    rows = {row["query_id"]: row for row in first["report"].collect()}
+    assert (rows["q1"]["scene_profile_id"], rows["q2"]["scene_profile_id"]) == ("draft", "acceptance")
+    assert rows["q1"]["rule_id"] in ("scene_profile_ready", "scene_profile_ready_with_conflict") and rows["q1"]["can_make_final"]
+    assert rows["q2"]["rule_id"] == "scene_profile_missing_requirement" and [d["direction"] for d in rows["q2"]["directions"]] == ["D"]
+    assert [(d["dimension"], d["reason"]) for d in rows["q2"]["missing_dimensions"]] == [("从未出现", "缺")]
+    labels = {row["atom_id"]: row["missing_elements"] for row in first["analysis"].filter("query_id = 'q1'").collect()}
     assert labels and all(("解讫通知" in found) == (atom != "A0") for atom, found in labels.items())
+    assert first["rounds"].count() == 2
+    resumed = shown(R.recall_loop(*graph, max_rounds=2, initial_limit=2, profiles=known, store=store))
+    assert resumed == shown(R.recall_loop(*graph, max_rounds=2, initial_limit=2, profiles=known))
+    assert len(resumed["rounds"]) == 3  # q1 stopped in the first
