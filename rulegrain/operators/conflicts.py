@@ -140,14 +140,15 @@ def conflict_groups(numbered: DataFrame) -> DataFrame:
     ).orderBy("risk_level", F.desc("rule_count"), F.desc("document_count"), "conflict_id")
 
 
-def conflict_details(comparable: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Every rule of every conflicting scope."""
+def conflict_details(comparable: DataFrame, numbered: DataFrame, most_paths: int | None = 3) -> DataFrame:
+    """Every rule of every conflicting scope; its first ``most_paths`` label paths are shown, all with None."""
+    paths = F.col("label_paths") if most_paths is None else F.slice("label_paths", 1, most_paths)
     members = spread_join(
         comparable, numbered.select("scope_key", "conflict_id", "conflict_type", "risk_level"), ["scope_key"], ["atom_id"],
     )
     return members.select(
         "conflict_id", "conflict_type", "risk_level", "atom_id", "rule_type", "source_document", "article_reference",
-        "who", "what", "how", F.array_join(F.slice("label_paths", 1, 3), " | ").alias("business_label_paths"),
+        "who", "what", "how", F.array_join(paths, " | ").alias("business_label_paths"),
     ).orderBy("conflict_id", "risk_level", "rule_type", "atom_id")
 
 

@@ -149,10 +149,10 @@ def table_metrics(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def table_preview(rows: DataFrame, order: list[str], limit: int = 200) -> DataFrame:
-    """First rows by the first present key, newest first, at most 500."""
+def table_preview(rows: DataFrame, order: list[str], limit: int = 200, most: int = 500) -> DataFrame:
+    """First rows by the first present key, newest first, ties by the other columns; at most ``most``."""
     key = next(name for name in order if name in rows.columns)
-    return rows.orderBy(F.desc(key)).limit(min(limit, 500))
+    return rows.orderBy(F.desc(key), *[name for name, kind in rows.dtypes if name != key and not kind.startswith("map")]).limit(min(limit, most))
 
 
 # ------------------------------------------------------------------ term mapping (K6)
