@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from rulegrain.llm import bpe, exact_dedup, filter_audit, mixing, near_dedup, neighbours, quality, secrets, sharding, simhash, substring_dedup, token_alignment, toxicity
 
 QUERIES: dict = {}
@@ -11,4 +9,3 @@ ORACLE: dict[str, str] = {}
 for _module in (toxicity, exact_dedup, mixing, bpe, secrets, substring_dedup, neighbours, sharding, near_dedup, quality, token_alignment, filter_audit, simhash):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
-QUERIES["pipeline"] = corpus_pipeline.run
