@@ -104,6 +104,26 @@ def atom_trace(atoms: DataFrame, artifacts: DataFrame, batches: DataFrame, atom_
     return traced(wanted, artifacts, batches).orderBy("atom_id", F.desc("created_at"), "artifact_id")
 
 
+def scene_trace(matches: DataFrame, artifacts: DataFrame, batches: DataFrame, atom_ids: DataFrame) -> DataFrame:
+    """Every scene that the wanted atoms matched, in any batch; best score first, then newest."""
+    wanted = matches.join(atom_ids.select("atom_id").distinct(), "atom_id", "left_semi")
+    return traced(wanted, artifacts, batches).orderBy("atom_id", F.desc("score"), F.desc("created_at"), "artifact_id", "scene_key")
+
+
+def report_list(reports: DataFrame, artifacts: DataFrame, batches: DataFrame, limit: int | None = 30) -> DataFrame:
+    """Newest reports with artifact and batch."""
+    rows = traced(reports, artifacts, batches).orderBy(F.desc("report_id"))
+    return rows if limit is None else rows.limit(limit)
+
+
+def classified_of(atoms: DataFrame, artifacts: DataFrame, batch_ids: DataFrame | None = None) -> DataFrame:
+    """Atoms of classified artifacts, of the wanted batches or all, with batch and time."""
+    origin = artifacts.filter(F.col("artifact_type") == "classified_atoms").select("artifact_id", "batch_id", "created_at")
+    if batch_ids is not None:
+        origin = origin.join(batch_ids.select("batch_id").distinct(), "batch_id", "left_semi")
+    return atoms.join(origin, "artifact_id")
+
+
 def report_rounds(reports: DataFrame, rounds: DataFrame, report_ids: DataFrame) -> DataFrame:
     """Rounds of the artifacts of the wanted reports."""
     wanted = reports.join(report_ids, "report_id", "left_semi").select("artifact_id").distinct()

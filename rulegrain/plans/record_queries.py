@@ -9,7 +9,7 @@ from rulegrain.operators import instruments as I, lineage as L, quality as Q, se
 from rulegrain.plans import artifact_queries
 from rulegrain.plans.corpus import ORDER_RULES, ansi, derive, table
 from rulegrain.plans.graph_queries import CLASSIFIED, MODULES, classified_orders, modules_of, order_rules
-from rulegrain.plans.table_queries import CHECKED, PAYLOADS
+from rulegrain.plans.table_queries import ARTIFACTS, BATCHES, CHECKED, PAYLOADS
 from rulegrain.session import shared_folder
 from rulegrain.sources import readers, writers
 
@@ -178,3 +178,54 @@ SELECT 'extract_phase1_presence' AS key, round(e, 9) AS value, CASE WHEN e >= 0.
 UNION ALL SELECT 'extract_atoms_presence', CAST(n AS DOUBLE), CASE WHEN n > 0 THEN 'pass' ELSE 'warn' END FROM a
 UNION ALL SELECT 'extract_atoms_ambiguity', round(b, 9), CASE WHEN b <= 0.25 THEN 'pass' ELSE 'warn' END FROM a
 UNION ALL SELECT 'extract_classified_coverage', round(f, 9), CASE WHEN f >= 0.7 THEN 'pass' ELSE 'warn' END FROM l"""
+
+
+# ------------------------------------------------------------------ traces
+KINDED = f"SELECT artifact_id, batch_id, CASE artifact_type WHEN '1-URGENT' THEN 'classified_atoms' ELSE 'legal_atoms' END AS artifact_type, artifact_name, created_at FROM ({ARTIFACTS})"
+SCENES = "SELECT l_orderkey AS artifact_id, 'P' || CAST(l_partkey AS STRING) AS atom_id, l_returnflag || l_linestatus AS scene_key, CAST(l_quantity AS INT) AS score FROM {lineitem}"
+REPORTS = "SELECT o_orderkey * 3 AS report_id, o_orderkey AS artifact_id, o_orderpriority AS question, o_orderstatus AS final_decision FROM {orders} WHERE o_orderstatus = 'P'"
+
+
+@query
+def atom_scene_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "part").filter(F.col("p_size") == 11).select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("atom_id"))
+    out = L.scene_trace(derive(spark, sf_dir, SCENES), derive(spark, sf_dir, KINDED), derive(spark, sf_dir, BATCHES), wanted)
+    return out.select("atom_id", "scene_key", "score", "artifact_name", "batch_label")
+
+
+ORACLE["atom_scene_trace"] = f"""SELECT atom_id, scene_key, score, artifact_name, batch_label FROM ({ansi(SCENES)}) s JOIN ({ansi(KINDED)}) a USING (artifact_id) JOIN ({ansi(BATCHES)}) b ON a.batch_id = b.batch_id
+WHERE atom_id IN (SELECT 'P' || p_partkey FROM part WHERE p_size = 11)"""
+
+
+@query
+def report_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = L.report_list(derive(spark, sf_dir, REPORTS), derive(spark, sf_dir, KINDED), derive(spark, sf_dir, BATCHES))
+    return out.select("report_id", "question", "final_decision", "artifact_name", "batch_label")
+
+
+ORACLE["report_list"] = f"""SELECT report_id, question, final_decision, artifact_name, batch_label FROM ({ansi(REPORTS)}) r JOIN ({ansi(KINDED)}) a USING (artifact_id) JOIN ({ansi(BATCHES)}) b ON a.batch_id = b.batch_id
+ORDER BY report_id DESC LIMIT 30"""
+
+
+@query
+def report_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of every report of urgent orders: the order lines are the rounds."""
+    reports = derive(spark, sf_dir, REPORTS)
+    rounds = derive(spark, sf_dir, "SELECT l_orderkey AS artifact_id, l_linenumber AS round_index, CAST(l_quantity AS INT) AS input_atom_count FROM {lineitem}")
+    return L.report_rounds(reports, rounds, reports.filter("question = '1-URGENT'").select("report_id"))
+
+
+ORACLE["report_rounds"] = f"""SELECT l_orderkey AS artifact_id, l_linenumber AS round_index, CAST(l_quantity AS INTEGER) AS input_atom_count FROM lineitem
+WHERE l_orderkey IN (SELECT artifact_id FROM ({ansi(REPORTS)}) WHERE question = '1-URGENT')"""
+
+
+@query
+def batch_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms of the classified artifacts of one market segment's batches."""
+    atoms = derive(spark, sf_dir, "SELECT l_orderkey AS artifact_id, 'P' || CAST(l_partkey AS STRING) AS atom_id, l_returnflag AS rule_type FROM {lineitem}")
+    batches = derive(spark, sf_dir, BATCHES).filter("notes = 'BUILDING'")
+    return L.classified_of(atoms, derive(spark, sf_dir, KINDED), batches).groupBy("batch_id", "rule_type").agg(F.count("*").alias("atoms"))
+
+
+ORACLE["batch_atoms"] = f"""SELECT batch_id, l_returnflag AS rule_type, count(*) AS atoms FROM lineitem JOIN ({ansi(KINDED)}) a ON l_orderkey = artifact_id
+WHERE artifact_type = 'classified_atoms' AND batch_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1, 2"""
