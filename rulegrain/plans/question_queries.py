@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rulegrain.functions import vocab as V
 from rulegrain.operators import align as A, decisions as D, entities as N, qa as Q, recall as R, segment as S, taxonomy as X
 from rulegrain.plans.corpus import ORACLE_LINES, ORDER_RULES, SEGMENT_ACTOR, SEGMENT_OBJECT, ansi, derive, stored, table
-from rulegrain.plans.graph_queries import MATCHES, classified_orders, modules_of, order_links, order_matches, order_rules
+from rulegrain.plans.graph_queries import MATCHES, MODULES, classified_orders, modules_of, order_links, order_matches, order_rules
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -333,6 +333,18 @@ def question_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed_questions(spark, sf_dir).select("query_id", F.array_join("scene_keys", "|").alias("scenes"), F.array_join("module_codes", "|").alias("modules"))
 
 
+ORACLE["question_routes"] = MODULES + f""", asked AS (SELECT query_id, question, string_split(raw, '::')[1] AS query FROM ({ansi(LOOP_QUESTIONS)})),
+sscore AS (SELECT query_id, scene_key, module_code, CASE WHEN contains(question, scene_name) THEN 32 ELSE 0 END + CASE WHEN contains(query, scene_name) OR contains(scene_name, query) THEN 32 ELSE 0 END AS score FROM asked, scenes),
+sbest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scene_key) AS r FROM sscore WHERE score > 0) WHERE r <= 5),
+mscore AS (SELECT query_id, code, CASE WHEN contains(question, module) THEN 18 ELSE 0 END + CASE WHEN contains(question, category) THEN 8 ELSE 0 END
+  + 16 * len(list_filter(projects, lambda x: contains(question, x))) + CASE WHEN contains(query, module) OR contains(module, query) THEN 22 ELSE 0 END
+  + 14 * len(list_filter(projects, lambda x: contains(x, query))) + coalesce((SELECT sum(score) FROM sscore s WHERE s.query_id = asked.query_id AND module_code = code), 0) AS score FROM asked, modules),
+mbest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, code) AS r FROM mscore WHERE score >= 18) WHERE r <= 5),
+spots AS (SELECT query_id, code, min(pos) AS pos FROM (SELECT query_id, module_code AS code, r AS pos FROM sbest UNION ALL SELECT query_id, code, r + 100 FROM mbest) GROUP BY 1, 2)
+SELECT query_id, coalesce((SELECT string_agg(scene_key, '|' ORDER BY r) FROM sbest b WHERE b.query_id = asked.query_id), '') AS scenes,
+  coalesce((SELECT string_agg(code, '|' ORDER BY pos) FROM spots p WHERE p.query_id = asked.query_id), '') AS modules FROM asked"""
+
+
 @query
 def recall_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loop_result(spark, sf_dir)["rounds"]

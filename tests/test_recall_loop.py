@@ -10,6 +10,13 @@ ATOMS = "atom_id string, row_no int, source_document string, article_reference s
 
 @pytest.fixture(scope="module")
 def graph(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # a loop is many small jobs
+    yield tables(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def tables(spark):
     rows = [(1, "【票据】", "【票据】", "", ""), (2, "汇票", "银行汇票", "银行汇票提示付款\n银行汇票背书", ""), (3, "汇票", "商业汇票", "商业汇票承兑", "")]
     modules = X.taxonomy_modules(spark.createDataFrame(rows, "row_no int, category string, module string, projects string, remark string"))
     scenes = X.taxonomy_scenes(modules)
