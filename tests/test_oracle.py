@@ -9,7 +9,8 @@ from check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 QUICK = ["conflict_groups", "signature_counts", "document_chunks", "article_segments", "legal_segments", "dictionary_hits", "instrument_summary",
-         "final_judgements", "batch_list", "atom_trace", "review_metrics", "similarity_scores", "quality_funnel", "capped_ranking", "matched_chunks", "event_windows"]
+         "final_judgements", "batch_list", "atom_trace", "review_metrics", "similarity_scores", "quality_funnel", "capped_ranking", "matched_chunks", "event_windows",
+         "scene_gaps", "scene_judgements", "merged_nodes", "bundle_results", "late_events", "resolved_documents", "flattened_atoms", "citation_chunks", "csv_read_back"]
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables are absent")
 
