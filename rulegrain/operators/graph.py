@@ -367,21 +367,14 @@ def health_report(
 
 
 # ------------------------------------------------------------------ export
-def cypher_text(value: Column) -> Column:
-    """A quoted literal: quotes doubled, backslashes and line ends escaped."""
-    plain = F.regexp_replace(F.regexp_replace(value, r"\\'", "'"), r'\\"', '"')
-    plain = F.regexp_replace(F.regexp_replace(plain, r"\\", r"\\\\"), "'", "''")
-    plain = F.regexp_replace(F.regexp_replace(plain, "\r", r"\\r"), "\n", r"\\n")
-    return F.when(value.isNull(), "null").otherwise(F.concat(F.lit("'"), plain, F.lit("'")))
-
-
 def cypher_value(df: DataFrame, name: str) -> Column:
+    """A literal: JSON spells texts, numbers and lists in the way that the statement language reads them, with double quotes."""
     kind, column = dict(df.dtypes)[name], F.col(f"`{name}`")
     if kind.startswith("array"):
-        items = F.array_join(F.transform(column, lambda item: cypher_text(item.cast("string"))), ", ")
-        return F.when(column.isNull(), "null").otherwise(F.concat(F.lit("["), items, F.lit("]")))
+        return F.coalesce(F.to_json(column), F.lit("null"))
     if kind == "string":
-        return cypher_text(column)
+        listed = F.to_json(F.array(column))
+        return F.substring(listed, F.lit(2), F.length(listed) - 2)
     return F.coalesce(column.cast("string"), F.lit("null"))
 
 

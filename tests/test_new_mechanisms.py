@@ -124,3 +124,13 @@ def test_csv_files_of_several_encodings(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes("﻿主体,规则,余\n丁,可以,x\n".encode())
     (tmp_path / "c.csv").write_bytes(b"")
     assert sorted(map(tuple, read_csv(spark, str(tmp_path), ["规则", "主体"]).collect())) == [("不得转让", "甲,乙\r\n丙"), ("可以", "丁")]
+
+
+def test_statements_spell_literals(spark):
+    from rulegrain.operators.graph import cypher_statements
+
+    nodes = spark.createDataFrame([("N'1", "actor", 'a "b"\n\\c', [1, 2], ["x'y", None], None)], "id string, type string, name string, ns array<int>, terms array<string>, score double")
+    edges = spark.createDataFrame([("N'1", "M", "LINKS", None, True)], "source string, target string, type string, score int, flag boolean")
+    assert sorted(row["statement"] for row in cypher_statements(nodes, edges).collect()) == [
+        """MATCH (a {id: "N'1"}), (b {id: "M"}) MERGE (a)-[r:LINKS]->(b) SET r += {score: null, flag: true};""",
+        r"""MERGE (n:BusinessActor {id: "N'1"}) SET n += {name: "a \"b\"\n\\c", ns: [1,2], terms: ["x'y",null], score: null};"""]
