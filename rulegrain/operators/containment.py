@@ -7,7 +7,8 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rulegrain.functions.text import words_in
+from rulegrain.functions.text import words, words_in
+from rulegrain.session import cut_lineage
 
 MAX_INLINE_TERMS = 32
 MAX_AUTOMATON_TERMS = 200_000
@@ -48,6 +49,21 @@ def small_vocabulary(terms: DataFrame) -> list[str] | None:
     return known if within else None
 
 
+def with_term_lists(texts: DataFrame, text: str, terms: DataFrame, term: str, alias: str = "terms", strategy: str = "auto") -> DataFrame:
+    """``texts`` with the array of the distinct terms each text contains, by the strategies of :func:`find_terms`.
+
+    A dictionary within the automaton's size is looked up inside the rows: nothing is shuffled.
+    """
+    vocabulary = terms.select(F.col(term).alias("term")).filter(F.length("term") > 0).distinct()
+    known = None if strategy == "grams" else small_vocabulary(vocabulary)
+    if known is not None:
+        return texts.withColumn(alias, matched_terms_column(F.col(text), known))
+    numbered = cut_lineage(texts.withColumn("_text_no", F.monotonically_increasing_id()))
+    found = _gram_join(numbered.select("_text_no", text), text, vocabulary, ["_text_no"])
+    lists = found.groupBy("_text_no").agg(F.collect_list("term").alias(alias))
+    return numbered.join(lists, "_text_no", "left").withColumn(alias, F.coalesce(alias, words([]))).drop("_text_no")
+
+
 def find_terms(
     texts: DataFrame, text: str, terms: DataFrame, term: str, strategy: str = "auto", keep: Sequence[str] | None = None,
 ) -> DataFrame:

@@ -10,8 +10,9 @@ from rulegrain.functions import vocab as V
 from rulegrain.functions.text import (
     category_core, has, multiline_items, phrase_terms, remove_space, scene_name_tokens, strip, text, to_string_list, words,
 )
-from rulegrain.operators.containment import find_terms
+from rulegrain.operators.containment import find_terms, with_term_lists
 from rulegrain.operators.scale import broadcast_if_small, carry_forward, ordered_distinct, top_rows
+from rulegrain.session import cut_lineage
 
 HAYSTACK_FIELDS = ["source_document", "what", "how", "where", "content_original"]
 
@@ -129,6 +130,9 @@ def heuristic_labels(atoms: DataFrame, modules: DataFrame, weights: dict[str, in
 
     The winner needs 12 points; the next two join it with at least max(24, winner - 4). Ties go to
     the module that stands first in the taxonomy.
+
+    Atoms meet no modules. What an atom shows (terms of its text, legacy values, with repeats) is its evidence; equal evidence is scored
+    once, and atoms take the labels of their evidence.
     """
     atoms = prepared_atoms(atoms).filter(F.col("atom_id") != "")
     real = modules.filter(F.col("code") != V.UNCLASSIFIED_CODE).withColumn("core", category_core("category"))
@@ -152,31 +156,34 @@ def heuristic_labels(atoms: DataFrame, modules: DataFrame, weights: dict[str, in
     rows = real.select("code", F.explode(F.concat(single, *many)).alias("e")).select("code", "e.*").filter(F.length("needle") > 0)
 
     haystack = F.concat(*HAYSTACK_FIELDS, F.array_join("business_categories", " "), F.array_join("related_scenarios", " "))
-    by_text = containment_scores(
-        atoms.select("atom_id", haystack.alias("haystack")), "haystack", ["atom_id"], rows.filter(F.col("kind") == "text"), ["code"]
-    )
-    legacy = atoms.select("atom_id", F.explode(F.concat(
-        F.transform("related_scenarios", lambda value: F.struct(F.lit("scenario").alias("kind"), value.alias("value"))),
-        F.transform("business_categories", lambda value: F.struct(F.lit("category").alias("kind"), value.alias("value"))),
-    )).alias("l")).select("atom_id", "l.kind", "l.value")
-    listed = rows.filter(F.col("kind") != "text").groupBy("kind", "needle", "code").agg(F.sum("weight").alias("weight"))
-    pairs = overlapping_values(legacy.select("value").distinct(), listed.select("needle").distinct())
-    value_scores = pairs.join(listed, "needle").groupBy("kind", "value", "code").agg(F.sum("weight").alias("weight"))
-    by_legacy = legacy.join(broadcast_if_small(value_scores), ["kind", "value"]).groupBy("atom_id", "code").agg(F.sum("weight").alias("score"))
+    def shown(kind: str, values: str) -> Column:
+        return F.transform(values, lambda value: F.struct(F.lit(kind).alias("kind"), value.alias("value")))
 
-    scores = by_text.unionByName(by_legacy).groupBy("atom_id", "code").agg(F.sum("score").alias("score"))
+    of_text = rows.filter(F.col("kind") == "text").groupBy("kind", F.col("needle").alias("value"), "code").agg(F.sum("weight").alias("weight"))
+    listed = rows.filter(F.col("kind") != "text").groupBy("kind", "needle", "code").agg(F.sum("weight").alias("weight"))
+    texts = with_term_lists(atoms.select("atom_id", haystack.alias("haystack"), "related_scenarios", "business_categories"), "haystack", of_text, "value")
+    items = texts.select("atom_id", F.concat(shown("text", "terms"), shown("scenario", "related_scenarios"), shown("category", "business_categories")).alias("items"))
+    seen = cut_lineage(items.groupBy("atom_id").agg(F.sort_array(F.flatten(F.collect_list("items"))).alias("evidence")))
+
+    kinds = cut_lineage(seen.select("evidence").distinct().withColumn("kind_no", F.monotonically_increasing_id()))
+    parts = kinds.select("kind_no", F.explode("evidence").alias("e")).select("kind_no", "e.*")
+    values = parts.filter(F.col("kind") != "text").select("value").distinct()
+    of_value = overlapping_values(values, listed.select("needle").distinct()).join(listed, "needle").groupBy("kind", "value", "code").agg(F.sum("weight").alias("weight"))
+    weights_of = broadcast_if_small(cut_lineage(of_text.unionByName(of_value)))
+    scores = parts.join(weights_of, ["kind", "value"]).groupBy("kind_no", "code").agg(F.sum("weight").alias("score"))
     order = broadcast_if_small(real.groupBy("code").agg(F.min("row_no").alias("row_no")))
-    best = top_rows(scores.join(order, "code"), ["atom_id"], [F.desc("score"), F.col("row_no")], 3)
-    winner = F.max("score").over(Window.partitionBy("atom_id"))
+    best = top_rows(scores.join(order, "code"), ["kind_no"], [F.desc("score"), F.col("row_no")], 3)
+    winner = F.max("score").over(Window.partitionBy("kind_no"))
     chosen = best.withColumn("top", winner).filter(
         (F.col("top") >= 12) & ((F.col("rank") == 1) | (F.col("score") >= F.greatest(F.lit(24), F.col("top") - 4)))
     )
-    codes = chosen.groupBy("atom_id").agg(
+    codes = chosen.groupBy("kind_no").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "code"))), lambda pair: pair["code"]).alias("label_codes"),
         F.max("top").alias("top"),
     )
+    labels = cut_lineage(kinds.join(codes, "kind_no").select("evidence", "label_codes", "top"))
     matched = F.concat(F.lit("Heuristic fallback: matched taxonomy terms, top score="), F.col("top").cast("string"))
-    return atoms.select("atom_id").distinct().join(codes, "atom_id", "left").select(
+    return seen.join(broadcast_if_small(labels), "evidence", "left").select(
         "atom_id",
         F.coalesce("label_codes", words([V.UNCLASSIFIED_CODE])).alias("label_codes"),
         F.when(F.col("label_codes").isNotNull(), matched).otherwise("Heuristic fallback: no strong taxonomy match").alias("reason"),
@@ -236,21 +243,28 @@ def with_label_columns(atoms: DataFrame, labels: DataFrame, modules: DataFrame)
     catalog = broadcast_if_small(modules.groupBy("code").agg(
         F.max_by(F.struct("label_path", "section", "category", "module"), "row_no").alias("m")
     ))
-    rows = labels.select("atom_id", F.posexplode("label_codes").alias("at", "code")).join(catalog, "code")
-    gathered = rows.groupBy("atom_id").agg(F.sort_array(F.collect_list(F.struct("at", "code", "m"))).alias("l"))
+    # labels of one atom in several rows make one list and a row per reason; equal lists are named once
+    per_atom = labels.groupBy("atom_id").agg(F.collect_list(F.struct("label_codes", "reason")).alias("l")).select(
+        "atom_id",
+        F.sort_array(F.flatten(F.transform("l", lambda row: F.transform(
+            F.coalesce(row["label_codes"], words([])), lambda code, at: F.struct(at.alias("at"), code.alias("code")))))).alias("placed"),
+        F.transform("l", lambda row: row["reason"]).alias("reasons"),
+    )
+    lists = per_atom.select("placed").distinct()
+    rows = lists.select("placed", F.explode("placed").alias("p")).select("placed", "p.at", "p.code").join(catalog, "code")
+    gathered = rows.groupBy("placed").agg(F.sort_array(F.collect_list(F.struct("at", "code", "m"))).alias("l"))
     pick = lambda build: F.array_distinct(F.transform("l", build))
-    columns = gathered.select(
-        "atom_id", pick(lambda item: item["code"]).alias("label_codes"),
+    columns = cut_lineage(gathered.select(
+        "placed", pick(lambda item: item["code"]).alias("label_codes"),
         pick(lambda item: item["m"]["label_path"]).alias("label_paths"), pick(lambda item: item["m"]["section"]).alias("sections"),
         pick(lambda item: item["m"]["category"]).alias("categories"), pick(lambda item: item["m"]["module"]).alias("modules"),
-    )
+    ))
     missing = {
         "label_codes": V.UNCLASSIFIED_CODE, "label_paths": V.UNCLASSIFIED_PATH, "sections": V.UNCLASSIFIED_NAME,
         "categories": V.UNCLASSIFIED_NAME, "modules": V.UNCLASSIFIED_NAME,
     }
-    out = prepared_atoms(atoms).join(columns, "atom_id", "left").join(
-        labels.select("atom_id", F.col("reason").alias("classification_reason")), "atom_id", "left"
-    )
+    out = prepared_atoms(atoms).join(per_atom, "atom_id", "left").withColumn("classification_reason", F.explode_outer("reasons"))
+    out = out.join(broadcast_if_small(columns), "placed", "left").drop("placed", "reasons")
     for name, value in missing.items():
         out = out.withColumn(name, F.coalesce(name, words([value])))
     return out.withColumn("classification_reason", F.coalesce("classification_reason", F.lit("无分类结果，已回退待分类")))
@@ -290,9 +304,8 @@ def scene_matches(classified: DataFrame, scenes: DataFrame) -> DataFrame:
     hits = F.filter(F.transform("scenes", scored), lambda match: match["score"] >= 8)
     rows = atoms.select("atom_id", "module_code", F.explode(hits).alias("m")).select("atom_id", "m.scene_key", "module_code", "m.score", "m.matched_terms")
     # The same pair again (repeated atom rows) keeps its best score; equal scores merge their terms.
-    distinct = rows.groupBy("atom_id", "scene_key", "module_code", "score", "matched_terms").count()
-    merged = distinct.groupBy("atom_id", "scene_key", "module_code").agg(
-        F.max("score").alias("score"), F.sort_array(F.collect_list(F.struct("score", "matched_terms"))).alias("all"),
+    merged = rows.groupBy("atom_id", "scene_key", "module_code").agg(
+        F.max("score").alias("score"), F.sort_array(F.collect_set(F.struct("score", "matched_terms"))).alias("all"),
     )
     best = F.filter("all", lambda item: item["score"] == F.col("score"))
     terms = F.array_distinct(F.flatten(F.transform(best, lambda item: item["matched_terms"])))

@@ -28,28 +28,19 @@ def build_session(app: str = "rulegrain", master: str | None = None, **conf: str
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint directory and read it back.
+    """Write ``df`` to the shared checkpoint folder and read it back.
 
-    The directory comes from ``spark.checkpoint.dir`` (shared storage on a cluster), so the
-    result survives lost executors. Only a local-mode session without that setting gets a
-    temporary folder of its own.
+    The folder comes from ``spark.checkpoint.dir`` (shared storage on a cluster), so the result survives lost executors. Rows are
+    stored as compressed columns: readers take only the columns they use.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured:
-            context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="rulegrain-checkpoint-"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this operator")
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession, 'stage')}/rows"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint directory, or a local one in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this operator")
