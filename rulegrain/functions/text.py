@@ -6,7 +6,7 @@ All helpers take and return Columns, so Catalyst keeps them inside the surroundi
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 import pandas as pd
@@ -30,6 +30,11 @@ def col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def once(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build`` of a value that is computed once however often ``build`` names it, also where Spark does not share common parts."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def text(value: str | Column) -> Column:
     """The column as a string with null read as the empty string."""
     return F.coalesce(col(value).cast("string"), F.lit(""))
@@ -47,7 +52,7 @@ def clean_text(value: str | Column) -> Column:
 def collapse_space(value: str | Column) -> Column:
     """Runs of whitespace become one blank; the word "nan" counts as empty."""
     squeezed = strip(F.regexp_replace(text(value), f"{SPACE}+", " "))
-    return F.when(F.lower(squeezed) == "nan", "").otherwise(squeezed)
+    return F.regexp_replace(squeezed, "^(?i:nan)$", "")
 
 
 def remove_space(value: str | Column) -> Column:

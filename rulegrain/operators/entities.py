@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulegrain.functions import vocab as V
 from rulegrain.functions.text import (
-    clean_text, collapse_space, col, ends_with_any, first_that, has_any, lookup_key, remove_space, split_label_terms,
+    clean_text, collapse_space, col, ends_with_any, first_that, has_any, lookup_key, once, remove_space, split_label_terms,
     starts_with_any, strip, text, words,
 )
 from rulegrain.operators.containment import find_terms, matched_terms_column, small_vocabulary
@@ -66,41 +67,41 @@ def with_matches(df: DataFrame, body: Column, terms: DataFrame | None, alias: st
 
 
 # ------------------------------------------------------------------ raw terms
-def _value_or_null(value: str | Column) -> Column:
-    body = clean_text(value)
-    return F.when((body == "") | (F.lower(body) == "nan") | body.isin(NO_VALUE), None).otherwise(body)
+def _of_value(value: str | Column, terms: Callable[[Column], Column]) -> Column:
+    """Terms of a text; none where it stands for no value."""
+    absent = lambda body: (body == "") | (F.lower(body) == "nan") | body.isin(NO_VALUE)
+    return once(clean_text(value), lambda body: F.when(~absent(body), terms(body)).otherwise(words([])))
 
 
 def _led_by_whole(body: Column, parts: Column, allowed: Column) -> Column:
-    return F.when(allowed & ~F.array_contains(parts, body), F.concat(F.array(body), parts)).otherwise(parts)
+    return once(parts, lambda listed: F.when(allowed & ~F.array_contains(listed, body), F.concat(F.array(body), listed)).otherwise(listed))
 
 
 def actor_terms(value: str | Column, known: Column | None = None, limit: int = 20) -> Column:
-    body = _value_or_null(value)
-    parts = _led_by_whole(body, split_label_terms(body), F.lit(True))
-    terms = F.slice(F.array_distinct(F.concat(parts, words([]) if known is None else known)), 1, limit)
-    return F.coalesce(F.when(body.isNotNull(), terms), words([]))
+    known = words([]) if known is None else known
+    return _of_value(value, lambda body: F.slice(F.array_distinct(F.concat(_led_by_whole(body, split_label_terms(body), F.lit(True)), known)), 1, limit))
 
 
 def object_terms(value: str | Column, known: Column | None = None, limit: int = 20) -> Column:
-    body = _value_or_null(value)
-    short = (F.length(body) <= 30) & ~has_any(body, ["；", ";", "、"])
-    parts = _led_by_whole(body, split_label_terms(body), short)
-    merged = F.array_distinct(F.concat(words([]) if known is None else known, parts))
-    kept = F.filter(
-        F.transform(merged, clean_text),
-        lambda term: (F.length(term) > 1)
-        & ((F.length(term) != 2) | term.isin(V.TWO_CHARACTER_OBJECTS))
-        & ~has_any(term, ["；", ";"]),
-    )
-    return F.coalesce(F.when(body.isNotNull(), F.slice(kept, 1, limit)), words([]))
+    known = words([]) if known is None else known
+
+    def terms(body: Column) -> Column:
+        short = (F.length(body) <= 30) & ~has_any(body, ["；", ";", "、"])
+        merged = F.array_distinct(F.concat(known, _led_by_whole(body, split_label_terms(body), short)))
+        kept = F.filter(
+            F.transform(merged, clean_text),
+            lambda term: (F.length(term) > 1)
+            & ((F.length(term) != 2) | term.isin(V.TWO_CHARACTER_OBJECTS))
+            & ~has_any(term, ["；", ";"]),
+        )
+        return F.slice(kept, 1, limit)
+
+    return _of_value(value, terms)
 
 
 def time_terms(value: str | Column, known: Column | None = None, limit: int = 15) -> Column:
-    body = _value_or_null(value)
+    known = words([]) if known is None else known
     separators = ["；", ";", "、", "，", ","]
-    parts = _led_by_whole(body, split_label_terms(body), (F.length(body) <= 28) & ~has_any(body, separators))
-    merged = F.array_distinct(F.concat(words([]) if known is None else known, parts))
 
     def shaped(term: Column) -> Column:
         return (
@@ -108,19 +109,24 @@ def time_terms(value: str | Column, known: Column | None = None, limit: int = 15
             | F.startswith(term, F.lit("每"))
         )
 
-    kept = F.filter(
-        F.transform(merged, clean_text),
-        lambda term: (term != "") & ~has_any(term, separators)
-        & ((F.length(term) > 2) | term.isin(V.WHEN_SHORT_TERMS)) & shaped(term),
-    )
-    return F.coalesce(F.when(body.isNotNull(), F.slice(kept, 1, limit)), words([]))
+    def terms(body: Column) -> Column:
+        short = (F.length(body) <= 28) & ~has_any(body, separators)
+        merged = F.array_distinct(F.concat(known, _led_by_whole(body, split_label_terms(body), short)))
+        kept = F.filter(
+            F.transform(merged, clean_text),
+            lambda term: (term != "") & ~has_any(term, separators)
+            & ((F.length(term) > 2) | term.isin(V.WHEN_SHORT_TERMS)) & shaped(term),
+        )
+        return F.slice(kept, 1, limit)
+
+    return _of_value(value, terms)
 
 
 def without_whole(terms: str | Column, value: str | Column) -> Column:
     """Terms for record resolution: the undivided text is dropped when parts exist."""
-    terms = col(terms)
-    whole_first = (F.size(terms) > 1) & (F.get(terms, F.lit(0)) == clean_text(value))
-    return F.when(whole_first, F.slice(terms, F.lit(2), F.size(terms))).otherwise(terms)
+    whole = clean_text(value)
+    first = lambda listed: (F.size(listed) > 1) & (F.get(listed, F.lit(0)) == whole)
+    return once(col(terms), lambda listed: F.when(first(listed), F.slice(listed, F.lit(2), F.size(listed))).otherwise(listed))
 
 
 # ------------------------------------------------------------------ confidence tests
@@ -277,9 +283,21 @@ def resolve_records(rows: DataFrame, row_id: str, index: AliasIndex, fallback: b
     return records.union(rest)
 
 
+def _by_text(df: DataFrame, row_id: str, body: str | Column, raw: Column, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(row_id, order, record) of every row; rows of the same text and raw terms share one resolution.
+
+    ``build`` gets the distinct (text_no, body, raw) and returns (text_no, order, record).
+    """
+    rows = df.select(row_id, text(body).alias("_body"), F.coalesce(raw, words([])).alias("_raw"))
+    texts = cut_lineage(rows.select("_body", "_raw").distinct().withColumn("text_no", F.monotonically_increasing_id()))
+    records = build(texts.select("text_no", F.col("_body").alias("body"), F.col("_raw").alias("raw")))
+    found = cut_lineage(texts.join(records, "text_no").groupBy("_body", "_raw").agg(F.collect_list(F.struct("order", "record")).alias("_found")))
+    return rows.join(broadcast_if_small(found), ["_body", "_raw"]).select(row_id, F.inline("_found"))
+
+
 def actor_records(df: DataFrame, row_id: str, body: str | Column, raw: Column, index: AliasIndex) -> DataFrame:
     """(row_id, order, record) for actors."""
-    return resolve_records(_search_rows(df, row_id, col(body), raw), row_id, index)
+    return _by_text(df, row_id, body, raw, lambda texts: resolve_records(_search_rows(texts, "text_no", F.col("body"), F.col("raw")), "text_no", index))
 
 
 def confidence(record: Column) -> Column:
@@ -319,6 +337,12 @@ def object_records(
     df: DataFrame, row_id: str, body: str | Column, raw: Column, index: AliasIndex, dictionary: DataFrame,
 ) -> DataFrame:
     """Objects: canonical records, then dictionary terms, then raw terms, pruned."""
+    return _by_text(df, row_id, body, raw, lambda texts: _object_records(texts, "text_no", "body", F.col("raw"), index, dictionary))
+
+
+def _object_records(
+    df: DataFrame, row_id: str, body: str | Column, raw: Column, index: AliasIndex, dictionary: DataFrame,
+) -> DataFrame:
     rows = _search_rows(df, row_id, col(body), F.filter(F.transform(raw, collapse_space), confident_object))
     alone = (F.size("raw") == 0) & confident_object(F.col("body"))
     rows = rows.withColumn("raw", F.when(alone, F.array("body")).otherwise(F.col("raw")))
@@ -364,6 +388,10 @@ def _search_times(chunks: Column) -> Column:
 
 def time_records(df: DataFrame, row_id: str, body: str | Column, raw: Column, dictionary: DataFrame | None) -> DataFrame:
     """Times: patterns and dictionary hits first, confident raw terms after them, pruned."""
+    return _by_text(df, row_id, body, raw, lambda texts: _time_records(texts, "text_no", "body", F.col("raw"), dictionary))
+
+
+def _time_records(df: DataFrame, row_id: str, body: str | Column, raw: Column, dictionary: DataFrame | None) -> DataFrame:
     rows = _search_rows(df, row_id, col(body), confident_times(F.transform(raw, collapse_space)))
     if dictionary is not None:
         dictionary = dictionary.withColumn("term", time_fragment("term")).filter(F.col("term") != "")
