@@ -25,8 +25,12 @@ def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """The files of a table, which is one file or a folder of files."""
+    rows, place = table(spark, sf_dir, name), f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(rows.schema)
+    if any(file.rsplit("/", 2)[1] == f"{name}.parquet" for file in rows.inputFiles()[:1]):
+        return reader.parquet(place)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 @query
