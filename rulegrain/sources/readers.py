@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
+import itertools
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -12,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rulegrain.functions.text import any_word_pattern, strip
 from rulegrain.operators.taxonomy import scene_name_tokens, to_string_list
 
+STEP = 1 << 20  # bytes tried at once
+ROWS = 10_000  # rows passed on at once
+
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None, **options: str) -> DataFrame:
     """Parquet, ORC, CSV, JSON or text behind one call; :func:`read_csv` is for files whose encoding is not known."""
@@ -23,7 +28,7 @@ def read_csv(spark: SparkSession, path: str, columns: Iterable[str], encodings:
     """CSV files with a header row, each in the first of the encodings that reads it without fault (A2); all columns are text.
 
     UTF-8 goes first: text of another encoding is hardly ever valid in it, while gb18030 reads much UTF-8 as other characters.
-    A file is decoded in one piece; a column that a file lacks is empty, one that is not named is left out. Only a file that
+    A file is held as bytes, decoded and passed on in parts; a column that a file lacks is empty, one that is not named is left out. Only a file that
     none of the encodings fits raises an error.
     """
     names, known = list(columns), list(encodings)
@@ -33,13 +38,15 @@ def read_csv(spark: SparkSession, path: str, columns: Iterable[str], encodings:
             for place, content in zip(batch["path"], batch["content"], strict=True):
                 for at, encoding in enumerate(known):
                     try:
-                        body = bytes(content).decode(encoding)
+                        for _ in codecs.iterdecode((content[start : start + STEP] for start in range(0, len(content), STEP)), encoding):
+                            pass
                         break
                     except UnicodeDecodeError:
                         if at + 1 == len(known):
                             raise ValueError(f"{place} is in none of {known}") from None
-                rows = csv.DictReader(io.StringIO(body, newline=""))
-                yield pd.DataFrame([[row.get(name) or "" for name in names] for row in rows], columns=names)
+                rows = csv.DictReader(io.TextIOWrapper(io.BytesIO(content), encoding, newline=""))
+                while part := [[row.get(name) or "" for name in names] for row in itertools.islice(rows, ROWS)]:
+                    yield pd.DataFrame(part, columns=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
     return files.mapInPandas(parse, ", ".join(f"`{name}` string" for name in names))
