@@ -170,7 +170,7 @@ def sync(items: DataFrame, batch_id: str, registered: DataFrame | None = None) -
     parts, tables = [], {}
     fresh = known.filter("NOT known")
     for kind, fills in KINDS.items():
-        read = parsed(fresh, kind)
+        read = cut_lineage(parsed(fresh, kind).drop("content"))  # read once per kind: a filter on the error would repeat the parsing for each leaf
         sizes = [(F.lit(table.name), F.size(_rows_of(table, kind)).cast("long")) for table in fills]
         total = reduce(lambda a, b: a + b, [size for _, size in (sizes if kind != "compliance_recall_report" else sizes[:1])])
         good = F.col("error").isNull()
