@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from rulegrain.functions import vocab as V
-from rulegrain.functions.text import col, half_width, strip, text
+from rulegrain.functions.text import col, half_width, once, strip, text
 
 
 def _lookup(table: dict[str, int]) -> Column:
@@ -93,36 +93,36 @@ def numeric_signatures(value: str | Column, units: str = V.NUMERIC_UNITS, compat
 def numeric_amount(value: str | Column) -> Column:
     """Amount text such as ￥1,680.32 as decimal(20,2); null when it is not a number."""
     body = strip(F.regexp_replace(half_width(value), r"[¥,，]", ""))
-    return F.when(body.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), body).cast("decimal(20,2)")
+    return once(body, lambda body: F.when(body.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), body).cast("decimal(20,2)"))
 
 
 def capital_amount(value: str | Column) -> Column:
     """Capital Chinese amount as decimal(20,2); null for blank text."""
-    body = F.regexp_replace(half_width(value), "人民币", "")
-    body = strip(F.translate(body, "圆圓整正", "元元"))
-    whole = F.substring_index(body, "元", 1)
-    rest = F.when(F.contains(body, F.lit("元")), F.regexp_replace(body, "^[^元]*元", "")).otherwise("")
     digit = "([零壹贰貳叁肆伍陆陸柒捌玖])"
     values = _lookup(V.CAPITAL_DIGITS)
 
-    def part(unit: str) -> Column:
-        found = F.regexp_extract(rest, digit + unit, 1)
-        return F.when(found != "", F.element_at(values, found)).otherwise(_zero())
+    def cents_of(body: Column) -> Column:
+        whole = F.substring_index(body, "元", 1)
+        rest = F.when(F.contains(body, F.lit("元")), F.regexp_replace(body, "^[^元]*元", "")).otherwise("")
 
-    cents = capital_integer(whole) * F.lit(100) + part("角") * F.lit(10) + part("分")
-    return F.when(body != "", (cents.cast("decimal(22,0)") / F.lit(100)).cast("decimal(20,2)"))
+        def part(rest: Column, unit: str) -> Column:
+            return once(F.regexp_extract(rest, digit + unit, 1), lambda found: F.when(found != "", F.element_at(values, found)).otherwise(_zero()))
+
+        return capital_integer(whole) * F.lit(100) + once(rest, lambda rest: part(rest, "角") * F.lit(10) + part(rest, "分"))
+
+    body = strip(F.translate(F.regexp_replace(half_width(value), "人民币", ""), "圆圓整正", "元元"))
+    return once(body, lambda body: F.when(body != "", (cents_of(body).cast("decimal(22,0)") / F.lit(100)).cast("decimal(20,2)")))
 
 
 def parse_date(value: str | Column) -> Column:
     """Date in one of the four accepted layouts, null otherwise."""
-    body = strip(half_width(value))
     layouts = [
         (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
         (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
         (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"),
         (r"^\d{8}$", "yyyyMMdd"),
     ]
-    return F.coalesce(*[F.when(body.rlike(shape), F.try_to_date(body, layout)) for shape, layout in layouts])
+    return once(strip(half_width(value)), lambda body: F.coalesce(*[F.when(body.rlike(shape), F.try_to_date(body, layout)) for shape, layout in layouts]))
 
 
 def capital_date_forms() -> list[tuple[int, int, str]]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rulegrain.functions import vocab as V
 from rulegrain.functions.numbers import capital_amount, capital_date_forms, numeric_amount, parse_date
-from rulegrain.functions.text import comparison_form, half_width, has_any, non_blank, strip, text
+from rulegrain.functions.text import comparison_form, half_width, has_any, non_blank, strip, text, words
 
 
 def _result(status: str | Column, reason: str | Column) -> Column:
@@ -25,13 +25,13 @@ def plain_number(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def date_forms() -> Column:
-    """Accepted capital spellings by month*100 + day: a literal map of 366 entries, no join."""
+def date_forms(day: Column) -> Column:
+    """Accepted capital spellings of a date's month and day: a place in a literal list of 12 times 31, no join and no search."""
     forms: dict[int, list[str]] = {}
-    for month, day, spelling in capital_date_forms():
-        forms.setdefault(month * 100 + day, []).append(spelling)
-    parts = [part for key, values in forms.items() for part in (F.lit(key), F.array(*[F.lit(value) for value in values]))]
-    return F.create_map(*parts)
+    for month, number, spelling in capital_date_forms():
+        forms.setdefault((month - 1) * 31 + number - 1, []).append(spelling)
+    listed = F.array(*[words(forms.get(at, [])) for at in range(12 * 31)])
+    return F.get(listed, (F.month(day) - 1) * 31 + F.dayofmonth(day) - 1)
 
 
 def payload_checks(payloads: DataFrame, max_days: int = 10) -> DataFrame:
@@ -50,7 +50,7 @@ def payload_checks(payloads: DataFrame, max_days: int = 10) -> DataFrame:
         .withColumn("amount", numeric_amount("amount_numeric")).withColumn("upper_text", strip("amount_upper"))
         .withColumn("upper", capital_amount("amount_upper")).withColumn("seals", signatures)
         .withColumn("spelled_norm", comparison_form("issue_date_chinese"))
-        .withColumn("forms", F.element_at(date_forms(), F.month("issued") * 100 + F.dayofmonth("issued")))
+        .withColumn("forms", date_forms(F.col("issued")))
     )
     days = F.abs(F.datediff("cored", "issued"))
     within = F.when(F.col("issued").isNull() | F.col("cored").isNull(), _result("SKIP", "缺少 issue_date 或 core_date。")).otherwise(
