@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,8 +20,8 @@ from rulegrain.llm.common import table, text_of
 #: Fixed value: how byte-level BPE vocabularies of this family cut text before merging.
 PATTERN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-_BLOCK = 1_000_000  # characters cut at once
-_REMEMBERED = 24_000_000  # characters of the pieces that a task remembers; some 100 bytes of memory each piece besides
+_BLOCK = 250_000  # characters cut at once
+_REMEMBERED = 32_000_000  # bytes of memory, by estimate, of the pieces that a task remembers
 
 
 def byte_letters() -> list[str]:
@@ -47,12 +49,12 @@ class Vocabulary:
         self.bytes_of.update({at: piece.encode() for piece, at in self.special.items()})
         self.width = max(self.bytes_of) + 1
         pairs = [tuple(pair.split(" ")) if isinstance(pair, str) else tuple(pair) for pair in model["merges"]]
-        codes = np.array([ids[left] * self.width + ids[right] for left, right in pairs], dtype=np.int64)
-        order = np.argsort(codes, kind="stable")
-        self.codes, self.ranks = codes[order], order
         self.left = np.array([ids[left] for left, _ in pairs], dtype=np.int64)
         self.right = np.array([ids[right] for _, right in pairs], dtype=np.int64)
         self.merged = np.array([ids[left + right] for left, right in pairs], dtype=np.int64)
+        codes = self.left * self.width + self.right
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.ranks = codes[order], order
         self.special_cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -165,28 +167,63 @@ def pieces_of(text: str, vocabulary: Vocabulary) -> Iterator[list[str]]:
 
 
 class Coder:
-    """Remembers pieces already merged by this task and ends with it; new ones of a group of texts are merged together."""
+    """Remembers pieces already merged by this task and ends with it; new ones of a group of texts are merged together.
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    Pieces are held in two generations, and those in use move to the younger one: when it is full, the elder one is forgotten.
+    With ``spells``, the decimal ids and decoded bytes of a piece are held in place of its ids.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, spells: bool = False) -> None:
         self.vocabulary = vocabulary
+        self.spells = spells
         self.held = 0
-        self.ids: dict[str, tuple[int, ...]] = {}
+        self.ids: dict[str, array] = {}
         self.spelled: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
+        self.elder: tuple[dict, dict, dict] = ({}, {}, {})
+
+    def known(self) -> dict:
+        return self.spelled if self.spells else self.ids
 
     def learn(self, pieces: Iterable[str]) -> None:
-        special = self.vocabulary.special
-        new = [piece for piece in pieces if piece not in self.ids]
-        plain = [piece for piece in new if piece not in special]
-        found = merge_pieces([piece.encode("utf-8", "surrogatepass") for piece in plain], self.vocabulary)
-        self.ids.update(zip(plain, map(tuple, found), strict=True))
-        self.ids.update({piece: (special[piece],) for piece in new if piece in special})
-        for piece in new:
-            self.spelled[piece] = ",".join(map(str, self.ids[piece]))
-            self.decoded[piece] = b"".join(map(self.vocabulary.bytes_of.__getitem__, self.ids[piece]))
+        """All pieces are known after this."""
+        known = self.known()
+        missing = [piece for piece in pieces if piece not in known]
+        mine = (self.ids, self.spelled, self.decoded)
+        for before, now in zip(self.elder, mine, strict=True):
+            now.update((piece, before.pop(piece)) for piece in missing if piece in before)
+        new: list[str] = []
+        size = 0
+        for piece in missing:
+            self.held += 8 * len(piece) + 300
+            if piece in known:
+                continue
+            if piece in self.vocabulary.special:
+                self.keep(piece, [self.vocabulary.special[piece]])
+                continue
+            new.append(piece)
+            size += len(piece)
+            if size >= _BLOCK:
+                self.merge(new)
+                new, size = [], 0
+        self.merge(new)
+
+    def merge(self, pieces: list[str]) -> None:
+        for piece, ids in zip(pieces, merge_pieces([piece.encode("utf-8", "surrogatepass") for piece in pieces], self.vocabulary), strict=True):
+            self.keep(piece, ids)
+
+    def keep(self, piece: str, ids: list[int]) -> None:
+        if self.spells:
+            self.spelled[piece] = ",".join(map(str, ids))
+            self.decoded[piece] = b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+        else:
+            self.ids[piece] = array("l", ids)
 
     def cut_all(self, texts: list[str]) -> Iterator[list[str]]:
         """The pieces of each text, all of them learnt; equal pieces share one string."""
+        if self.held > _REMEMBERED // 2:
+            self.elder, self.held = (self.ids, self.spelled, self.decoded), 0
+            self.ids, self.spelled, self.decoded = {}, {}, {}
         same: dict[str, str] = {}
         cut = []
         for text in texts:
@@ -194,16 +231,11 @@ class Coder:
             for block in pieces_of(text, self.vocabulary):
                 pieces.extend(map(same.setdefault, block, block))
             cut.append(pieces)
-        size = sum(len(piece) + 40 for piece in same if piece not in self.ids)
-        if self.held + size > _REMEMBERED:
-            self.ids, self.spelled, self.decoded, self.held = {}, {}, {}, 0
-            size = sum(len(piece) + 40 for piece in same)
-        self.held += size
         self.learn(same)
         yield from cut
 
 
-def text_groups(texts: list[str], characters: int = 8 * _BLOCK) -> Iterator[list[str]]:
+def text_groups(texts: Iterable[str], characters: int = 16 * _BLOCK) -> Iterator[list[str]]:
     """Runs of texts of about so many characters, so that the pieces held at once are bounded."""
     group, size = [], 0
     for text in texts:
@@ -264,24 +296,26 @@ def round_trips(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
 
     The ids and decoded bytes of a piece are looked up, so a text costs two joins over its pieces.
     """
-    found = vocabulary_path(path)
+    vocabulary = load(vocabulary_path(path))  # read on the driver: tasks get its arrays, not the file's parse
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(load(found))
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(vocabulary, spells=True)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             counts, ids_hashes, text_hashes = [], [], []
-            for group in text_groups(list(batch["text"])):
+            for group in text_groups(value.as_py() for value in batch.column(1)):
                 for pieces in coder.cut_all(group):
                     ids = ",".join(map(coder.spelled.__getitem__, pieces))
                     counts.append(ids.count(",") + bool(ids))
                     ids_hashes.append(sha(ids.encode()))
                     text_hashes.append(sha(b"".join(map(coder.decoded.__getitem__, pieces)).decode("utf-8", "replace").encode()))
-            yield pd.DataFrame({"id": batch["id"], "n_tokens": counts, "ids_sha256": ids_hashes, "decoded_sha256": text_hashes})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hashes, pa.string()), pa.array(text_hashes, pa.string())],
+                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(digest, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(digest, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

@@ -131,6 +131,19 @@ def test_bpe_equals_the_library(docs, empty):
     assert bpe.round_trips(empty, path).isEmpty()
 
 
+def test_bpe_holds_a_bounded_memory_of_pieces(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    vocabulary = bpe.load(public.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(bpe, "_REMEMBERED", 20_000)
+    coder, whole = bpe.Coder(vocabulary, spells=True), bpe.Coder(vocabulary)
+    for n in range(200):
+        text = f"the q{n * 7919}z w{n}"
+        pieces = next(coder.cut_all([text]))
+        assert [coder.spelled[piece] for piece in pieces] == [",".join(map(str, whole.ids[piece])) for piece in next(whole.cut_all([text]))]
+        assert b"".join(coder.decoded[piece] for piece in pieces).decode() == text
+        assert not coder.ids and len(coder.spelled) + len(coder.elder[1]) < 100
+
+
 def spans(text):
     kinds = [
         ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
