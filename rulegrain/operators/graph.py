@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rulegrain.functions import vocab as V
 from rulegrain.functions.text import has_any, strip, text, words
 from rulegrain.operators.scale import broadcast_if_small, top_rows
+from rulegrain.session import cut_lineage
 
 NODE_TYPES = ["board", "category", "module", "scene", "atom", "actor", "object", "time_context"]
 EDGE_TYPES = [
@@ -68,7 +70,10 @@ def atom_nodes(atoms: DataFrame) -> DataFrame:
         node_id("ATOM", "atom_id").alias("id"), F.lit("atom").alias("type"), "atom_id", *[F.col(name) for name in keep],
         F.col("row_no").alias("seq"),
     )
-    return latest(rows, ["id"], ["seq"])
+    # ids are mostly unique: only rows that repeat one are shuffled whole
+    repeated = broadcast_if_small(cut_lineage(rows.groupBy("id").agg(F.count("*").alias("rows")).filter(F.col("rows") > 1).select("id")))
+    single = rows.join(repeated, "id", "left_anti").drop("seq")
+    return single.unionByName(latest(rows.join(repeated, "id", "left_semi"), ["id"], ["seq"]))
 
 
 def entity_nodes(kind: str, links: DataFrame) -> DataFrame:
@@ -82,13 +87,24 @@ def entity_nodes(kind: str, links: DataFrame) -> DataFrame:
     return latest(rows, ["id"], order)
 
 
-def build_nodes(modules: DataFrame, scenes: DataFrame, atoms: DataFrame, links: dict[str, DataFrame]) -> DataFrame:
-    parts = [taxonomy_nodes(modules, scenes), atom_nodes(atoms), *[entity_nodes(kind, rows) for kind, rows in links.items()]]
+def node_parts(modules: DataFrame, scenes: DataFrame, atoms: DataFrame, links: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Nodes by type; ``taxonomy`` holds boards, categories, modules and scenes."""
+    parts = {"taxonomy": taxonomy_nodes(modules, scenes), "atom": atom_nodes(atoms)}
+    return {**parts, **{ENTITY_KINDS[kind][0]: entity_nodes(kind, rows) for kind, rows in links.items()}}
+
+
+def together(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def build_edges(modules: DataFrame, scenes: DataFrame, atoms: DataFrame, links: dict[str, DataFrame], matches: DataFrame) -> DataFrame:
-    """Edges keyed by (source, target, type) with nullable score, matched_terms, atom_count."""
+def build_nodes(modules: DataFrame, scenes: DataFrame, atoms: DataFrame, links: dict[str, DataFrame]) -> DataFrame:
+    return together(node_parts(modules, scenes, atoms, links).values())
+
+
+def edge_parts(
+    modules: DataFrame, scenes: DataFrame, atoms: DataFrame, links: dict[str, DataFrame], matches: DataFrame | None,
+) -> dict[str, DataFrame]:
+    """Edges by type; without ``matches`` those that come from them are left out."""
 
     def edge(rows: DataFrame, source: Column, target: Column, kind: str, **props: str) -> DataFrame:
         return rows.select(
@@ -98,20 +114,29 @@ def build_edges(modules: DataFrame, scenes: DataFrame, atoms: DataFrame, links:
 
     board, category = node_id("BOARD", "section"), node_id("CATEGORY", "section", "category")
     module, atom = node_id("MODULE", "code"), node_id("ATOM", "atom_id")
-    parts = [
-        edge(modules, board, category, "HAS_CATEGORY").distinct(),
-        edge(modules, category, module, "HAS_MODULE").distinct(),
-        edge(scenes, node_id("MODULE", "module_code"), node_id("SCENE", "scene_key"), "HAS_SCENE").distinct(),
-        edge(atoms.select("atom_id", F.explode("label_codes").alias("code")), atom, module, "TAGGED_AS").distinct(),
-        edge(matches, atom, node_id("SCENE", "scene_key"), "MATCHES_SCENE", score="score", matched_terms="matched_terms"),
-    ]
+    tagged = atoms.select("atom_id", F.explode("label_codes").alias("code")).distinct()
+    parts = {
+        "HAS_CATEGORY": edge(modules, board, category, "HAS_CATEGORY").distinct(),
+        "HAS_MODULE": edge(modules, category, module, "HAS_MODULE").distinct(),
+        "HAS_SCENE": edge(scenes, node_id("MODULE", "module_code"), node_id("SCENE", "scene_key"), "HAS_SCENE").distinct(),
+        "TAGGED_AS": edge(tagged, atom, module, "TAGGED_AS"),
+    }
+    if matches is not None:
+        parts["MATCHES_SCENE"] = edge(matches, atom, node_id("SCENE", "scene_key"), "MATCHES_SCENE", score="score", matched_terms="matched_terms")
     for kind, rows in links.items():
         _, prefix, from_atom, from_scene = ENTITY_KINDS[kind]
-        named = rows.select("atom_id", F.col("record.name").alias("name")).distinct()
-        parts.append(edge(named, atom, node_id(prefix, "name"), from_atom))
-        counted = matches.select("atom_id", "scene_key").join(named, "atom_id").groupBy("scene_key", "name").agg(F.count("*").alias("atom_count"))
-        parts.append(edge(counted, node_id("SCENE", "scene_key"), node_id(prefix, "name"), from_scene, atom_count="atom_count"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        # placed by atom once, for the distinct pairs and for the join with the matches
+        named = rows.select("atom_id", F.col("record.name").alias("name")).repartition("atom_id").distinct()
+        parts[from_atom] = edge(named, atom, node_id(prefix, "name"), from_atom)
+        if matches is not None:
+            counted = matches.select("atom_id", "scene_key").join(named, "atom_id").groupBy("scene_key", "name").agg(F.count("*").alias("atom_count"))
+            parts[from_scene] = edge(counted, node_id("SCENE", "scene_key"), node_id(prefix, "name"), from_scene, atom_count="atom_count")
+    return parts
+
+
+def build_edges(modules: DataFrame, scenes: DataFrame, atoms: DataFrame, links: dict[str, DataFrame], matches: DataFrame) -> DataFrame:
+    """Edges keyed by (source, target, type) with nullable score, matched_terms, atom_count."""
+    return together(edge_parts(modules, scenes, atoms, links, matches).values())
 
 
 def rule_graph(rules: DataFrame, alignments: DataFrame, atoms: DataFrame) -> dict[str, DataFrame]:
@@ -160,7 +185,7 @@ def category_overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     of_category = _ends(edges, "HAS_MODULE", "category", "module")
     atoms = of_category.join(tagged, "module").select("category", "atom").distinct().groupBy("category").agg(F.count("*").alias("atom_count"))
     modules = of_category.groupBy("category").agg(F.countDistinct("module").alias("module_count"))
-    names = nodes.select("id", "name")
+    names = nodes.filter(F.col("type").isin("board", "category")).select("id", "name")
     return (
         _ends(edges, "HAS_CATEGORY", "board", "category").join(modules, "category", "left").join(atoms, "category", "left")
         .fillna(0, ["module_count", "atom_count"])

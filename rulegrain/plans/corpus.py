@@ -36,14 +36,19 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A pipeline stage that later stages share: computed once per session and written out."""
+def memo(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is planned once per session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        _STORED[key] = cut_lineage(build())
+        _STORED[key] = build()
     return _STORED[key]
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A pipeline stage that later stages share: computed once per session and written out."""
+    return memo(spark, sf_dir, name, lambda: cut_lineage(build()))
+
+
 def ansi(sql: str) -> str:
     """The same text for the oracle, where base tables are views of that name."""
     for name in TABLES:
