@@ -1,12 +1,17 @@
 """Clause alignment: which rule text belongs to which clause, by character overlap.
 
-One side is always a curated list (clauses, citations). It is packed into bounded arrays per
-document and travels to the large side, whose rows score it in place: only results leave a row,
-and a document with very many rules stays spread over its partitions.
+One side is always a curated list (clauses, citations). It travels to the large side, whose rows
+score it in place: only results leave a task, and a document with very many rules stays spread over
+its partitions. A list within a checked size is scored a block of rows at a time, as products of
+character counts; a larger one is packed into bounded arrays per document. Both give the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulegrain.functions import vocab as V
@@ -14,9 +19,136 @@ from rulegrain.functions.text import article_hint, comparison_form, infer_rule_t
 from rulegrain.operators.scale import broadcast_if_small, number_rows, size_checked, spread_join, top_rows
 
 PACK_ROWS = 256
+BLOCK_ROWS = 1024
+BLOCK_CHARACTERS = 1_000_000
+BLOCK_LIST = {"max_rows": 10_000, "max_bytes": 8 * 1024 * 1024}  # a task holds the letter counts of the whole list
 THRESHOLD = 0.45
 
 
+class _Pack:
+    """Up to ``PACK_ROWS`` curated texts, compared with many texts at once."""
+
+    def __init__(self, texts: list[str]):
+        import ahocorasick
+
+        self.size, self.lengths = len(texts), np.array([len(value) for value in texts])
+        self.texts, self.joined, self.longest = texts, "\n".join(texts), max(map(len, texts))  # a normal form has no line ends
+        letters = np.unique(self._codes(texts))
+        self.letters = len(letters)
+        self.place = np.full(int(letters.max(initial=0)) + 2, self.letters, dtype=np.int32)
+        self.place[letters] = np.arange(self.letters)
+        self.counts = self._counted(texts)
+        places: dict[str, list[int]] = {}
+        for at, value in enumerate(texts):
+            places.setdefault(value, []).append(at)
+        self.blank = places.pop("", [])
+        self.automaton = ahocorasick.Automaton()
+        for value, held in places.items():
+            self.automaton.add_word(value, held)
+        if places:
+            self.automaton.make_automaton()
+
+    @staticmethod
+    def _codes(texts: list[str]) -> np.ndarray:
+        return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+
+    def _counted(self, texts: list[str]) -> np.ndarray:
+        """How often each text has each letter of the pack; letters the pack lacks are left out."""
+        wide = self.letters + 1
+        row = np.repeat(np.arange(len(texts)), [len(value) for value in texts])
+        found = np.bincount(row * wide + self.place[np.minimum(self._codes(texts), len(self.place) - 1)], minlength=len(texts) * wide)
+        return found.reshape(len(texts), wide)[:, : self.letters].astype(np.float64)
+
+    def inside(self, texts: list[str]) -> np.ndarray:
+        """Where one of the two texts contains the other."""
+        out = np.zeros((len(texts), self.size), dtype=bool)
+        out[:, self.blank] = True
+        for row, value in enumerate(texts):
+            if len(self.automaton):
+                for _, held in self.automaton.iter(value):
+                    out[row, held] = True
+            if len(value) <= self.longest and value in self.joined:
+                out[row] |= [value in other for other in self.texts]
+        return out
+
+    def scores(self, texts: list[str], inside: np.ndarray, text_left: bool) -> np.ndarray:
+        """:func:`overlap_score` of each text with each of the pack, the text or the pack's as the left one."""
+        counts, lengths = self._counted(texts), np.array([len(value) for value in texts])
+        if text_left:
+            shared, left = counts @ (self.counts > 0).T.astype(np.float64), lengths[:, None]
+        else:
+            shared, left = (counts > 0).astype(np.float64) @ self.counts.T, self.lengths[None, :]
+        score = np.minimum(1.0, shared / np.maximum(left, 1) * 0.8 + np.where(inside, 0.2, 0.0))
+        return np.where((lengths[:, None] == 0) | (self.lengths[None, :] == 0), 0.0, score)
+
+
+def _listed(curated: DataFrame, doc: str, norm: str, fields: list[str]) -> list[tuple] | None:
+    """(document, normal form, fields) of the curated rows in order of the fields, or None beyond ``BLOCK_LIST``."""
+    rows = curated.filter(F.col(doc).isNotNull()).select(doc, norm, *fields)
+    order = lambda row: tuple((value is not None, value) for value in (*row[2:], *row[:2]))
+    return sorted((tuple(row) for row in rows.collect()), key=order) if size_checked(rows, **BLOCK_LIST) else None
+
+
+def _scored_in_blocks(
+    many: DataFrame, listed: list[tuple], row_id: str, doc: str, norm: str, kinds: str, choose: Callable[[_Pack, list[str], list[tuple]], tuple[np.ndarray, ...]],
+) -> DataFrame:
+    """(row id, curated fields, what ``choose`` finds) for each pair that ``choose`` picks.
+
+    ``choose`` gets a pack, texts and the pack's curated rows; it returns row places, pack places and further columns, whose types ``kinds`` names.
+    """
+    rows = many.select(row_id, doc, norm)
+    id_kind = rows.schema[row_id].dataType.simpleString()
+    schema = f"{row_id} {id_kind}, _at int, {kinds}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs: dict[str, list[tuple[_Pack, int, list[tuple]]]] = {}
+
+        def packs_of(name: str):
+            if name not in packs:
+                places = [at for at, row in enumerate(listed) if row[0] == name]
+                packs[name] = [
+                    (_Pack([listed[at][1] for at in part]), np.array(part, dtype=np.int32), [listed[at] for at in part])
+                    for part in (places[start : start + PACK_ROWS] for start in range(0, len(places), PACK_ROWS))]
+            return packs[name]
+
+        for batch in batches:
+            ids, names, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            groups: dict[str, list[int]] = {}
+            for at, name in enumerate(names):
+                groups.setdefault(name, []).append(at)
+            for name, held in groups.items():
+                for block in _blocks(held, texts):
+                    mine = [texts[at] for at in block]
+                    for pack, places, known in packs_of(name):
+                        row, place, *values = choose(pack, mine, known)
+                        if len(row):
+                            yield pa.RecordBatch.from_arrays(
+                                [ids.take(pa.array(np.array(block)[row])), pa.array(places[place]), *[pa.array(value) for value in values]],
+                                names=[row_id, "_at", *[kind.split()[0] for kind in kinds.split(", ")]])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _blocks(held: list[int], texts: list[str]) -> Iterator[list[int]]:
+    """The rows in blocks of bounded count and length."""
+    block, size = [], 0
+    for at in held:
+        if block and (len(block) >= BLOCK_ROWS or size + len(texts[at]) > BLOCK_CHARACTERS):
+            yield block
+            block, size = [], 0
+        block.append(at)
+        size += len(texts[at])
+    if block:
+        yield block
+
+
+def _named(found: DataFrame, listed: list[tuple], curated: DataFrame, fields: list[str]) -> DataFrame:
+    """Curated fields in place of a place in the list."""
+    schema = "_at int, " + ", ".join(f"{name} {curated.schema[name].dataType.simpleString()}" for name in fields)
+    known = found.sparkSession.createDataFrame([(at, *row[2:]) for at, row in enumerate(listed)], schema)
+    return found.join(F.broadcast(known), "_at").drop("_at")  # size checked
+
+
 def _packed(curated: DataFrame, doc: str, fields: list[str]) -> DataFrame:
     """Curated rows of each document in arrays of about ``PACK_ROWS`` members."""
     sizes = curated.groupBy(doc).agg(F.ceil(F.count("*") / PACK_ROWS).cast("int").alias("_packs"))
@@ -38,16 +170,30 @@ def sample_links(atoms: DataFrame, clauses: DataFrame, threshold: float = THRESH
     the atom as left text.
     """
     ready = clauses.withColumn("norm", comparison_form("matched_segment_text"))
-    packs = _packed(ready, "document_name", ["clause_no", "segment_id", "rule_id", "norm"])
     left = atoms.filter((text("source_document") != "") & (text("content_original") != "")).select(
         "atom_id", "source_document", comparison_form("content_original").alias("content_norm"))
+    fields = ["clause_no", "segment_id", "rule_id"]
+    listed = _listed(ready, "document_name", "norm", fields)
+    if listed is not None:
+        # the list is in order of clause number, which settles ties
+        def best_of(pack: _Pack, texts: list[str], known: list[tuple]) -> tuple[np.ndarray, ...]:
+            scores = pack.scores(texts, pack.inside(texts), True)
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :top]
+            kept = np.take_along_axis(scores, order, axis=1)
+            row, at = np.nonzero(kept >= threshold)
+            return row, order[row, at], kept[row, at]
+
+        rows = _named(_scored_in_blocks(left, listed, "atom_id", "source_document", "content_norm", "score double", best_of), listed, ready, fields)
+        best = top_rows(rows, ["atom_id"], [F.desc("score"), F.col("clause_no"), F.col("segment_id"), F.col("rule_id")], top)
+        return best.select("atom_id", "rule_id", "segment_id", F.round("score", 4).alias("score"), "rank")
+    packs = _packed(ready, "document_name", ["clause_no", "segment_id", "rule_id", "norm"])
     met = _meet(left, "source_document", "atom_id", packs)
     scored = F.transform("pack", lambda clause: F.struct(
         overlap_score(F.col("content_norm"), clause["norm"], normalised=True).alias("score"), clause["clause_no"].alias("clause_no"),
         clause["segment_id"].alias("segment_id"), clause["rule_id"].alias("rule_id")))
     good = F.filter(scored, lambda item: item["score"] >= threshold)
     rows = met.select("atom_id", F.explode(good).alias("s")).select("atom_id", "s.*")
-    best = top_rows(rows, ["atom_id"], [F.desc("score"), F.col("clause_no")], top)
+    best = top_rows(rows, ["atom_id"], [F.desc("score"), F.col("clause_no"), F.col("segment_id"), F.col("rule_id")], top)
     return best.select("atom_id", "rule_id", "segment_id", F.round("score", 4).alias("score"), "rank")
 
 
@@ -56,8 +202,30 @@ def align_atoms(segments: DataFrame, atoms: DataFrame, threshold: float = THRESH
 
     ``segments`` has segment_id, doc, text. Scores use the segment as left text.
     """
-    packs = _packed(segments.withColumn("norm", comparison_form("text")), "doc", ["segment_id", "norm"])
+    ready = segments.withColumn("norm", comparison_form("text"))
     right = atoms.select("atom_id", "source_document", comparison_form("content_original").alias("content_norm"))
+    listed = _listed(ready, "doc", "norm", ["segment_id"])
+    if listed is not None:
+        def hits_of(inside: np.ndarray, texts: list[str]) -> np.ndarray:
+            return inside & np.array([value != "" for value in texts])[:, None]
+
+        def met_places(pack: _Pack, texts: list[str], known: list[tuple]) -> tuple[np.ndarray, ...]:
+            places = np.nonzero(hits_of(pack.inside(texts), texts).any(axis=0))[0]
+            return np.zeros(len(places), dtype=int), places, np.ones(len(places), dtype=bool)
+
+        met = _scored_in_blocks(right, listed, "atom_id", "source_document", "content_norm", "hit boolean", met_places)
+        with_hits = {listed[row["_at"]][2] for row in met.select("_at").distinct().collect()}  # at most the curated rows
+
+        def useful_of(pack: _Pack, texts: list[str], known: list[tuple]) -> tuple[np.ndarray, ...]:
+            inside = pack.inside(texts)
+            hit, scores = hits_of(inside, texts), pack.scores(texts, inside, False)
+            lonely = np.array([row[2] not in with_hits for row in known])
+            row, at = np.nonzero(hit | (lonely[None, :] & (scores >= threshold)))
+            return row, at, scores[row, at]
+
+        rows = _scored_in_blocks(right, listed, "atom_id", "source_document", "content_norm", "score double", useful_of)
+        return _named(rows, listed, ready, ["segment_id"]).select("segment_id", "atom_id", "score")
+    packs = _packed(ready, "doc", ["segment_id", "norm"])
     met = _meet(right, "source_document", "atom_id", packs)
     body = F.col("content_norm")
     scored = F.transform("pack", lambda segment: F.struct(
