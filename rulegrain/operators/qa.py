@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -70,11 +71,28 @@ def with_question_terms(questions: DataFrame, known: Dictionaries) -> DataFrame:
     return cut_lineage(typed.withColumn("several_intents", several_intents(F.col("question"))))  # read by every later step
 
 
+# ------------------------------------------------------------------ equal questions
+SAID = ["question", "query", "who"]
+
+
+def once_per_question(questions: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``build`` makes of each question; questions that say the same are built once and stored once.
+
+    ``build`` gets and returns a ``query_id`` that stands for all ids with that wording.
+    """
+    told = cut_lineage(questions.select(*SAID).distinct().withColumn("query_id", F.monotonically_increasing_id().cast("string")))
+    built = cut_lineage(build(told)).withColumnRenamed("query_id", "_told")
+    spoken = told.select(F.col("query_id").alias("_told"), *[F.col(name).alias(f"_{name}") for name in SAID])
+    same = reduce(lambda left, right: left & right, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in SAID])
+    ids = questions.select("query_id", *SAID).join(broadcast_if_small(spoken), same).select("query_id", "_told")
+    return ids.join(broadcast_if_small(built), "_told").drop("_told")
+
+
 # ------------------------------------------------------------------ retrieval (H4-H6)
 def _by_name(links: DataFrame) -> DataFrame:
-    """(name, atom_id) under the name and the normalised name."""
+    """(name, atom_id) under the name and the normalised name; pairs may repeat."""
     names = F.array_distinct(F.array("name", F.coalesce("normalized_name", "name")))
-    return links.select("atom_id", F.explode(names).alias("name")).distinct()
+    return links.select("atom_id", F.explode(names).alias("name"))
 
 
 def retrieve(questions: DataFrame, atoms: DataFrame, links: dict[str, DataFrame], scene_atoms: DataFrame, limit: int = V.MAX_FORMAL_ATOMS + 1) -> DataFrame:
@@ -82,59 +100,56 @@ def retrieve(questions: DataFrame, atoms: DataFrame, links: dict[str, DataFrame]
 
     Questions that look for the same things share one retrieval, so a question asked a million
     times costs one lookup. ``links`` maps actor, object, time to (atom_id, name, normalized_name).
+    Candidates are ranked by the few fields that decide; only those that stay meet their full atoms.
     """
     asked = questions.withColumn("wanted", F.md5(F.to_json(F.struct("question_type", "actors", "objects", "times"))))
-    sets = cut_lineage(asked.select("wanted", "question_type", "actors", "objects", "times").dropDuplicates(["wanted"]))
+    sets = cut_lineage(asked.select("wanted", "question_type", "actors", "objects", "times").dropDuplicates(["wanted"]).withColumn("_set", F.monotonically_increasing_id()))
 
-    def reached(rows: DataFrame, terms: str, kind: str) -> DataFrame:
-        return rows.select("wanted", F.explode(terms).alias("name")).join(_by_name(links[kind]), "name").select("wanted", "atom_id").distinct()
+    def met(rows: DataFrame, **kinds: str) -> DataFrame:
+        """(_set, atom_id) with a flag per kind: whether a term of that kind leads to the atom."""
+        parts = [
+            broadcast_if_small(rows.select("_set", F.explode(terms).alias("name"))).join(_by_name(links[kind]), "name").select(
+                "_set", "atom_id", *[F.lit(kind == other).alias(f"{other}_match") for other in kinds])
+            for kind, terms in kinds.items()]
+        return reduce(DataFrame.unionByName, parts).groupBy("_set", "atom_id").agg(*[F.max(f"{kind}_match").alias(f"{kind}_match") for kind in kinds])
 
-    flagged = lambda rows, flag: rows.withColumn(flag, F.lit(True))
-    ordered_fields = ["source_document", "article_reference"]
-    info = atoms.select(*ATOM_FIELDS)
+    info = atoms.select(*ATOM_FIELDS).withColumn("_body", F.xxhash64(*ATOM_FIELDS))
     scenes = scene_atoms.select("atom_id").distinct().withColumn("in_scene", F.lit(True))
+    decisive = info.select("atom_id", "_body", "rule_type", "source_document", "article_reference").join(scenes, "atom_id", "left")
+    decisive = decisive.withColumn("has_scene_match", F.coalesce("in_scene", F.lit(False))).drop("in_scene")
+    count = lambda name: F.col(name).cast("int")
+    fields = ["_set", "atom_id", "answer_actor", "answer_object", "actor_match", "object_match", "time_match", "match_count", "last"]
 
-    def finish(rows: DataFrame, last: str) -> DataFrame:
-        full = rows.join(info, "atom_id").join(scenes, "atom_id", "left").withColumn("has_scene_match", F.coalesce("in_scene", F.lit(False)))
-        order = [F.desc("has_scene_match"), F.desc("match_count"), *[F.col(name) for name in ordered_fields], F.col(last), F.col("atom_id")]
-        return top_rows(full.drop("in_scene"), ["wanted"], order, limit)
-
-    def filled(rows: DataFrame, *flags: str) -> DataFrame:
-        return rows.fillna(False, list(flags))
+    def of_type(rows: DataFrame, types: list[str]) -> DataFrame:
+        return rows.join(decisive.filter(F.col("rule_type").isin(types)), "atom_id").drop("rule_type")
 
     # A: actor and (object or time)
-    a_sets = sets.filter(F.col("question_type") == "A")
-    allowed = info.filter(F.col("rule_type").isin(V.TYPE_A_RULE_TYPES)).select("atom_id")
-    by_object = flagged(reached(a_sets, "objects", "object"), "object_match")
-    by_time = flagged(reached(a_sets, "times", "time"), "time_match")
-    second = filled(by_object.join(by_time, ["wanted", "atom_id"], "full_outer"), "object_match", "time_match")
-    a_rows = second.join(reached(a_sets, "actors", "actor"), ["wanted", "atom_id"], "left_semi").join(allowed, "atom_id", "left_semi")
-    count = lambda name: F.col(name).cast("int")
-    a_rows = a_rows.select("wanted", "atom_id", F.lit("").alias("answer_actor"), F.lit("").alias("answer_object"), F.lit(True).alias("actor_match"),
-                           "object_match", "time_match", (F.lit(1) + count("object_match") + count("time_match")).alias("match_count"))
+    a_sets = sets.filter((F.col("question_type") == "A") & (F.size("actors") > 0))
+    a_rows = met(a_sets, object="objects", time="times", actor="actors").filter(F.col("actor_match") & (F.col("object_match") | F.col("time_match")))
+    a_rows = a_rows.withColumn("match_count", F.lit(1) + count("object_match") + count("time_match"))
+    a_rows = of_type(a_rows.withColumns({"answer_actor": F.lit(""), "answer_object": F.lit(""), "last": F.lit("")}).select(*fields), V.TYPE_A_RULE_TYPES)
     # B: object to every actor of its atoms
-    b_sets = sets.filter(F.col("question_type") == "B")
-    b_allowed = info.filter(F.col("rule_type").isin(V.TYPE_B_RULE_TYPES)).select("atom_id")
+    b_sets = sets.filter((F.col("question_type") == "B") & (F.size("objects") > 0))
     actors = links["actor"].select("atom_id", F.coalesce("normalized_name", "name").alias("answer_actor")).distinct()
-    b_time = flagged(reached(b_sets, "times", "time"), "time_match")
-    b_rows = filled(
-        reached(b_sets, "objects", "object").join(b_allowed, "atom_id", "left_semi").join(b_time, ["wanted", "atom_id"], "left"), "time_match"
-    ).join(actors, "atom_id").select(
-        "wanted", "atom_id", "answer_actor", F.lit("").alias("answer_object"), F.lit(False).alias("actor_match"), F.lit(True).alias("object_match"),
-        "time_match", (F.lit(1) + count("time_match")).alias("match_count"))
+    b_rows = of_type(met(b_sets, object="objects", time="times").filter("object_match"), V.TYPE_B_RULE_TYPES).join(actors, "atom_id")
+    b_rows = b_rows.withColumns({
+        "answer_object": F.lit(""), "actor_match": F.lit(False), "match_count": F.lit(1) + count("time_match"), "last": F.col("answer_actor")})
     # C: object to its definitions
-    c_sets = sets.filter(F.col("question_type") == "C")
-    c_allowed = info.filter(F.col("rule_type").isin(V.TYPE_C_RULE_TYPES)).select("atom_id")
+    c_sets = sets.filter(F.col("question_type") == "C").select("_set", F.explode("objects").alias("asked"))
     objects = links["object"].select("atom_id", "name", F.coalesce("normalized_name", "name").alias("answer_object"))
     by_either = objects.select("atom_id", "answer_object", F.explode(F.array_distinct(F.array("name", "answer_object"))).alias("asked"))
-    c_rows = c_sets.select("wanted", F.explode("objects").alias("asked")).join(by_either, "asked")
-    c_rows = c_rows.select("wanted", "atom_id", "answer_object").distinct().join(c_allowed, "atom_id", "left_semi").select(
-        "wanted", "atom_id", F.lit("").alias("answer_actor"), "answer_object", F.lit(False).alias("actor_match"), F.lit(True).alias("object_match"),
-        F.lit(False).alias("time_match"), F.lit(1).alias("match_count"))
-    picked = cut_lineage(finish(a_rows, "atom_id").unionByName(finish(b_rows, "answer_actor")).unionByName(finish(c_rows, "answer_object")))
-    first_time = links["time"].join(broadcast_if_small(picked.select("atom_id").distinct()), "atom_id").groupBy("atom_id").agg(F.min("name").alias("first_time"))
-    picked = picked.join(first_time, "atom_id", "left").withColumn("first_time", F.coalesce("first_time", F.lit("")))
-    return asked.select("query_id", "wanted").join(picked, "wanted").drop("wanted")
+    c_rows = broadcast_if_small(c_sets).join(by_either, "asked").select("_set", "atom_id", "answer_object").distinct()
+    c_rows = of_type(c_rows, V.TYPE_C_RULE_TYPES).withColumns({
+        "answer_actor": F.lit(""), "actor_match": F.lit(False), "object_match": F.lit(True), "time_match": F.lit(False), "match_count": F.lit(1), "last": F.col("answer_object")})
+    ranked = a_rows.unionByName(b_rows.select(*a_rows.columns)).unionByName(c_rows.select(*a_rows.columns))
+    order = [F.desc("has_scene_match"), F.desc("match_count"), F.col("source_document"), F.col("article_reference"), F.col("last"), F.col("atom_id")]
+    picked = cut_lineage(top_rows(ranked, ["_set"], order, limit).drop("last", "source_document", "article_reference"))
+    ids = broadcast_if_small(picked.select("atom_id").distinct())
+    full = info.join(ids, "atom_id").distinct()  # equal rows of one id are counted by ``picked``
+    first_time = links["time"].join(ids, "atom_id").groupBy("atom_id").agg(F.min("name").alias("first_time"))
+    found = picked.join(full, ["atom_id", "_body"]).join(first_time, "atom_id", "left").withColumn("first_time", F.coalesce("first_time", F.lit("")))
+    found = cut_lineage(found.join(sets.select("_set", "wanted"), "_set").drop("_set", "_body"))
+    return asked.select("query_id", "wanted").join(broadcast_if_small(found), "wanted").drop("wanted")
 
 
 # ------------------------------------------------------------------ guards (H7-H11), on the atoms of one question
@@ -215,8 +230,17 @@ def answer_questions(
     """One row per question: route, fail reason, evidence and answers.
 
     ``questions`` has query_id (string), question, query, who. After retrieval a question owns at
-    most 13 atoms, kept in one array column: every guard is a filter inside the row.
+    most 13 atoms, kept in one array column: every guard is a filter inside the row. Equal questions
+    are answered once.
     """
+    return once_per_question(questions, lambda told: _answered(told, atoms, links, scene_atoms, known)).select("query_id", *ANSWER_FIELDS)
+
+
+ANSWER_FIELDS = [
+    "question", "query", "who", "question_type", "actors", "objects", "times", "fail_reason", "route", "confidence", "evidence_ids", "answers", "answer_count", "intent_reason"]
+
+
+def _answered(questions: DataFrame, atoms: DataFrame, links: dict[str, DataFrame], scene_atoms: DataFrame, known: Dictionaries) -> DataFrame:
     read = with_question_terms(questions, known)
     candidates = retrieve(read, atoms, links, scene_atoms)
     fields = [*ATOM_FIELDS, "answer_actor", "answer_object", "actor_match", "object_match", "time_match", "match_count", "has_scene_match", "first_time"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulegrain.functions import vocab as V
 from rulegrain.operators import align as A, decisions as D, entities as N, qa as Q, recall as R, segment as S, taxonomy as X
-from rulegrain.plans.corpus import ORACLE_LINES, ORDER_RULES, SEGMENT_ACTOR, SEGMENT_OBJECT, ansi, derive, stored, table
+from rulegrain.plans.corpus import ORACLE_LINES, ORDER_RULES, SEGMENT_ACTOR, SEGMENT_OBJECT, ansi, derive, memo, stored, table
 from rulegrain.plans.graph_queries import MATCHES, MODULES, classified_orders, modules_of, order_links, order_matches, order_rules
 
 QUERIES: dict = {}
@@ -177,22 +177,23 @@ SELECT CASE WHEN question LIKE '%谁负责%' THEN 'B' WHEN question LIKE '%是
 
 
 def _links(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    named = lambda rows: rows.select("atom_id", "record.name", "record.normalized_name").distinct()
-    return {kind: named(rows) for kind, rows in order_links(classified_orders(spark, sf_dir)).items()}
+    """Names of the order rules per kind, stored once; pairs may repeat."""
+    named = lambda rows: lambda: rows.select("atom_id", "record.name", "record.normalized_name")
+    return {kind: stored(spark, sf_dir, f"links-{kind}", named(rows)) for kind, rows in order_links(classified_orders(spark, sf_dir)).items()}
 
 
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     build = lambda: Q.answer_questions(
         derive(spark, sf_dir, QUESTIONS), order_rules(spark, sf_dir), _links(spark, sf_dir), order_matches(spark, sf_dir), dictionaries(spark, sf_dir))
-    return stored(spark, sf_dir, "answered", build)
+    return memo(spark, sf_dir, "answered", build)
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build() -> DataFrame:
-        read = Q.with_question_terms(derive(spark, sf_dir, QUESTIONS), dictionaries(spark, sf_dir))
+    def found(told: DataFrame) -> DataFrame:
+        read = Q.with_question_terms(told, dictionaries(spark, sf_dir))
         return Q.retrieve(read, order_rules(spark, sf_dir), _links(spark, sf_dir), order_matches(spark, sf_dir)).join(read.select("query_id", "question", "search_text"), "query_id")
 
-    return stored(spark, sf_dir, "candidates", build)
+    return memo(spark, sf_dir, "candidates", lambda: Q.once_per_question(derive(spark, sf_dir, QUESTIONS), found))
 
 
 @query
