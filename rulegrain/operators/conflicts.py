@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rulegrain.functions import vocab as V
 from rulegrain.functions.numbers import numeric_signatures
@@ -69,39 +69,22 @@ def comparable_atoms(
 def scope_groups(comparable: DataFrame, keys: tuple[str, ...] = ("scope_key",)) -> DataFrame:
     """One row per scope with at least two rules: counts, first subject, signature list.
 
-    Each rule is spread into (facet, value) rows, which merge map-side per scope before the first
-    shuffle, so a scope with very many rules travels as its few distinct values. One scan serves
-    every count.
+    The only shuffle is one of scopes: rules merge map-side, so a scope with very many rules travels as its few distinct values, and a
+    rule whose scope is rare travels once.
     """
-    keys = list(keys)
-
-    def facet(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("facet"), value.alias("value"))
-
-    facets = F.concat(
-        F.array(facet("polarity", F.col("polarity")), facet("document", F.col("source_document"))),
-        F.transform(F.filter("label_paths", lambda label: label != ""), lambda label: facet("label", label)),
-        F.transform("signatures", lambda signature: facet("signature", signature)),
-    )
-    order = F.struct("row_no", "atom_id")
-    merged = (
-        comparable.select(*keys, "who", "what", order.alias("at"), F.explode(facets).alias("f"))
-        .groupBy(*keys, "f.facet", "f.value")
-        .agg(F.count("*").alias("n"), F.min("at").alias("at"), F.min_by(F.struct("who", "what"), "at").alias("pair"))
-    )
-    ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "facet").orderBy("value")))
-    is_polarity, is_signature = F.col("facet") == "polarity", F.col("facet") == "signature"
-    return ranked.groupBy(*keys).agg(
-        F.sum(F.when(is_polarity, F.col("n"))).alias("rule_count"),
-        F.coalesce(F.sum(F.when(is_polarity & (F.col("value") == "forbid"), F.col("n"))), F.lit(0)).alias("forbid_count"),
-        F.coalesce(F.sum(F.when(is_polarity & (F.col("value") == "allow"), F.col("n"))), F.lit(0)).alias("allow_count"),
-        F.count_if(F.col("facet") == "document").alias("document_count"),
-        F.count_if(F.col("facet") == "label").alias("label_count"),
-        F.count_if(is_signature).alias("signature_count"),
-        F.sort_array(F.collect_list(F.when(is_signature & (F.col("rank") <= 5), F.col("value")))).alias("first_signatures"),
-        F.min("at").alias("first_row"),
-        F.min_by("pair", "at").alias("first_pair"),
+    at = F.struct("row_no", "atom_id")
+    merged = comparable.select(*keys, "who", "what", "polarity", "source_document", "label_paths", "signatures", at.alias("at")).groupBy(*keys).agg(
+        F.count("*").alias("rule_count"), F.count_if(F.col("polarity") == "forbid").alias("forbid_count"), F.count_if(F.col("polarity") == "allow").alias("allow_count"),
+        F.collect_set("source_document").alias("_documents"), F.collect_set("label_paths").alias("_labels"), F.collect_set("signatures").alias("_signatures"),
+        F.min_by(F.struct("at", F.struct("who", "what").alias("pair")), "at").alias("_first"),
     ).filter(F.col("rule_count") >= 2)
+    labels = F.filter(F.array_distinct(F.flatten("_labels")), lambda label: label != "")
+    listed = merged.withColumn("_signatures", F.array_sort(F.array_distinct(F.flatten("_signatures"))))
+    return listed.select(
+        *keys, "rule_count", "forbid_count", "allow_count",
+        F.size("_documents").cast("long").alias("document_count"), F.size(labels).cast("long").alias("label_count"),
+        F.size("_signatures").cast("long").alias("signature_count"), F.slice("_signatures", 1, 5).alias("first_signatures"),
+        F.col("_first.at").alias("first_row"), F.col("_first.pair").alias("first_pair"))
 
 
 def scope_conflicts(groups: DataFrame) -> DataFrame:
@@ -140,11 +123,16 @@ def conflict_groups(numbered: DataFrame) -> DataFrame:
     ).orderBy("risk_level", F.desc("rule_count"), F.desc("document_count"), "conflict_id")
 
 
+def _sizes(numbered: DataFrame) -> DataFrame:
+    """Rules of each conflicting scope; a scope can stand here twice, with the same count."""
+    return numbered.groupBy("scope_key").agg(F.max("rule_count").alias("count"))
+
+
 def conflict_details(comparable: DataFrame, numbered: DataFrame, most_paths: int | None = 3) -> DataFrame:
     """Every rule of every conflicting scope; its first ``most_paths`` label paths are shown, all with None."""
     paths = F.col("label_paths") if most_paths is None else F.slice("label_paths", 1, most_paths)
     members = spread_join(
-        comparable, numbered.select("scope_key", "conflict_id", "conflict_type", "risk_level"), ["scope_key"], ["atom_id"],
+        comparable, numbered.select("scope_key", "conflict_id", "conflict_type", "risk_level"), ["scope_key"], ["atom_id"], sizes=_sizes(numbered),
     )
     return members.select(
         "conflict_id", "conflict_type", "risk_level", "atom_id", "rule_type", "source_document", "article_reference",
@@ -154,7 +142,7 @@ def conflict_details(comparable: DataFrame, numbered: DataFrame, most_paths: int
 
 def conflict_summary(comparable: DataFrame, numbered: DataFrame) -> DataFrame:
     affected = spread_join(
-        comparable.select("scope_key", "atom_id"), numbered.select("scope_key").distinct(), ["scope_key"], ["atom_id"]
+        comparable.select("scope_key", "atom_id"), numbered.select("scope_key").distinct(), ["scope_key"], ["atom_id"], sizes=_sizes(numbered)
     ).agg(F.countDistinct("atom_id").alias("affected_atom_count"))
     counts = numbered.agg(
         F.count("*").alias("group_count"),

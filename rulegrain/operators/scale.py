@@ -128,16 +128,19 @@ def carry_forward(
 
 def spread_join(
     many: DataFrame, few: DataFrame, on: Sequence[str], row_id: Sequence[str], how: str = "inner",
-    salts: int = 64, min_rows: int = 100_000,
+    salts: int = 64, min_rows: int = 100_000, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Equi join whose left side may have hot keys; the right side has few rows per key.
 
     The (at most ``HOT_KEYS``) largest keys are found by a pre-aggregated count. Their left rows are
     spread over ``salts`` partitions by a hash of ``row_id`` and their right rows are repeated once
-    per salt; every other key joins as usual. The result equals the plain join.
+    per salt; every other key joins as usual. The result equals the plain join. ``sizes`` has a
+    ``count`` for each key where it is known already, so that the left side is not read for it; keys
+    that it lacks are not spread.
     """
+    counted = many.groupBy(*on).count() if sizes is None else sizes
     hot = (
-        many.groupBy(*on).count().filter(F.col("count") >= min_rows)
+        counted.filter(F.col("count") >= min_rows)
         .orderBy(F.desc("count"), *on).limit(HOT_KEYS).select(*on, F.lit(True).alias("_hot"))
     )
     hot = F.broadcast(cut_lineage(hot))  # bounded by HOT_KEYS
