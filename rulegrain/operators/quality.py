@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rulegrain.functions import vocab as V
 from rulegrain.functions.text import is_true, strip, text
-from rulegrain.operators.scale import top_rows
+from rulegrain.operators.scale import broadcast_if_small, top_rows
+from rulegrain.session import cut_lineage
 
 
 # ------------------------------------------------------------------ summaries
@@ -99,8 +100,9 @@ def diverse_sample(rows: DataFrame, group: str, order: list[Column], limit: int)
 
 def with_group_size(rows: DataFrame, group: str, alias: str = "group_size") -> DataFrame:
     """Rows per group on every row: a small aggregate joined back, so a hot group stays spread. Null is a group like others."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias(alias)).withColumnRenamed(group, "_sized")
-    return rows.join(sizes, F.col(group).eqNullSafe(F.col("_sized"))).drop("_sized")
+    # stored and broadcast: a join planned before its size is known would shuffle whole rows by a handful of groups
+    sizes = cut_lineage(rows.groupBy(group).agg(F.count("*").alias(alias)).withColumnRenamed(group, "_sized"))
+    return rows.join(broadcast_if_small(sizes), F.col(group).eqNullSafe(F.col("_sized"))).drop("_sized")
 
 
 def atom_samples(atoms: DataFrame, limit: int) -> DataFrame:
