@@ -63,8 +63,13 @@ class KeyedTable:
         named = reduce(lambda a, b: a & b, [strip(F.col(key).cast("string")) != "" for key in self.keys])
         rest = [name for name in batch.columns if name not in self.keys]
         rank = F.struct(*[name for name in self.order if name in batch.columns] or rest or [F.lit(0)])
-        picked = batch.filter(named).groupBy(*self.keys).agg(F.max_by(F.struct(*rest), rank).alias("__row") if rest else F.lit(0).alias("__row"))
-        fresh = cut_lineage(picked.select(*self.keys, *([F.col(f"__row.{name}").alias(name) for name in rest])).withColumn("bucket", self.bucket()))
+        grouped = batch.filter(named).groupBy(*self.keys)
+        if len(rest) == 1 and tuple(rest) == self.order:  # nothing but what decides: a plain maximum, which Spark hashes and does not sort for
+            picked = grouped.agg(F.max(rest[0]).alias(rest[0]))
+        else:
+            held = grouped.agg(F.max_by(F.struct(*rest), rank).alias("__row") if rest else F.lit(0).alias("__row"))
+            picked = held.select(*self.keys, *[F.col(f"__row.{name}").alias(name) for name in rest])
+        fresh = cut_lineage(picked.withColumn("bucket", self.bucket()))
         touched = [row["bucket"] for row in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
         live = self._live(spark)
         if not touched:
@@ -99,9 +104,11 @@ class GraphStore:
 
     def dangling(self, spark: SparkSession) -> DataFrame:
         """Edges with an end that is no stored node."""
-        nodes, edges = self.nodes.read(spark).select("id"), self.edges.read(spark)
-        ends = edges.select("source", "target", "type", F.explode(F.array("source", "target")).alias("id"))
-        return ends.join(nodes, "id", "left_anti").select("source", "target", "type").distinct()
+        nodes, edges = self.nodes.read(spark).select("id"), self.edges.read(spark).select("source", "target", "type")
+        known = lambda end: nodes.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}"))
+        # both sides are unique by key, so an edge stays one row
+        ends = edges.join(known("source"), "source", "left").join(known("target"), "target", "left")
+        return ends.filter(F.col("_source").isNull() | F.col("_target").isNull()).select("source", "target", "type")
 
 
 def load_rule_graph(store: GraphStore, rules: DataFrame, alignments: DataFrame, atoms: DataFrame) -> dict[str, dict[str, int]]:
