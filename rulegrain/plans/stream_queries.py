@@ -43,19 +43,22 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["event_windows"] = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 
 
-def _in_turn(spark: SparkSession, rows: DataFrame, name: str, turns: int, turn) -> DataFrame:
-    """A stream that brings the rows in batches, one a turn."""
+def _in_turn(spark: SparkSession, turns: list[DataFrame], name: str, start) -> None:
+    """Bring the rows of each turn, then let the job of ``start`` take them as one batch and go on from its checkpoint."""
     source = shared_folder(spark, name)
-    for number in range(turns):
-        rows.filter(turn == number).coalesce(1).write.mode("append").parquet(source)
-    return I.read_stream(spark, source, rows.schema, 1)
+    for rows in turns:
+        rows.write.mode("append").parquet(source)
+        start(I.read_stream(spark, source, rows.schema, ONE_BATCH)).awaitTermination()
+
+
+ONE_BATCH = 2**31 - 1  # files of a turn
 
 
 def _turned(spark: SparkSession, sf_dir: str) -> str:
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
     out = shared_folder(spark, "late-events")
-    stream = _in_turn(spark, events, "events-in-turn", 3, F.pmod("event_id", F.lit(3)))
-    I.windowed_counts(stream, "ts", "event_type", out, f"{out}/state", "1 day", "2 days").awaitTermination()
+    turns = [events.filter(F.pmod("event_id", F.lit(3)) == number) for number in range(3)]
+    _in_turn(spark, turns, "events-in-turn", lambda stream: I.windowed_counts(stream, "ts", "event_type", out, f"{out}/state", "1 day", "2 days"))
     return out
 
 
@@ -76,10 +79,9 @@ SELECT CAST(window_start AS TIMESTAMP) AS window_start, event_type, late, count(
 def classified_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of the orders in three turns, each rule in two of them: every atom is classified once."""
     atoms = order_rules(spark, sf_dir)
-    twice = atoms.withColumn("turn", F.explode(F.array(F.pmod("row_no", F.lit(3)), F.pmod(F.col("row_no") + 1, F.lit(3)))))
-    out = shared_folder(spark, "classified-stream")
-    stream = _in_turn(spark, twice, "atoms-in-turn", 3, F.col("turn"))
-    I.classify_new_atoms(stream.drop("turn"), modules_of(spark, sf_dir), out, f"{out}/state").awaitTermination()
+    modules, out = modules_of(spark, sf_dir), shared_folder(spark, "classified-stream")
+    turns = [atoms.filter((F.pmod("row_no", F.lit(3)) == number) | (F.pmod(F.col("row_no") + 1, F.lit(3)) == number)) for number in range(3)]
+    _in_turn(spark, turns, "atoms-in-turn", lambda stream: I.classify_new_atoms(stream, modules, out, f"{out}/state"))
     return I.classified(spark, out).groupBy(F.array_join("label_paths", "|").alias("paths"), "rule_type").agg(F.count("*").alias("atoms"))
 
 

@@ -27,15 +27,15 @@ def build_session(app: str = "rulegrain", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def cut_lineage(df: DataFrame, reader: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back, by its own session or by ``reader``.
 
     The folder comes from ``spark.checkpoint.dir`` (shared storage on a cluster), so the result survives lost executors. Rows are
     stored as compressed columns: readers take only the columns they use.
     """
     path = f"{shared_folder(df.sparkSession, 'stage')}/rows"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -37,13 +37,17 @@ def classify_new_atoms(atoms: DataFrame, modules: DataFrame, output: str, checkp
 
     def write(batch: DataFrame, number: int) -> None:
         bucket = F.pmod(F.xxhash64("atom_id"), F.lit(buckets)).cast("int")
-        fresh = cut_lineage(batch.filter(strip(F.col("atom_id").cast("string")) != "").dropDuplicates(["atom_id"]).withColumn("bucket", bucket))
-        touched = [row["bucket"] for row in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+        named = batch.filter(strip(F.col("atom_id").cast("string")) != "").withColumn("bucket", bucket)
+        touched = [row["bucket"] for row in named.select("bucket").distinct().collect()]  # at most ``buckets``
         done = spark.read.schema(schema).parquet(ledger).filter(F.col("bucket").isin(touched) & (F.col("batch_id") != number))
-        new = cut_lineage(fresh.join(done.select("atom_id"), "atom_id", "left_anti"))
+        # known ids leave first, and both steps share one shuffle; the session of a stream plans without measured sizes, so another reads
+        new = cut_lineage(named.join(done.select("atom_id"), "atom_id", "left_anti").dropDuplicates(["atom_id"]), spark)
+        if number and new.isEmpty():  # batch 0 has left the columns of the results
+            return
         classify(new.drop("bucket"), modules).write.mode("overwrite").parquet(f"{output}/results/batch_id={number}")
         old_mode = {"partitionOverwriteMode": "dynamic"}
-        new.select("atom_id", "bucket", F.lit(number).cast("long").alias("batch_id")).write.mode("overwrite").options(**old_mode).partitionBy("bucket", "batch_id").parquet(ledger)
+        ids = new.select("atom_id", "bucket", F.lit(number).cast("long").alias("batch_id")).repartition("bucket")  # one file per bucket and batch
+        ids.write.mode("overwrite").options(**old_mode).partitionBy("bucket", "batch_id").parquet(ledger)
 
     return _started(atoms, write, checkpoint, trigger)
 
