@@ -322,7 +322,8 @@ def loop_result(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     if key not in _LOOPS:
         modules = modules_of(spark, sf_dir)
         _LOOPS[key] = R.recall_loop(
-            routed_questions(spark, sf_dir), recall_atoms(spark, sf_dir), modules, X.taxonomy_scenes(modules), order_matches(spark, sf_dir), article_places(spark, sf_dir))
+            routed_questions(spark, sf_dir), recall_atoms(spark, sf_dir), modules, X.taxonomy_scenes(modules), order_matches(spark, sf_dir),
+            stored(spark, sf_dir, "places", lambda: article_places(spark, sf_dir)))
     return _LOOPS[key]
 
 
