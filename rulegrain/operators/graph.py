@@ -285,13 +285,17 @@ def keyword_atoms(atoms: DataFrame, keywords: list[str], fields: tuple[str, ...]
 def neighbourhood(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hops: int = 2) -> dict[str, DataFrame]:
     """Nodes and edges within a few hops of the start ids.
 
-    Each hop is two equi joins of the edge table with the distinct frontier.
+    Each hop is two equi joins of the edge table with the ids that the hop before has brought. What a hop brings is stored: the plan
+    of a hop holds the edge table, not the plans of all hops before it.
     """
-    reached = starts.select("id").distinct()
+    known = frontier = cut_lineage(starts.select("id").distinct())
     for _ in range(hops):
-        out = edges.join(reached.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id"))
-        back = edges.join(reached.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id"))
-        reached = reached.union(out).union(back).distinct()
+        near = broadcast_if_small(frontier)
+        out = edges.join(near.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id"))
+        back = edges.join(near.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id"))
+        frontier = cut_lineage(out.union(back).distinct().join(broadcast_if_small(known), "id", "left_anti"))
+        known = known.union(frontier)
+    reached = broadcast_if_small(known)
     inner = edges.join(reached.withColumnRenamed("id", "source"), "source", "left_semi").join(
         reached.withColumnRenamed("id", "target"), "target", "left_semi"
     )
