@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulegrain.functions import vocab as V
 from rulegrain.functions.text import has_any, strip, text, words
-from rulegrain.operators.scale import broadcast_if_small, top_rows
+from rulegrain.operators.scale import broadcast_if_small, split_repeated, top_rows
 from rulegrain.session import cut_lineage
 
 NODE_TYPES = ["board", "category", "module", "scene", "atom", "actor", "object", "time_context"]
@@ -60,20 +60,24 @@ def taxonomy_nodes(modules: DataFrame, scenes: DataFrame) -> DataFrame:
     return latest(rows.withColumn("seq", F.coalesce("seq", F.lit(0))), ["id"], ["seq"])
 
 
-def atom_nodes(atoms: DataFrame) -> DataFrame:
-    """``atoms`` carries its term arrays (who_terms, who_terms_normalized, ...)."""
+def atom_nodes(atoms: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """``atoms`` carries its term arrays (who_terms, who_terms_normalized, ...); only rows whose id may be ``repeated`` are shuffled."""
     keep = [name for name in (
         "source_document", "article_reference", "who", "who_terms", "who_terms_normalized", "when", "when_terms", "when_terms_normalized",
         "rule_type", "what", "what_terms", "what_terms_normalized", "how", "content_original", "is_ambiguous",
     ) if name in atoms.columns]
-    rows = atoms.filter(strip("atom_id") != "").select(
-        node_id("ATOM", "atom_id").alias("id"), F.lit("atom").alias("type"), "atom_id", *[F.col(name) for name in keep],
-        F.col("row_no").alias("seq"),
-    )
-    # ids are mostly unique: only rows that repeat one are shuffled whole
-    repeated = broadcast_if_small(cut_lineage(rows.groupBy("id").agg(F.count("*").alias("rows")).filter(F.col("rows") > 1).select("id")))
-    single = rows.join(repeated, "id", "left_anti").drop("seq")
-    return single.unionByName(latest(rows.join(repeated, "id", "left_semi"), ["id"], ["seq"]))
+    rows = atoms.filter(strip("atom_id") != "").select("atom_id", *keep, F.col("row_no").alias("seq"))
+    single, many = (
+        part.select(node_id("ATOM", "atom_id").alias("id"), F.lit("atom").alias("type"), "atom_id", *keep, "seq")
+        for part in split_repeated(rows, "atom_id", repeated=repeated))
+    return single.drop("seq").unionByName(latest(many, ["id"], ["seq"]))
+
+
+def lists_of_atoms(atoms: DataFrame, lists: list[str], repeated: DataFrame | None = None) -> DataFrame:
+    """One row per atom id with the distinct members of its lists; only rows whose id may be ``repeated`` are shuffled."""
+    single, many = split_repeated(atoms.select("atom_id", *lists), "atom_id", repeated=repeated)
+    merged = many.groupBy("atom_id").agg(*[F.array_distinct(F.flatten(F.collect_list(name))).alias(name) for name in lists])
+    return single.select("atom_id", *[F.array_distinct(name).alias(name) for name in lists]).unionByName(merged)
 
 
 def entity_nodes(kind: str, links: DataFrame) -> DataFrame:
@@ -101,36 +105,69 @@ def build_nodes(modules: DataFrame, scenes: DataFrame, atoms: DataFrame, links:
     return together(node_parts(modules, scenes, atoms, links).values())
 
 
-def edge_parts(
-    modules: DataFrame, scenes: DataFrame, atoms: DataFrame, links: dict[str, DataFrame], matches: DataFrame | None,
-) -> dict[str, DataFrame]:
-    """Edges by type; without ``matches`` those that come from them are left out."""
+def _edge(rows: DataFrame, source: Column, target: Column, kind: str, **props: str) -> DataFrame:
+    return rows.select(
+        source.alias("source"), target.alias("target"), F.lit(kind).alias("type"), *[F.col(value).alias(name) for name, value in props.items()],
+    )
 
-    def edge(rows: DataFrame, source: Column, target: Column, kind: str, **props: str) -> DataFrame:
-        return rows.select(
-            source.alias("source"), target.alias("target"), F.lit(kind).alias("type"),
-            *[F.col(value).alias(name) for name, value in props.items()],
-        )
 
+def taxonomy_edges(modules: DataFrame, scenes: DataFrame) -> dict[str, DataFrame]:
     board, category = node_id("BOARD", "section"), node_id("CATEGORY", "section", "category")
-    module, atom = node_id("MODULE", "code"), node_id("ATOM", "atom_id")
-    tagged = atoms.select("atom_id", F.explode("label_codes").alias("code")).distinct()
-    parts = {
-        "HAS_CATEGORY": edge(modules, board, category, "HAS_CATEGORY").distinct(),
-        "HAS_MODULE": edge(modules, category, module, "HAS_MODULE").distinct(),
-        "HAS_SCENE": edge(scenes, node_id("MODULE", "module_code"), node_id("SCENE", "scene_key"), "HAS_SCENE").distinct(),
-        "TAGGED_AS": edge(tagged, atom, module, "TAGGED_AS"),
+    module = node_id("MODULE", "code")
+    return {
+        "HAS_CATEGORY": _edge(modules, board, category, "HAS_CATEGORY").distinct(),
+        "HAS_MODULE": _edge(modules, category, module, "HAS_MODULE").distinct(),
+        "HAS_SCENE": _edge(scenes, node_id("MODULE", "module_code"), node_id("SCENE", "scene_key"), "HAS_SCENE").distinct(),
     }
+
+
+def list_edges(listed: DataFrame) -> dict[str, DataFrame]:
+    """Edges from atoms, read from one row per atom (:func:`lists_of_atoms`) with label_codes and a list of names per entity kind."""
+    parts = {"TAGGED_AS": _edge(listed.select("atom_id", F.explode("label_codes").alias("code")), node_id("ATOM", "atom_id"), node_id("MODULE", "code"), "TAGGED_AS")}
+    for kind, (_, prefix, from_atom, _) in ENTITY_KINDS.items():
+        if kind in listed.columns:
+            named = listed.select("atom_id", F.explode(kind).alias("name"))
+            parts[from_atom] = _edge(named, node_id("ATOM", "atom_id"), node_id(prefix, "name"), from_atom)
+    return parts
+
+
+def match_edges(matches: DataFrame) -> DataFrame:
+    return _edge(matches, node_id("ATOM", "atom_id"), node_id("SCENE", "scene_key"), "MATCHES_SCENE", score="score", matched_terms="matched_terms")
+
+
+def scene_name_counts(listed: DataFrame, matches: DataFrame) -> DataFrame:
+    """(scene_key, kind, name, atom_count): atoms of a scene that hold a name, for all entity kinds with one join by atom."""
+    kinds = [kind for kind in ENTITY_KINDS if kind in listed.columns]
+    met = matches.select("atom_id", "scene_key").join(listed.select("atom_id", *kinds), "atom_id")
+
+    def tagged(kind: str) -> Column:
+        return F.transform(F.coalesce(kind, words([])), lambda name: F.struct(F.lit(kind).alias("kind"), name.alias("name")))
+
+    named = F.flatten(F.array(*map(tagged, kinds)))
+    return met.select("scene_key", F.explode(named).alias("n")).groupBy("scene_key", "n.kind", "n.name").agg(F.count("*").alias("atom_count"))
+
+
+def scene_name_edges(counts: DataFrame, kind: str) -> DataFrame:
+    _, prefix, _, from_scene = ENTITY_KINDS[kind]
+    return _edge(counts.filter(F.col("kind") == kind), node_id("SCENE", "scene_key"), node_id(prefix, "name"), from_scene, atom_count="atom_count")
+
+
+def edge_parts(
+    modules: DataFrame, scenes: DataFrame, atoms: DataFrame, links: dict[str, DataFrame], matches: DataFrame | None,
+) -> dict[str, DataFrame]:
+    """Edges by type; without ``matches`` those that come from them are left out."""
+    listed = atoms.groupBy("atom_id").agg(F.array_distinct(F.flatten(F.collect_list("label_codes"))).alias("label_codes"))
+    parts = {**taxonomy_edges(modules, scenes), "TAGGED_AS": list_edges(listed)["TAGGED_AS"]}
     if matches is not None:
-        parts["MATCHES_SCENE"] = edge(matches, atom, node_id("SCENE", "scene_key"), "MATCHES_SCENE", score="score", matched_terms="matched_terms")
+        parts["MATCHES_SCENE"] = match_edges(matches)
     for kind, rows in links.items():
-        _, prefix, from_atom, from_scene = ENTITY_KINDS[kind]
+        _, prefix, from_atom, _ = ENTITY_KINDS[kind]
         # placed by atom once, for the distinct pairs and for the join with the matches
         named = rows.select("atom_id", F.col("record.name").alias("name")).repartition("atom_id").distinct()
-        parts[from_atom] = edge(named, atom, node_id(prefix, "name"), from_atom)
+        parts[from_atom] = _edge(named, node_id("ATOM", "atom_id"), node_id(prefix, "name"), from_atom)
         if matches is not None:
-            counted = matches.select("atom_id", "scene_key").join(named, "atom_id").groupBy("scene_key", "name").agg(F.count("*").alias("atom_count"))
-            parts[from_scene] = edge(counted, node_id("SCENE", "scene_key"), node_id(prefix, "name"), from_scene, atom_count="atom_count")
+            counts = scene_name_counts(named.select("atom_id", F.array("name").alias(kind)), matches)
+            parts[ENTITY_KINDS[kind][3]] = scene_name_edges(counts, kind)
     return parts
 
 
@@ -308,15 +345,34 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, type, n) for nodes, edges and zero-degree nodes."""
+def incidence(edges: DataFrame, ends: Sequence[str] = ("source", "target")) -> DataFrame:
+    """(id, sources, targets): kinds of edges that start and end at an id, a row for each end that is met."""
+    return together(edges.select(F.col(end).alias("id"), *[(F.array("type") if name == end else words([])).alias(f"{name}s") for name in ("source", "target")]) for end in ends)
+
+
+def atom_incidence(listed: DataFrame) -> DataFrame:
+    """The atoms' ends of :func:`list_edges`, a row per atom."""
+    lists = {"label_codes": "TAGGED_AS", **{kind: spec[2] for kind, spec in ENTITY_KINDS.items() if kind in listed.columns}}
+    found = F.array_compact(F.array(*[F.when(F.size(name) > 0, kind) for name, kind in lists.items()]))
+    return listed.select(node_id("ATOM", "atom_id").alias("id"), found.alias("sources"), words([]).alias("targets")).filter(F.size("sources") > 0)
+
+
+def graph_stats(nodes: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """(kind, type, n) for nodes, edges and zero-degree nodes.
+
+    ``ends`` is the :func:`incidence` of the edges where fewer rows are known to hold it. Ids meet once, as flags; only nodes without
+    an edge are looked up again.
+    """
     count = lambda rows, kind: rows.groupBy("type").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
-    touched = degrees(edges).select("id")
-    return count(nodes, "node").union(count(edges, "edge")).union(count(nodes.join(touched, "id", "left_anti"), "zero_degree"))
+    touched = (incidence(edges) if ends is None else ends).select("id", F.lit(True).alias("touched")).filter(F.col("id") != "")
+    met = nodes.select("id", F.lit(False).alias("touched")).union(touched).groupBy("id").agg(F.max("touched").alias("touched"))
+    lonely = broadcast_if_small(cut_lineage(met.filter(~F.col("touched")).select("id")))
+    alone = nodes.join(lonely, nodes["id"].eqNullSafe(lonely["id"]), "left_semi")
+    return count(nodes, "node").union(count(edges, "edge")).union(count(alone, "zero_degree"))
 
 
-def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The eight coverage gaps: nodes of a kind with no edge of a kind (E16), as (gap, n)."""
+def coverage(nodes: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """The eight coverage gaps: nodes of a kind with no edge of a kind (E16), as (gap, n). ``ends`` as in :func:`graph_stats`."""
     specs = [
         ("atoms_without_module", "atom", "source", ["TAGGED_AS"]), ("atoms_without_scene", "atom", "source", ["MATCHES_SCENE"]),
         ("atoms_without_module_and_scene", "atom", "source", ["TAGGED_AS", "MATCHES_SCENE"]),
@@ -324,21 +380,20 @@ def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         ("actors_without_atom", "actor", "target", ["INVOLVES_ACTOR"]), ("objects_without_atom", "object", "target", ["TARGETS_OBJECT"]),
         ("times_without_atom", "time_context", "target", ["HAS_TIME_CONTEXT"]),
     ]
-    # one flag per node and edge kind, gathered in a single aggregation of the edge ends
+    # a bit per end and edge kind and a count per node type, gathered by id in one aggregation of nodes and edge ends
     kinds = sorted({(end, kind) for _, _, end, edge_kinds in specs for kind in edge_kinds})
-    ends = edges.select("type", F.explode(F.array(
-        F.struct(F.lit("source").alias("end"), F.col("source").alias("id")), F.struct(F.lit("target").alias("end"), F.col("target").alias("id"))
-    )).alias("e")).select("type", "e.end", "e.id")
-    flags = ends.groupBy("id").agg(*[
-        F.coalesce(F.bool_or((F.col("end") == end) & (F.col("type") == kind)), F.lit(False)).alias(f"{end}_{kind}") for end, kind in kinds
-    ])
-    seen = nodes.select("id", "type").join(flags, "id", "left").fillna(False)
+    types = sorted({node for _, node, _, _ in specs})
+    none = F.lit(0).cast("long")
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.array_contains(f"{end}s", kind), 1 << at).otherwise(0) for at, (end, kind) in enumerate(kinds)])
+    met = (incidence(edges) if ends is None else ends).select("id", bits.cast("long").alias("bits"), *[none.alias(kind) for kind in types])
+    held = nodes.select("id", none.alias("bits"), *[F.when(F.col("type") == kind, 1).otherwise(0).cast("long").alias(kind) for kind in types])
+    flags = held.union(met.filter("bits <> 0 AND id IS NOT NULL")).groupBy("id").agg(F.bit_or("bits").alias("bits"), *[F.sum(kind).alias(kind) for kind in types])
     counts = [
-        F.count_if((F.col("type") == node) & reduce(lambda a, b: a & b, [~F.col(f"{end}_{kind}") for kind in edge_kinds])).alias(name)
+        F.sum(F.when(F.col("bits").bitwiseAND(sum(1 << kinds.index((end, kind)) for kind in edge_kinds)) == 0, F.col(node)).otherwise(0)).alias(name)
         for name, node, end, edge_kinds in specs
     ]
-    totals = [F.count_if(F.col("type") == kind).alias(f"{kind}_total") for kind in ("atom", "module", "scene")]
-    return seen.agg(*counts, *totals)
+    totals = [F.sum(kind).alias(f"{kind}_total") for kind in ("atom", "module", "scene")]
+    return flags.agg(*counts, *totals).fillna(0)
 
 
 def unhit(nodes: DataFrame, edges: DataFrame, node_type: str, edge_type: str, limit: int) -> DataFrame:

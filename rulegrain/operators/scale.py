@@ -81,6 +81,22 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], alias: str = "numb
     )
 
 
+def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """Hashes (``_key``) of all keys that more than one row has, and of few others: hashes of 8 bytes are counted, not the keys."""
+    counted = df.select(F.xxhash64(*keys).alias("_key")).groupBy("_key").agg(F.count("*").alias("_rows"))
+    return cut_lineage(counted.filter(F.col("_rows") > 1).select("_key"))
+
+
+def split_repeated(df: DataFrame, *keys: str, repeated: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key surely no other row has, and the rest: where keys are mostly unique, only the rest need meet by key.
+
+    ``repeated`` is what :func:`repeated_keys` found for the keys of these rows, where that is known already.
+    """
+    known = broadcast_if_small(repeated_keys(df, *keys) if repeated is None else repeated)
+    keyed = df.withColumn("_key", F.xxhash64(*keys))
+    return keyed.join(known, "_key", "left_anti").drop("_key"), keyed.join(known, "_key", "left_semi").drop("_key")
+
+
 def _blocked(df: DataFrame, order: str, block_rows: int) -> DataFrame:
     return df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)))
 

@@ -11,7 +11,7 @@ from rulegrain.functions.text import (
     category_core, has, multiline_items, phrase_terms, remove_space, scene_name_tokens, strip, text, to_string_list, words,
 )
 from rulegrain.operators.containment import find_terms, with_term_lists
-from rulegrain.operators.scale import broadcast_if_small, carry_forward, ordered_distinct, top_rows
+from rulegrain.operators.scale import broadcast_if_small, carry_forward, ordered_distinct, split_repeated, top_rows
 from rulegrain.session import cut_lineage
 
 HAYSTACK_FIELDS = ["source_document", "what", "how", "where", "content_original"]
@@ -275,20 +275,24 @@ def classify(atoms: DataFrame, modules: DataFrame, external: DataFrame | None =
 
 
 # ------------------------------------------------------------------ scene matching
-def scene_matches(classified: DataFrame, scenes: DataFrame) -> DataFrame:
+def scene_matches(classified: DataFrame, scenes: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """(atom_id, scene_key, module_code, score, matched_terms) with a score of at least 8.
 
     Scenes hang together per module, so an atom meets only the scenes of its labels and scores them
-    inside the row; only matches leave it.
+    inside the row; only matches leave it. Only the matches of atoms that have several rows (``repeated``, see
+    :func:`split_repeated`) are merged by a shuffle, or all where a module names a scene twice.
     """
     by_module = scenes.groupBy("module_code").agg(
         F.sort_array(F.collect_list(F.struct("scene_key", "scene_name", "scene_terms"))).alias("scenes")
     )
     parts = F.array(*HAYSTACK_FIELDS, F.array_join("related_scenarios", " "))
     haystack = F.array_join(F.filter(parts, lambda part: part != ""), "\n")
-    atoms = prepared_atoms(classified).filter(F.col("atom_id") != "").select(
-        "atom_id", haystack.alias("haystack"), "related_scenarios", F.explode("label_codes").alias("module_code")
-    ).join(broadcast_if_small(by_module), "module_code")
+    prepared = prepared_atoms(classified).filter(F.col("atom_id") != "").select("atom_id", haystack.alias("haystack"), "related_scenarios", "label_codes")
+    by_module = broadcast_if_small(by_module)
+    if scenes.groupBy("module_code", "scene_key").count().filter("count > 1").isEmpty():
+        single, many = split_repeated(prepared, "atom_id", repeated=repeated)
+    else:
+        single, many = None, prepared
 
     def scored(scene: Column) -> Column:
         name = scene["scene_name"]
@@ -302,14 +306,19 @@ def scene_matches(classified: DataFrame, scenes: DataFrame) -> DataFrame:
         )
 
     hits = F.filter(F.transform("scenes", scored), lambda match: match["score"] >= 8)
-    rows = atoms.select("atom_id", "module_code", F.explode(hits).alias("m")).select("atom_id", "m.scene_key", "module_code", "m.score", "m.matched_terms")
+
+    def matched(atoms: DataFrame, codes: str | Column) -> DataFrame:
+        met = atoms.withColumn("module_code", F.explode(codes)).join(by_module, "module_code")
+        return met.select("atom_id", "module_code", F.explode(hits).alias("m")).select("atom_id", "m.scene_key", "module_code", "m.score", "m.matched_terms")
+
     # The same pair again (repeated atom rows) keeps its best score; equal scores merge their terms.
-    merged = rows.groupBy("atom_id", "scene_key", "module_code").agg(
+    merged = matched(many, "label_codes").groupBy("atom_id", "scene_key", "module_code").agg(
         F.max("score").alias("score"), F.sort_array(F.collect_set(F.struct("score", "matched_terms"))).alias("all"),
     )
     best = F.filter("all", lambda item: item["score"] == F.col("score"))
     terms = F.array_distinct(F.flatten(F.transform(best, lambda item: item["matched_terms"])))
-    return merged.select("atom_id", "scene_key", "module_code", "score", terms.alias("matched_terms"))
+    merged = merged.select("atom_id", "scene_key", "module_code", "score", terms.alias("matched_terms"))
+    return merged if single is None else matched(single, F.array_distinct("label_codes")).unionByName(merged)
 
 
 def scene_entity_counts(matches: DataFrame, links: DataFrame, alias: str) -> DataFrame:

@@ -179,7 +179,7 @@ SELECT CASE WHEN question LIKE '%谁负责%' THEN 'B' WHEN question LIKE '%是
 def _links(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Names of the order rules per kind, stored once; pairs may repeat."""
     named = lambda rows: lambda: rows.select("atom_id", "record.name", "record.normalized_name")
-    return {kind: stored(spark, sf_dir, f"links-{kind}", named(rows)) for kind, rows in order_links(classified_orders(spark, sf_dir)).items()}
+    return {kind: stored(spark, sf_dir, f"links-{kind}", named(rows)) for kind, rows in order_links(spark, sf_dir).items()}
 
 
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
