@@ -77,11 +77,34 @@ class _Pack:
         if text_left:
             shared, left = counts @ (self.counts > 0).T.astype(np.float64), lengths[:, None]
         else:
-            shared, left = (counts > 0).astype(np.float64) @ self.counts.T, self.lengths[None, :]
+            shared, left = self._shared(counts), self.lengths[None, :]
         score = np.minimum(1.0, shared / np.maximum(left, 1) * 0.8 + np.where(inside, 0.2, 0.0))
         return np.where((lengths[:, None] == 0) | (self.lengths[None, :] == 0), 0.0, score)
 
 
+    def _shared(self, counts: np.ndarray) -> np.ndarray:
+        """How many letters of each of the pack's texts a text with these letter counts has."""
+        return (counts > 0).astype(np.float64) @ self.counts.T
+
+    def scores_to_beat(self, texts: list[str], floors: np.ndarray, strict: np.ndarray) -> np.ndarray:
+        """:func:`overlap_score` of each of the pack, as the left one, with each text: exact where it reaches the floor of its column.
+
+        Where ``strict`` it must exceed the floor; elsewhere a score may lack the bonus for containment. Texts are searched for
+        containment only where the bonus would matter and lengths and letters allow it.
+        """
+        counts, lengths = self._counted(texts), np.array([len(value) for value in texts])
+        shared = self._shared(counts)
+        share = shared / np.maximum(self.lengths, 1)[None, :] * 0.8
+        most = np.minimum(1.0, share + 0.2)
+        able = ((shared == self.lengths[None, :]) | (lengths[:, None] <= self.lengths[None, :])) & np.where(strict[None, :], most > floors[None, :], most >= floors[None, :])
+        inside = np.zeros(share.shape, dtype=bool)
+        rows = np.nonzero(able.any(axis=1))[0]
+        if len(rows):
+            inside[rows] = self.inside([texts[at] for at in rows])
+        score = np.where(inside, most, np.minimum(1.0, share))
+        return np.where((lengths[:, None] == 0) | (self.lengths[None, :] == 0), 0.0, score)
+
+
 def _listed(curated: DataFrame, doc: str, norm: str, fields: list[str]) -> list[tuple] | None:
     """(document, normal form, fields) of the curated rows in order of the fields, or None beyond ``BLOCK_LIST``."""
     rows = curated.filter(F.col(doc).isNotNull()).select(doc, norm, *fields)
@@ -129,6 +152,78 @@ def _scored_in_blocks(
     return rows.mapInArrow(run, schema)
 
 
+def _best_in_blocks(refs: DataFrame, listed: list[tuple]) -> DataFrame:
+    """(_at, hit, score, seg_ord, segment_id, ref): the best segment of each listed (document, normal form, chunk id, wanted) that a task met.
+
+    A chunk with a wanted number has a second row (``hit``) for the best of the segments that carry it. Ties go to the lesser ``seg_ord``.
+    """
+    names = ["seg_ord", "segment_id", "ref"]
+    rows = refs.select("source_document", "segment_norm", *names)
+    schema = "_at int, hit boolean, score double, " + ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in names)
+    kinds = [(name, rows.schema[name].dataType) for name in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        packs: dict[str, list[tuple[_Pack, list[int], dict[int, dict[str, list[int]]]]]] = {}
+        best: dict[tuple[int, bool], tuple] = {}  # (place, hit): score, order, segment
+
+        def packs_of(name: str):
+            if name not in packs:
+                places = [at for at, row in enumerate(listed) if row[0] == name]
+                packs[name] = []
+                for part in (places[start : start + PACK_ROWS] for start in range(0, len(places), PACK_ROWS)):
+                    wanted: dict[int, dict[str, list[int]]] = {}  # by length, then by text
+                    for column, at in enumerate(part):
+                        if listed[at][3] is not None:
+                            wanted.setdefault(len(listed[at][3]), {}).setdefault(listed[at][3], []).append(column)
+                    packs[name].append((_Pack([listed[at][1] for at in part]), part, wanted))
+            return packs[name]
+
+        def offer(key: tuple[int, bool], score: float, row: tuple) -> None:
+            if key not in best or (-score, row[0]) < (-best[key][0], best[key][1]):
+                best[key] = (score, *row)
+
+        for batch in batches:
+            docs, texts, orders, ids, numbers = (batch.column(at).to_pylist() for at in range(5))
+            groups: dict[str, list[int]] = {}
+            for at, name in enumerate(docs):
+                groups.setdefault(name, []).append(at)
+            place = lambda at: (orders[at] is None, 0 if orders[at] is None else orders[at])
+            for name, held in groups.items():
+                for block in _blocks(held, texts) if packs_of(name) else ():
+                    block = sorted(block, key=place)  # the first of equal scores is the one with the least order
+                    mine = [texts[at] for at in block]
+                    for pack, places, wanted in packs_of(name):
+                        floors = np.array([best.get((at, False), (-1.0,))[0] for at in places])
+                        strict = np.array([(at, False) in best and best[at, False][1] < place(block[0]) for at in places])
+                        carrying: dict[int, list[int]] = {}
+                        for length, known in wanted.items():
+                            for row, at in enumerate(block):
+                                for column in known.get(numbers[at][:length], ()) if numbers[at] is not None else ():
+                                    carrying.setdefault(column, []).append(row)
+                        for column in carrying:
+                            floors[column] = min(floors[column], best.get((places[column], True), (-1.0,))[0])
+                            strict[column] = False
+                        scores = pack.scores_to_beat(mine, floors, strict)
+                        top = scores.argmax(axis=0)
+                        for column in np.nonzero(scores[top, np.arange(pack.size)] >= floors)[0].tolist():
+                            at = block[top[column]]
+                            offer((places[column], False), float(scores[top[column], column]), (place(at), orders[at], ids[at], numbers[at]))
+                        for column, some in carrying.items():
+                            row = some[int(scores[some, column].argmax())]
+                            at = block[row]
+                            offer((places[column], True), float(scores[row, column]), (place(at), orders[at], ids[at], numbers[at]))
+        if best:
+            found = [(*key, row[0], *row[2:]) for key, row in best.items()]
+            columns = list(zip(*found, strict=True))
+            arrays = [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.float64())]
+            arrays += [pa.array(values, to_arrow_type(kind)) for values, (_, kind) in zip(columns[3:], kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_at", "hit", "score", *names])
+
+    return rows.mapInArrow(run, schema)
+
+
 def _blocks(held: list[int], texts: list[str]) -> Iterator[list[int]]:
     """The rows in blocks of bounded count and length."""
     block, size = [], 0
@@ -244,12 +339,19 @@ def match_chunks(chunks: DataFrame, segments: DataFrame, prefix: str = V.FIRST_A
 
     A leading article or item number restricts the segments when any carries it. ``chunks`` has
     chunk_id, doc, chunk; ``segments`` has doc, segment_id, ref, text, seg_ord. Ties go to the
-    earlier segment. Candidates merge map-side: one row per chunk and map task.
+    earlier segment. Candidates merge map-side: one row per chunk and map task. A list of chunks within ``BLOCK_LIST`` is scored
+    in one pass over the segments, which looks for the numbers as well.
     """
     hint = article_hint("chunk")
     wanted = F.when(F.startswith(hint, F.lit("第")), hint).otherwise(F.concat(F.lit(f"{prefix}-"), hint))
     ready = chunks.select("chunk_id", "doc", comparison_form("chunk").alias("norm"), wanted.alias("wanted"))
     refs = segments.select(F.col("doc").alias("source_document"), "segment_id", "ref", "seg_ord", comparison_form("text").alias("segment_norm"))
+    listed = _listed(ready, "doc", "norm", ["chunk_id", "wanted"])
+    if listed is not None:
+        ordered = F.struct("hit", "score", -F.col("seg_ord"))
+        each = _best_in_blocks(refs, listed).groupBy("_at").agg(F.max_by(F.struct("score", "seg_ord", "segment_id", "ref"), ordered).alias("s")).select("_at", "s.*")
+        rows = _named(each, listed, ready, ["chunk_id", "wanted"])
+        return _best_of_chunks(rows)
     starts = ready.filter(F.col("wanted").isNotNull())
     hinted = refs.join(
         broadcast_if_small(starts.select(F.col("doc").alias("source_document"), "wanted").distinct()), "source_document"
@@ -261,6 +363,10 @@ def match_chunks(chunks: DataFrame, segments: DataFrame, prefix: str = V.FIRST_A
     scored = F.transform(able, lambda chunk: F.struct(
         chunk["chunk_id"].alias("chunk_id"), overlap_score(chunk["norm"], F.col("segment_norm"), normalised=True).alias("score")))
     rows = met.select("segment_id", "ref", "seg_ord", F.explode(scored).alias("s")).select("segment_id", "ref", "seg_ord", "s.*")
+    return _best_of_chunks(rows)
+
+
+def _best_of_chunks(rows: DataFrame) -> DataFrame:
     best = rows.groupBy("chunk_id").agg(
         F.max(F.struct("score", -F.col("seg_ord"))).alias("top"),
         F.max_by(F.struct("segment_id", "ref"), F.struct(F.col("score"), -F.col("seg_ord"))).alias("segment"),

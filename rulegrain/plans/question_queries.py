@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulegrain.functions import vocab as V
 from rulegrain.operators import align as A, decisions as D, entities as N, qa as Q, recall as R, segment as S, taxonomy as X
+from rulegrain.operators.scale import fill_cores
 from rulegrain.plans.corpus import ORACLE_LINES, ORDER_RULES, SEGMENT_ACTOR, SEGMENT_OBJECT, ansi, derive, memo, stored, table
 from rulegrain.plans.graph_queries import MATCHES, MODULES, classified_orders, modules_of, order_links, order_matches, order_rules
 
@@ -23,7 +24,7 @@ LIBRARY = "library"  # lines of every language are compared with the same clause
 
 
 def line_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = fill_cores(table(spark, sf_dir, "documents"))
     lines = S.document_lines(documents, "doc_id", "text")
     return lines.select(F.concat_ws("-", "doc_id", "line_no").alias("atom_id"), F.lit(LIBRARY).alias("source_document"), F.col("line").alias("content_original"), "line_no", "doc_id")
 
