@@ -7,12 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rulegrain.llm.common import stored, table
 
 COPIES, STORE_RATIO = 3, 1.1  # lists that a boundary vector goes to: at most so many, within so much of its nearest
 NEAR = 2  # lists of a query that are read first and set the score others must reach
+PAIRS = 20_000  # vectors compared at once, and rows that leave a Python task at once: what a task holds does not grow with the lists
 
 
 @dataclass
@@ -62,8 +64,8 @@ class Centroids:
             met = np.zeros_like(opened)
             met[who[:, None], self.graph[which]] = True
             who, which = np.nonzero(met & ~np.isfinite(far))
-            for start in range(0, len(who), 200_000):
-                a, b = who[start:start + 200_000], which[start:start + 200_000]
+            for start in range(0, len(who), PAIRS):
+                a, b = who[start:start + PAIRS], which[start:start + PAIRS]
                 far[a, b] = ((rows[a] - self.points[b]) ** 2).sum(axis=1)
 
     def lists(self, rows: np.ndarray, ratio: float, most: int | None = None, holds: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,6 +167,49 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("embedding") == (common["width"] if common else 0))
 
 
+def _parts(batch: pd.DataFrame, who: np.ndarray, added: dict[str, np.ndarray], fields: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows of a batch by place, with further columns, ``PAIRS`` at a time: a vector is repeated for each of its lists."""
+    for start in range(0, len(who), PAIRS):
+        part = slice(start, start + PAIRS)
+        yield batch.iloc[who[part]].assign(**{name: values[part] for name, values in added.items()})[fields]
+
+
+def _packed_blocks(batches: Iterator[pa.RecordBatch], fields: list[str], alias: str) -> Iterator[pa.RecordBatch]:
+    """One row for each (list, __block) of sorted rows, as bytes: keys, how many keys each entry has, floors, vectors.
+
+    The key is the first field, one number or a list of numbers; a floor is read where there is a field of that name.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    at: tuple[int, int] | None = None
+
+    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if pa.types.is_list(column.type):
+            return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return column.to_numpy(zero_copy_only=False), np.ones(len(column), dtype=np.int64)
+
+    def block() -> pa.RecordBatch:
+        parts = [np.concatenate(part) for part in zip(*held, strict=True)]
+        arrays = [pa.array([at[0]], pa.int32()), *[pa.array([part.tobytes()], pa.binary()) for part in parts]]
+        return pa.RecordBatch.from_arrays(arrays, names=["list", *[f"{alias}_{name}" for name in ("keys", "sizes", "floors", "vectors")]])
+
+    for batch in batches:
+        lists, numbers = (batch.column(place).to_numpy(zero_copy_only=False) for place in range(2))
+        edges = np.flatnonzero((np.diff(lists) != 0) | (np.diff(numbers) != 0)) + 1
+        for start, end in zip([0, *edges], [*edges, len(lists)], strict=True):
+            if start == end:
+                continue
+            if held and at != (lists[start], numbers[start]):
+                yield block()
+                held = []
+            at = (lists[start], numbers[start])
+            piece = {name: batch.column(2 + place).slice(start, end - start) for place, name in enumerate(fields)}
+            keys, sizes = flat(piece[fields[0]])
+            floors = piece["floor"].to_numpy(zero_copy_only=False) if "floor" in piece else np.empty(0)
+            held.append((keys.astype(np.int64), sizes, floors.astype(np.float64), flat(piece["embedding"])[0].astype(np.float64)))
+    if held:
+        yield block()
+
+
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` found of largest inner product, ties to the smaller id.
 
@@ -175,6 +220,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
     all there are. The ``NEAR`` nearest are read first; from the others only entries leave a task that reach the score of the
     ``top``-th found there. Centroids are at most 2,048 points and travel with the tasks. A row is never its own neighbour; null ids,
     null, zero and non-finite vectors and those of an odd length take no part; an empty table gives no rows.
+
+    Blocks are cut from sorted rows as they stream by, and travel as flat bytes: a task holds one block of each side as arrays.
     """
     spark = vectors.sparkSession
     rows = stored(usable(vectors, id_col, vector_col))
@@ -191,13 +238,13 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
         for batch in batches:
             if len(batch):
                 who, which, place = model.lists(model.lifted(np.stack(list(batch["embedding"])).astype(float), False), model.store_ratio, COPIES)
-                yield batch.iloc[who].assign(list=which.astype(np.int32), home=place == 0)[["list", "home", "ids", "embedding"]]
+                yield from _parts(batch, who, {"list": which.astype(np.int32), "home": place == 0}, ["list", "home", "ids", "embedding"])
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 who, which, place = model.lists(model.lifted(np.stack(list(batch["embedding"])).astype(float), True), model.query_ratio, holds=holds, least=top + 1)
-                yield batch.iloc[who].assign(list=which.astype(np.int32), near=place < NEAR)[["list", "near", "vec_id", "embedding"]]
+                yield from _parts(batch, who, {"list": which.astype(np.int32), "near": place < NEAR}, ["list", "near", "vec_id", "embedding"])
 
     posted = stored(entries.mapInPandas(post, "list int, home boolean, ids array<bigint>, embedding array<double>"))
     homes = posted.filter("home").select(F.explode("ids").alias("id"), "list").groupBy("id").agg(F.min("list").alias("list"))  # an id counts once
@@ -208,24 +255,27 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
 
     def blocks(df: DataFrame, key: str, fields: list[str], size: int, alias: str) -> DataFrame:
         counts = stored(df.groupBy("list").agg(F.ceil(F.count("*") / size).alias("__blocks")))
-        split = df.join(counts, "list").withColumn("__block", F.pmod(F.xxhash64(key), F.col("__blocks")))
-        return split.groupBy("list", "__block").agg(F.collect_list(F.struct(*fields)).alias(alias)).select("list", alias)
+        split = df.join(counts, "list").withColumn("__block", F.pmod(F.xxhash64(key), F.col("__blocks"))).select("list", "__block", *fields)
+        placed = split.repartition("list", "__block").sortWithinPartitions("list", "__block")
+        schema = "list int, " + ", ".join(f"{alias}_{name} binary" for name in ("keys", "sizes", "floors", "vectors"))
+        return placed.mapInArrow(lambda batches: _packed_blocks(batches, fields, alias), schema)
 
     packed = stored(blocks(posted, "ids", ["ids", "embedding"], block, "stored"))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ours, theirs in zip(batch["asked"], batch["stored"], strict=True):
-                names, floors = np.array([x["vec_id"] for x in ours]), np.array([x["floor"] for x in ours])
-                q, v = np.array([x["embedding"] for x in ours]), np.array([x["embedding"] for x in theirs])
+            for row in range(batch.num_rows):
+                of = lambda name, kind: np.frombuffer(batch.column(batch.schema.get_field_index(name))[row].as_buffer(), dtype=kind)
+                names, floors, flat, sizes = of("asked_keys", np.int64), of("asked_floors", np.float64), of("stored_keys", np.int64), of("stored_sizes", np.int64)
+                q, v = of("asked_vectors", np.float64).reshape(len(names), -1), of("stored_vectors", np.float64).reshape(len(sizes), -1)
 
                 def best_of(scores: np.ndarray, edges: np.ndarray, rows: np.ndarray) -> pd.DataFrame:
                     """Row, query, id and exact score of the entries that reach the edge of their row, each id once a row."""
                     who, which = np.nonzero(scores[rows] >= edges[rows][:, None])
                     who = rows[who]
                     exact = np.empty(len(who))
-                    for start in range(0, len(who), 100_000):
-                        part = slice(start, start + 100_000)
+                    for start in range(0, len(who), PAIRS):
+                        part = slice(start, start + PAIRS)
                         exact[part] = np.sum(q[who[part]] * v[which[part]], axis=1)
                     each = sizes[which]
                     at = np.repeat(starts[which] - np.cumsum(each) + each, each) + np.arange(each.sum())
@@ -234,9 +284,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
                     out = out[out["query_id"] != out["vec_id"]].sort_values("score", ascending=False)
                     return out.drop_duplicates(["row", "vec_id"])
 
-                ids = [np.asarray(x["ids"]) for x in theirs]
-                sizes = np.array([len(x) for x in ids])
-                flat, starts = np.concatenate(ids), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                starts = np.cumsum(sizes) - sizes
                 scores = q @ v.T
                 slack = 1e-9 * (1 + np.abs(scores).max(axis=1))
                 width = min(len(v), top + 1)  # one entry can be the query itself
@@ -248,11 +296,11 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
                 if len(short):
                     found = pd.concat([found[~found["row"].isin(short)], best_of(scores, floors - slack, short)])
                 found = found.sort_values(["score", "vec_id"], ascending=[False, True]).drop_duplicates(["query_id", "vec_id"])
-                yield found.groupby("query_id", sort=False).head(top)[["query_id", "vec_id", "score"]]
+                yield pa.RecordBatch.from_pandas(found.groupby("query_id", sort=False).head(top)[["query_id", "vec_id", "score"]], preserve_index=False)
 
     def searched(some: DataFrame) -> DataFrame:
         asked_blocks = blocks(some, "vec_id", ["vec_id", "floor", "embedding"], 1024, "asked")
-        found = asked_blocks.join(packed, "list").select("asked", "stored").mapInPandas(score, "query_id long, vec_id long, score double")
+        found = asked_blocks.join(packed, "list").drop("list").mapInArrow(score, "query_id long, vec_id long, score double")
         return stored(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
