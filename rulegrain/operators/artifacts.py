@@ -161,8 +161,9 @@ def sync(items: DataFrame, batch_id: str, registered: DataFrame | None = None) -
     if registered is None:
         known = unique.withColumn("known", F.lit(False))
     else:
-        seen = registered.select("artifact_path", "sha1", F.lit(True).alias("known")).distinct()
-        known = unique.join(seen, ["artifact_path", "sha1"], "left").fillna(False, ["known"])
+        # met by path alone, as which the items are placed already: contents move once
+        seen = registered.groupBy("artifact_path").agg(F.collect_set("sha1").alias("seen"))
+        known = unique.join(seen, "artifact_path", "left").withColumn("known", F.coalesce(F.array_contains("seen", F.col("sha1")), F.lit(False))).drop("seen")
     known = cut_lineage(known)
     head = ["item_no", "artifact_type", "artifact_path", "sha1", "artifact_id"]
     texts = lambda *pairs: F.create_map(*[part for pair in pairs for part in pair])

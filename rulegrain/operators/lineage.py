@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulegrain.functions import vocab as V
 from rulegrain.functions.text import is_true, strip, to_string_list, words
@@ -32,11 +32,14 @@ def new_artifacts(candidates: DataFrame, registered: DataFrame, path: str = "art
 
 
 def unique_items(items: DataFrame) -> DataFrame:
-    """First entry of each (type, path) in listing order (K9)."""
-    rest = [name for name in items.columns if name not in ("artifact_type", "artifact_path")]
-    return items.groupBy("artifact_type", "artifact_path").agg(F.min_by(F.struct(*rest), "item_no").alias("i")).select(
-        "artifact_type", "artifact_path", "i.*"
-    )
+    """First entry of each (type, path) in listing order (K9).
+
+    Entries are placed by path as they are and sorted there; sorting them before, to merge some early, would write whole contents twice.
+    """
+    placed = items.repartition("artifact_path")
+    listing = Window.partitionBy("artifact_path", "artifact_type").orderBy(F.col("item_no").asc_nulls_last())
+    first = placed.withColumn("_at", F.row_number().over(listing)).filter(F.col("_at") == 1)
+    return first.select("artifact_type", "artifact_path", *[name for name in items.columns if name not in ("artifact_type", "artifact_path")])
 
 
 def import_report(results: DataFrame) -> dict[str, DataFrame]:

@@ -23,10 +23,18 @@ def _json(**fields) -> F.Column:
     return F.struct(*[(F.col(value) if isinstance(value, str) else value).alias(name) for name, value in fields.items()])
 
 
-def _lines(spark: SparkSession, sf_dir: str, key: str, row) -> DataFrame:
-    """Order lines of one key as an array, in order: an order and a part have few lines."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col(key).alias("key")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", row.alias("row")))).alias("rows"))
-    return rows.select("key", F.transform("rows", lambda item: item["row"]).alias("rows"))
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
+
+
+def _lines(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Order lines of one key as an array, in order: an order and a part have few lines. Only fields of the lines travel; rows are built from them."""
+    fields = F.struct(*[name for name in LINE if name != key])
+    return table(spark, sf_dir, "lineitem").groupBy(F.col(key).alias("key")).agg(F.sort_array(F.collect_list(fields)).alias("lines"))
+
+
+def _each(key: str, row) -> F.Column:
+    """The lines as rows; ``row`` gets the fields of a line by name."""
+    return F.transform("lines", lambda line: row(lambda name: F.col("key") if name == key else line[name]))
 
 
 def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,19 +43,20 @@ def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
     chunk = _json(source_document="source", chunk_index=number, content_original="text", ner_entities_json=F.array("lang", F.lit("a 'b'")))
     parts = [documents.select(F.col("doc_id").alias("key"), F.lit("phase1_entities").alias("artifact_type"), F.to_json(F.array(chunk)).alias("content"))]
-    atom = _json(atom_id=F.concat(F.lit(" A"), "l_orderkey", F.lit("-"), "l_linenumber"), rule_type="l_returnflag", who=F.lit("who"), how=F.lit(""), is_ambiguous=(F.col("l_linestatus") == "O").cast("string"),
-                 business_taxonomy_label_codes=F.array(F.col("l_linestatus"), F.col("l_returnflag")))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_orderstatus", "o_orderpriority")
-    with_atoms = _lines(spark, sf_dir, "l_orderkey", atom).join(orders, "key")
+    by_order = _lines(spark, sf_dir, "l_orderkey").join(orders, "key")
+    atom = lambda at: _json(atom_id=F.concat(F.lit(" A"), at("l_orderkey"), F.lit("-"), at("l_linenumber")), rule_type=at("l_returnflag"), who=F.lit("who"), how=F.lit(""), is_ambiguous=(at("l_linestatus") == "O").cast("string"),
+                            business_taxonomy_label_codes=F.array(at("l_linestatus"), at("l_returnflag")))
+    with_atoms = by_order.withColumn("rows", _each("l_orderkey", atom))
     parts.append(with_atoms.filter("o_orderstatus = 'F'").select("key", F.lit("legal_atoms"), F.to_json("rows")))
     match = F.transform("rows", lambda row: _json(atom_id=row["atom_id"], scene_key=F.col("o_orderpriority"), scene_name=F.lit("s"), module_code=F.lit("m"), score=F.lit(7), matched_terms=F.array("o_orderpriority")))
     parts.append(with_atoms.filter("o_orderstatus = 'O'").select("key", F.lit("classified_atoms"), F.to_json(F.struct(F.col("rows").alias("atoms"), match.alias("scene_matches")))))
-    each = _lines(spark, sf_dir, "l_orderkey", _json(round="l_linenumber", input_atom_count=F.col("l_quantity").cast("int"), output_atom_count=F.lit(3), new_atom_count=F.lit(None).cast("int"))).join(orders, "key")
-    parts.append(each.filter("o_orderstatus = 'P'").select("key", F.lit("compliance_recall_report"), F.to_json(F.struct(
+    each = lambda at: _json(round=at("l_linenumber"), input_atom_count=at("l_quantity").cast("int"), output_atom_count=F.lit(3), new_atom_count=F.lit(None).cast("int"))
+    parts.append(by_order.withColumn("rows", _each("l_orderkey", each)).filter("o_orderstatus = 'P'").select("key", F.lit("compliance_recall_report"), F.to_json(F.struct(
         F.col("o_orderpriority").alias("question"), F.lit("停止召回").alias("final_decision"), F.lit(True).alias("can_make_final_compliance_judgement"), F.size("rows").alias("final_recall_atom_count"), F.col("rows").alias("rounds")))))
-    sample = F.struct(F.col("l_returnflag").alias("样本组"), F.concat("l_orderkey", F.lit("/"), "l_linenumber").alias("样本ID"), F.when(F.col("l_linestatus") == "O", "通过").otherwise(" ").alias("判定"))
+    sample = lambda at: F.struct(at("l_returnflag").alias("样本组"), F.concat(at("l_orderkey"), F.lit("/"), at("l_linenumber")).alias("样本ID"), F.when(at("l_linestatus") == "O", "通过").otherwise(" ").alias("判定"))
     sheets = F.to_json(F.struct(F.struct(F.col("rows").alias("atoms"), F.slice("rows", 1, 1).alias("summary")).alias("sheets")))
-    parts.append(_lines(spark, sf_dir, "l_partkey", sample).select("key", F.lit("sample_review_checklist"), sheets))
+    parts.append(_lines(spark, sf_dir, "l_partkey").withColumn("rows", _each("l_partkey", sample)).select("key", F.lit("sample_review_checklist"), sheets))
     turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("key")).agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))
     results = F.transform("turns", lambda row: _json(query=row["role"], raw_query=row["role"], broad_recall_count=row["turn"]))
     parts.append(turns.select("key", F.lit("taxonomy_recall_report"), F.to_json(F.struct(results.alias("results")))))
